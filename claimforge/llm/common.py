@@ -89,8 +89,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; for a file scan the files' size, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    """Bytes that the plan's scans read, by Catalyst's estimate; no job. A leaf of unknown size counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 2**60)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
