@@ -97,3 +97,84 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of one or two 8-byte columns that may be broadcast: 16 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has few rows; beyond that as it is, and the join shuffles.
+
+    For DataFrames that are cheap to count: rows of a few bytes, read from a table.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class WordTable:
+    """Values of words, worked out once for each word that a worker meets; emptied when it holds ``most`` words.
+
+    ``fill`` gets new words (UTF-8) and gives a row of ``width`` numbers for each.
+    """
+
+    def __init__(self, width: int, fill, most: int = 600_000, dtype=np.float64):
+        self.width, self.fill, self.most, self.dtype = width, fill, most, dtype
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = _Numbers()
+        self.values = np.zeros((1 << 14, self.width), self.dtype)
+        self.count = 0
+
+    def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row of ``values`` of each word; valid until the next call."""
+        if self.count > self.most:
+            self._clear()
+        data, known = raw.tobytes(), self.known
+        found = np.fromiter((known[data[a:b]] for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        if known.new:
+            rows = self.fill(known.new)
+            while self.count + len(rows) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.values[self.count:self.count + len(rows)] = rows
+            self.count += len(rows)
+            known.new = []
+        return found
+
+
+class _Numbers(dict):
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+def crc32_of_id(column: str = "doc_id"):
+    """crc32 of an id written as text; a null id's is null."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Bytes of text that are scanned at once.
+SCAN_BYTES = 4 << 20
+
+
+def scan_rows(batches: Iterator[pa.RecordBatch], text: int, most: int = SCAN_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the bytes and offsets of their text column."""
+    for batch in batches:
+        raw, offsets = string_buffers(batch.column(text))
+        for a, b in slices(offsets, most):
+            yield batch.slice(a, b - a), raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+
+
+def sum_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row's words, row k's being ``first[k]:first[k + 1]``."""
+    before = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, 0)])
+    return before[first[1:]] - before[first[:-1]]

@@ -22,3 +22,99 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimforge.llm.ngram_join import ngram_jaccard_components
 
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from claimforge.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+  FROM documents
+), g AS (
+  SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY plain) AS group_size
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g
+"""
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm.mixing import mix_plan
+
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from claimforge.llm import token_files
+    from claimforge.llm.exact_dedup import shared_path
+
+    docs = table(spark, sf_dir, "documents")
+    to = shared_path(docs, "tokens")
+    token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), to, end_id=2)
+    return token_files.read(spark, to)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from claimforge.llm import language_id
+    from claimforge.llm.common import crc32_of_id
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id() % 4 == 2
+    vocabulary = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"), vocabulary)
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm import toxicity
+    from claimforge.llm.common import crc32_of_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", crc32_of_id() % 5 == 0)
+
+
+@query
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm import pseudo_likelihood
+
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
