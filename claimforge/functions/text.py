@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Phases in order, the terminal ones, and words for them.
 PHASES = ("announced", "permitting", "construction", "operational")
@@ -19,7 +20,7 @@ PHASE_WORDS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     import unicodedata
 

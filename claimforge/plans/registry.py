@@ -32,3 +32,6 @@ def oracle_sql():
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["resolve_prefer_weight"](spark, sf_dir)
+
+
+from claimforge.plans import golden  # noqa: E402,F401
