@@ -75,7 +75,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def truncate_head_tail(text: Column, most: int, marker: str = "\n[...]\n") -> Column:

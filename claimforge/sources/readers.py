@@ -76,8 +76,8 @@ def parse_feeds(documents: DataFrame, xml_col: str = "xml") -> DataFrame:
 
 def timestamp_of(raw: Column) -> Column:
     """ISO, RFC 822 and plain dates; null unless within 2000 and two days from now at most."""
-    forms = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd"]
-    when = F.coalesce(*[F.try_to_timestamp(F.trim(raw), F.lit(f)) for f in forms])
+    forms = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd"]
+    when = F.coalesce(*[F.try_to_timestamp(F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*0?", ""), F.lit(f)) for f in forms])
     return F.when(when.between(F.lit("2000-01-01").cast("timestamp"), F.current_timestamp() + F.expr("interval 2 days")), when)
 
 

@@ -43,7 +43,8 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 def read_ledger(spark, path: str, schema: str) -> DataFrame:
     """The ledger's rows; malformed lines are left out."""
-    return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null").drop("_bad")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(parsed.alias("r")).where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def write_rejects(df: DataFrame, rules: dict, path: str) -> DataFrame:
