@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +32,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_claimforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="claimforge-"), "claimforge.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(to)
+    context._claimforge_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``directory``; only Spark's reader touches the path."""
+    ship(spark)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names; set a local one only where none is named (tests)."""
+    ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
