@@ -108,3 +108,107 @@ def load_places(rows: DataFrame, name: str, state: str, aliases: DataFrame | Non
     every = real if aliases is None else real.unionByName(aliases.withColumn("_prio", F.lit(1)), allowMissingColumns=True)
     window = Window.partitionBy(state, "key").orderBy("_prio", name)
     return every.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_prio")
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """``file, line, cells array<string>`` of a workbook's sheet; Spark reads the files, so they can be in any store.
+
+    Shared and inline strings, numbers and booleans as they are written; missing cells are null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import re
+        import xml.etree.ElementTree as ET
+        import zipfile
+
+        space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+        def column(ref: str) -> int:
+            n = 0
+            for c in re.match(r"[A-Z]+", ref)[0]:
+                n = 26 * n + ord(c) - 64
+            return n
+
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                out = []
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    shared = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        for item in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si"):
+                            shared.append("".join(t.text or "" for t in item.iter(f"{space}t")))
+                    for row in ET.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{space}row"):
+                        cells: list = []
+                        for cell in row.iter(f"{space}c"):
+                            at = column(cell.get("r")) if cell.get("r") else len(cells) + 1
+                            cells += [None] * (at - len(cells))
+                            value = cell.find(f"{space}v")
+                            if cell.get("t") == "inlineStr":
+                                cells[at - 1] = "".join(t.text or "" for t in cell.iter(f"{space}t"))
+                            elif value is not None and value.text is not None:
+                                cells[at - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                        out.append((file, int(row.get("r") or len(out) + 1), cells))
+                yield pd.DataFrame(out, columns=["file", "line", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, line int, cells array<string>")
+
+
+def published_date(html: Column, url: Column) -> Column:
+    """The date that a page states: JSON-LD, then meta tags, then a time element, then its path; within 2000 and two days from now."""
+    patterns = [
+        r'"datePublished"\s*:\s*"([^"]+)"', r'(?i)<meta[^>]+(?:article:published_time|datepublished|pubdate|og:published_time)["\'][^>]*content=["\']([^"\']+)',
+        r'(?i)<meta[^>]*content=["\']([^"\']+)["\'][^>]+(?:article:published_time|datepublished|pubdate)', r'(?i)<time[^>]+datetime=["\']([^"\']+)',
+    ]
+    found = [timestamp_of(F.regexp_extract(html, p, 1)) for p in patterns]
+    return F.coalesce(*[F.to_date(x) for x in found], date_from_url(url))
+
+
+def external_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``page_id, link`` of every absolute link of a page to another host, archive copies unwrapped."""
+    links = F.regexp_extract_all(F.col(html_col), F.lit(r'(?i)<a[^>]+href=["\'](https?://[^"\'\s]+)'), F.lit(1))
+    link = F.regexp_replace(F.col("raw"), r"^https?://web\.archive\.org/web/\d+[a-z_]*/", "")
+    host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"^[a-z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    rows = pages.select("page_id", "url", F.explode(F.array_distinct(links)).alias("raw")).withColumn("link", link)
+    return rows.where(host(F.col("link")) != host(F.col("url"))).select("page_id", "link").distinct()
+
+
+def fill_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """County and coordinates where a (state, city) lies in exactly one county; what is there stays.
+
+    ``places`` has ``state, key, county, lat, lon``; it is a fixed dimension and is broadcast.
+    """
+    one = places.groupBy("state", "key").agg(F.count_distinct("county").alias("n"), F.min("county").alias("_county"), F.min_by("lat", "county").alias("_lat"), F.min_by("lon", "county").alias("_lon")).where("n = 1").drop("n")
+    joined = rows.withColumn("key", place_key(F.col("city"))).join(F.broadcast(one), ["state", "key"], "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in ("county", "lat", "lon") else F.col(c) for c in rows.columns])
+
+
+#: Statuses of grid queues and the phases they stand for.
+QUEUE_PHASES = {"withdrawn": "cancelled", "cancelled": "cancelled", "deactivated": "cancelled", "in service": "operational", "in-service": "operational", "suspended": "paused", "under construction": "construction", "active": "permitting"}
+
+
+def queue_records(rows: DataFrame, operators: list[str]) -> DataFrame:
+    """Mapped queue rows to records: MW, phase, dates, and the operator that the name mentions (the longest match)."""
+    from claimforge.functions import dates, numbers
+
+    status = F.lower(F.trim("status"))
+    phase = F.when(numbers.norm_mw(F.col("withdrawn"))["value"].isNotNull() | dates.norm_date(F.col("withdrawn"))["value"].isNotNull(), "cancelled")
+    phase = phase.when(dates.norm_date(F.col("in_service"))["value"].isNotNull(), "operational")
+    for word, name in QUEUE_PHASES.items():
+        phase = phase.when(status == word, name)
+    ordered = F.array(*map(F.lit, sorted(operators, key=lambda o: (-len(o), o))))
+    named = F.try_element_at(F.filter(ordered, lambda o: F.contains(F.lower(F.col("name")), F.lower(o))), F.lit(1))
+    return rows.select("id", "name", named.alias("company"), numbers.norm_mw(F.col("capacity"))["value"].alias("mw"), phase.otherwise("announced").alias("phase"), dates.norm_date(F.col("online"))["value"].alias("expected_online"))
+
+
+def useful_candidates(hits: DataFrame, blocked: list[str], exclude: list[str], topic: list[str], signal: list[str], risk: list[str]) -> DataFrame:
+    """Search hits to queue candidates: distinct URL, host not blocked, and the keyword tiers on title and snippet; with the reason."""
+    from claimforge.functions import text
+
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    bad = F.exists(F.array(*map(F.lit, blocked)), lambda b: (host == b) | F.endswith(host, F.concat(F.lit("."), b))) if blocked else F.lit(False)
+    rows = hits.groupBy("url").agg(F.min_by(F.struct("title", "snippet", "query"), F.struct("query", "title", "snippet")).alias("h")).select("url", "h.*")
+    verdict = text.keyword_filter(F.concat_ws(" ", "title", "snippet"), exclude, topic, signal, risk)
+    rows = rows.withColumn("v", verdict).withColumn("english", text.looks_english(F.concat_ws(" ", "title", "snippet")))
+    reason = F.when(bad, "blocked host").when(~F.col("english"), "not english").otherwise(F.col("v.reason"))
+    return rows.select("url", "title", F.substring(F.concat(F.lit("search:"), "query"), 1, 120).alias("feed"), (~bad & F.col("english") & F.col("v.keep")).alias("keep"), reason.alias("reason"))

@@ -80,3 +80,42 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 50: 50, 51: 50, 60: 60}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "q.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Project</t></si><si><r><t>M</t></r><r><t>W</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
+                   f'<row r="3"><c r="A3" t="inlineStr"><is><t>x</t></is></c><c r="B3"><v>12.5</v></c></row></sheetData></worksheet>')
+    got = [(r.line, r.cells) for r in readers.read_xlsx(spark, str(tmp_path / "q.xlsx")).collect()]
+    assert got == [(1, ["Project", None, "MW"]), (3, ["x", "12.5"])]
+
+
+def test_page_dates_and_links(spark):
+    rows = [
+        (1, "http://a.com/x", '<script>{"datePublished": "2024-05-06T10:00:00Z"}</script><a href="https://b.org/1">b</a><a href="http://www.a.com/2">own</a>'),
+        (2, "http://a.com/2023/1/5/x", "<p>none</p>"), (3, "http://a.com/y", '<meta property="article:published_time" content="2022-02-03"><a href="https://web.archive.org/web/2020/http://c.net/z">z</a>'),
+        (4, "http://a.com/z", '<time datetime="1990-01-01">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert [str(r.d) for r in df.select(readers.published_date(F.col("html"), F.col("url")).alias("d"), "page_id").orderBy("page_id").collect()] == ["2024-05-06", "2023-01-05", "2022-02-03", "None"]
+    assert sorted((r.page_id, r.link) for r in readers.external_links(df).collect()) == [(1, "https://b.org/1"), (3, "http://c.net/z")]
+
+
+def test_places_and_queues(spark):
+    places = spark.createDataFrame([("VA", "ashburn", "Loudoun", 39.0, -77.5), ("VA", "twin", "A", 1.0, 1.0), ("VA", "twin", "B", 2.0, 2.0)], "state string, key string, county string, lat double, lon double")
+    rows = spark.createDataFrame([(1, "Ashburn (CDP)", "VA", None, None, None), (2, "Twin", "VA", None, None, None), (3, "Ashburn", "VA", "Kept", 5.0, None)], "id int, city string, state string, county string, lat double, lon double")
+    assert {r.id: (r.county, r.lat, r.lon) for r in readers.fill_places(rows, places).collect()} == {1: ("Loudoun", 39.0, -77.5), 2: (None, None, None), 3: ("Kept", 5.0, -77.5)}
+    queue = spark.createDataFrame([("1", "Acme Cloud Campus", "1,000", "Active", None, None, "Q2 2027"), ("2", "Other", "5 MW", "?", "2024-01-02", None, ""), ("3", "acme", "TBD", "Suspended", None, None, None)],
+                                  "id string, name string, capacity string, status string, withdrawn string, in_service string, online string")
+    got = {r.id: (r.company, r.mw, r.phase, str(r.expected_online)) for r in readers.queue_records(queue, ["Acme", "Acme Cloud"]).collect()}
+    assert got == {"1": ("Acme Cloud", 1000.0, "permitting", "2027-04-01"), "2": (None, 5.0, "cancelled", "None"), "3": ("Acme", None, "paused", "None")}
+
+
+def test_candidates(spark):
+    rows = [("http://x.com/1", "Data center campus permit filed", "", "q"), ("http://x.com/1", "again", "", "z"), ("http://m.bad.org/2", "data center permit", "", "q"), ("http://y.com", "数据中心数据中心", "", "q"), ("http://z.com", "crypto data center permit", "", "q")]
+    got = {r.url: (r.keep, r.reason) for r in readers.useful_candidates(spark.createDataFrame(rows, "url string, title string, snippet string, query string"), ["bad.org"], ["crypto"], ["data center"], ["permit"], ["lawsuit"]).collect()}
+    assert got == {"http://x.com/1": (True, "signal: permit"), "http://m.bad.org/2": (False, "blocked host"), "http://y.com": (False, "not english"), "http://z.com": (False, "excluded: crypto")}
