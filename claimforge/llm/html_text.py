@@ -38,6 +38,8 @@ BAD_WORDS = frozenset(
     "notification pagination pager paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup "
     "sitenav skip social sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar trending warning widget".split()
 )
+#: Words of a class that tell how a page is laid out ("has-sidebar", "no-header"), not what an element is.
+LAYOUT = frozenset("has is layout no not with without wrap".split())
 HEADER_WORDS = frozenset("header".split())
 COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,7 +68,10 @@ def _hints(rest: str) -> tuple[set[str], bool]:
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
         else:
-            words.update(re.split(r"[^a-z]+", value))
+            for token in value.split():
+                parts = re.split(r"[^a-z]+", token)
+                if not LAYOUT.intersection(parts):
+                    words.update(parts)
     return words, hidden
 
 
@@ -132,6 +137,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             open_.pop()
         open_.append((name, bad, comments, article))
         words, hidden = _hints(rest) if rest.strip() else (set(), False)
+        if name in ("html", "body"):
+            words = set()
         named = bool(words & BAD_WORDS) or (bool(words & HEADER_WORDS) or name == "header") and not article
         if name in ("article", "main", "body"):
             if not words & BAD_WORDS and not hidden and not comments:

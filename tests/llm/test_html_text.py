@@ -21,6 +21,11 @@ def test_blocks_without_containers():
     assert main_text(html) == f"On the page {PARA} Yes. {PARA}"
 
 
+def test_layout_classes_say_nothing():
+    html = f'<body class="has-sidebar cookies header"><div class="content-sidebar-wrap no-footer"><div>{PARA}</div></div><div class="post-footer">{PARA}</div></body>'
+    assert main_text(html) == PARA
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") [:0] == main_text("<script>x") == ""
     assert main_text(f"<article><p>{PARA} x &am") == f"{PARA} x &am"
