@@ -8,6 +8,8 @@ then drawn by a seeded hash.  Only counts by length meet in one task, never docu
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -148,7 +150,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeats included, with all their columns."""
-    plan = mix_plan(docs, seed=seed).where("copies > 0 and doc_id is not null").groupBy("doc_id", "text_key").agg(F.max("copies").alias("_copies"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copies")
-    return docs.join(plan, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    name = {n: f"{n}_{uuid.uuid4().hex}" for n in ("id", "key", "copies", "copy")}  # docs may have columns of any name
+    plan = mix_plan(docs, seed=seed).where("copies > 0 and doc_id is not null").groupBy("doc_id", "text_key").agg(F.max("copies").alias(name["copies"]))
+    plan = plan.withColumnsRenamed({"doc_id": name["id"], "text_key": name["key"]})
+    taken = docs.join(plan, (docs["doc_id"] == plan[name["id"]]) & (F.xxhash64(docs["text"]) == plan[name["key"]]))
+    return taken.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(*(docs[c] for c in docs.columns))

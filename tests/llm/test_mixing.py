@@ -66,6 +66,12 @@ def test_odd_tables(spark):
     assert sorted(r.size * r.copies for r in mix_plan(spark.createDataFrame(rows, schema)).collect()) == [1, 2, 2]
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "a b", "s", k, "x") for k in range(9)], "doc_id long, text string, source string, _id int, copies string")
+    got = mix_documents(docs)
+    assert got.columns == docs.columns and all(r._id == r.doc_id and r.copies == "x" for r in got.collect())
+
+
 def test_fit_is_as_near_as_can_be():
     rng = np.random.default_rng(1)
     for _ in range(200):
