@@ -7,33 +7,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from claimforge.session import table
+from claimforge.llm.common import broadcast_if_small
+from claimforge.session import ensure_checkpoint_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``, the id as it was, and a ``doc_id`` for rows without one: from the text, above 2 ** 62."""
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(2**62))
+    return docs.select(F.col("doc_id").alias("_id"), F.coalesce("doc_id", own).alias("doc_id"), *COLUMNS[1:])
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Identified ``docs`` but those whose id is in ``dropped``; few ids are broadcast, many shuffled."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    dropped = dropped.select("doc_id").distinct().checkpoint()
+    return restored(docs.join(broadcast_if_small(dropped), "doc_id", "left_anti"))
+
+
+def restored(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_id").alias("doc_id"), *COLUMNS[1:])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field doesn't call toxic. Learned from the labels of all folds but the held-out one."""
+    docs = identified(docs)
     model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti").select(*COLUMNS)
+    return without(docs, toxicity.score(docs, model).where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original; of rows that repeat an id and text one."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts the longest original, then the smallest id; rows without id come last."""
+    docs = identified(docs)
+    return without(docs, exact_dedup.exact_groups(docs).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one of the smallest id."""
-    kept = ngram_join.ngram_jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of documents that links connect the one of the smallest id; rows without id come last."""
+    docs = identified(docs)
+    return without(docs, ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document may come up to three times."""
-    return mixing.mix_documents(docs).select(*COLUMNS)
+    return restored(mixing.mix_documents(identified(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
