@@ -13,6 +13,7 @@ two-by-two matrix: whole texts are scored exactly in steps that count known toke
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from claimforge.llm import common
 
 #: Labelled documents that the field is fitted on, about, of each label.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 1500
 #: Prefixes of a word that are features, in letters.
 PREFIXES = (4, 5, 6)
 #: A feature is known if so many toxic documents have it, and its share of them is so many times that of the others.
@@ -62,7 +63,7 @@ class ToxicityModel:
             known = [[self.weight[f] for f in features(w) if f in self.weight] for w in words]
             return np.array([[sum(x), float(bool(x))] for x in known]).reshape(-1, 2)
 
-        return common.WordTable(2, fill)
+        return common.WordTable(2, fill, most=200_000)
 
     def marginals(self, emission: np.ndarray, at: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The toxic tag's marginals of known tokens.
@@ -221,20 +222,24 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if len(set(y)) < 2:
         return ToxicityModel({}, -2.0, move, np.array([0.0, 0.0, 40.0 if y.sum() else -40.0]))
 
-    cut = {}
-    bags = [[cut.setdefault(w, features(w)) for w in t.split()] for t in texts]
+    # features of toxic texts first; others count only those, so the driver holds no vocabulary of all texts
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
-    seen = {}
-    for bag, label in zip(bags, y):
-        for f in {f for fs in bag for f in fs}:
-            seen.setdefault(f, [0, 0])[int(label)] += 1
-    tied = {f: (b / toxic) / ((a + 0.1) / clean) for f, (a, b) in seen.items() if b >= MIN_DOCS}
+    inside, outside = Counter(), Counter()
+    for t, label in zip(texts, y):
+        if label:
+            inside.update({f for w in set(t.split()) for f in features(w)})
+    inside = {f: n for f, n in inside.items() if n >= MIN_DOCS}
+    for t, label in zip(texts, y):
+        if not label:
+            outside.update({f for w in set(t.split()) for f in features(w) if f in inside})
+    tied = {f: (n / toxic) / ((outside[f] + 0.1) / clean) for f, n in inside.items()}
     known = sorted((f for f, r in tied.items() if r >= MIN_RATIO), key=lambda f: (-tied[f], f))[:MOST_FEATURES]
     number = {f: k for k, f in enumerate(known)}
+    del inside, outside, tied
 
-    lists, tags = [], []
-    for bag, label in zip(bags, y):
-        own = [[number[f] for f in fs if f in number] for fs in bag]
+    lists, tags, none = [], [], []
+    for t, label in zip(texts, y):
+        own = [[number[f] for f in features(w) if f in number] or none for w in t.split()]
         for a in range(0, len(own), SEQUENCE):
             part = own[a:a + SEQUENCE]
             if any(part) or a == 0:  # the rest tells nothing but the bias, which the first parts do
@@ -242,9 +247,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 tags.append(np.array([int(label and bool(x)) for x in part]))
     weight, bias, move = fit_field(lists, tags, len(known))
     model = ToxicityModel({f: float(weight[k]) for f, k in number.items()}, bias, move, np.zeros(3))
-    marginal, first = _known_marginals(model, model.words(), *_joined(texts))[:2]
+    del lists, tags
+    table, parts = model.words(), []
+    for a in range(0, len(texts), 250):
+        parts.append(document_features(*_known_marginals(model, table, *_joined(texts[a:a + 250]))[:2]))
     # the sample has labels in shares of its own: the intercept is moved to the shares of all labelled rows
-    document = fit_document(document_features(marginal, first), y)
+    document = fit_document(np.concatenate(parts), y)
     document[-1] += np.log((odds or sizes[True] / sizes[False]) / (toxic / clean))
     model.document = document
     return model
