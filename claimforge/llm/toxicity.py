@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import common
 
-#: Labelled documents that the field is fitted on, about, of each label.
+#: Toxic documents that the field is fitted on, about.
 SAMPLE_DOCS = 1500
 #: Prefixes of a word that are features, in letters.
 PREFIXES = (4, 5, 6)
-#: A feature is known if so many toxic documents have it, and its share of them is so many times that of the others.
-MIN_DOCS, MIN_RATIO = 4, 20.0
+#: A feature is known if so many toxic documents have it, its share of them is so many times that of the others, and
+#: chance would bring so few such features among all that were looked at (a bound on the binomial tail).
+MIN_DOCS, MIN_RATIO, CHANCE = 4, 20.0, 0.01
+#: Clean documents in the sample for each toxic one: with more of them, fewer words seem tied to the label.
+CLEAN = 2
 #: Known features at most, the most telling ones.
 MOST_FEATURES = 50_000
 #: Words of a training sequence; rounds of gradient ascent; pull of weights to zero.
@@ -139,6 +142,15 @@ class _Powers:
         return x / x.sum(1, keepdims=True)
 
 
+def _evidence(inside: int, outside: int, share: float) -> float:
+    """Minus the log of a bound on the chance that of ``inside + outside`` documents so many are toxic, if ``share`` are."""
+    n = inside + outside
+    q = inside / n
+    if q <= share:
+        return 0.0
+    return n * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if outside else 0.0))
+
+
 def fit_field(known: list[list[int]], tags: list[np.ndarray], size: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights of ``size`` features, the bias and the log transitions, from sequences of tokens.
 
@@ -214,7 +226,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = labelled.where(f"{label_col} is not null and {text_col} is not null").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) > 0).alias("y"))
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    share = F.when(F.col("y"), min(1.0, docs_each / max(1, sizes.get(True, 0)))).otherwise(min(1.0, docs_each / max(1, sizes.get(False, 0))))
+    share = F.when(F.col("y"), min(1.0, docs_each / max(1, sizes.get(True, 0)))).otherwise(min(1.0, CLEAN * docs_each / max(1, sizes.get(False, 0))))
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("id")), 33) / F.lit(float(2**31))
     sample = sorted(((r.id is None, r.id, r.text, r.y) for r in rows.where(hashed < share).limit(4 * docs_each).toLocalIterator()), key=lambda r: (r[0], r[1] or 0, r[2]))
     texts, y = [r[2].encode() for r in sample], np.array([r[3] for r in sample], float)
@@ -228,12 +240,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for t, label in zip(texts, y):
         if label:
             inside.update({f for w in set(t.split()) for f in features(w)})
+    looked_at = len(inside)
     inside = {f: n for f, n in inside.items() if n >= MIN_DOCS}
     for t, label in zip(texts, y):
         if not label:
             outside.update({f for w in set(t.split()) for f in features(w) if f in inside})
-    tied = {f: (n / toxic) / ((outside[f] + 0.1) / clean) for f, n in inside.items()}
-    known = sorted((f for f, r in tied.items() if r >= MIN_RATIO), key=lambda f: (-tied[f], f))[:MOST_FEATURES]
+    tied = {f: _evidence(n, outside[f], toxic / (toxic + clean)) for f, n in inside.items() if (n / toxic) / ((outside[f] + 0.5) / clean) >= MIN_RATIO / 4}
+    least = np.log(max(1, looked_at) / CHANCE)
+    known = sorted((f for f, x in tied.items() if x >= least and inside[f] * clean >= MIN_RATIO * outside[f] * toxic), key=lambda f: (-tied[f], f))[:MOST_FEATURES]
     number = {f: k for k, f in enumerate(known)}
     del inside, outside, tied
 
@@ -317,7 +331,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
     kept = labels.where((common.crc32_of_id() % folds != held_out) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the same draw as in train, before the join: only the sample's texts are shuffled
     sizes = {r.y: r["count"] for r in kept.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
-    share = F.when(F.col("toxic") > 0, min(1.0, SAMPLE_DOCS / max(1, sizes.get(True, 0)))).otherwise(min(1.0, SAMPLE_DOCS / max(1, sizes.get(False, 0))))
+    share = F.when(F.col("toxic") > 0, min(1.0, SAMPLE_DOCS / max(1, sizes.get(True, 0)))).otherwise(min(1.0, CLEAN * SAMPLE_DOCS / max(1, sizes.get(False, 0))))
     drawn = kept.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 33) / F.lit(float(2**31)) < share).limit(4 * SAMPLE_DOCS)
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # 4 * SAMPLE_DOCS rows at most
     return train(sample, docs_each=2**28, odds=sizes[True] / sizes[False] if len(sizes) == 2 else None)
