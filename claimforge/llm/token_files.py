@@ -28,134 +28,151 @@ from claimforge.llm import common
 
 MAGIC, VERSION = b"CMR1", 1
 #: Ids of a block; ids of a segment after which a new one begins at the next document.
-BLOCK_IDS, SEGMENT_IDS = 2048, 4 << 20
+BLOCK_IDS, SEGMENT_IDS = 1024, 4 << 20
 #: Lanes that are coded together.
-LANES = 2048
+LANES = 4096
 #: Bytes of text that are tokenised at once; words whose ids are remembered.
-SCAN_BYTES, CACHE_WORDS = 2 << 20, 1_500_000
+SCAN_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
 
-_SLOTS = 2048  # of each context table of a lane
+_SLOTS = 1024  # of each context table of a lane
 _BUCKETS = 256  # ids have 16 bits: 256 buckets of 256
-_REFRESH = 64  # ids between refreshes of the order-0 counts
+_TOTAL = 4096  # of the order-0 frequencies
+_REFRESH = 64  # ids between refreshes of the order-0 frequencies
 _TOP = np.uint64(1) << np.uint64(48)
 _MASK = _TOP - np.uint64(1)
 _MOST = 15  # confidence of a guess
+_WIDE = 1 << 16  # the squash table reaches from -_WIDE to _WIDE
 
-_U16, _U48 = np.uint64(16), np.uint64(48)
+_U8, _U12, _U16, _U48 = (np.uint64(x) for x in (8, 12, 16, 48))
 
 
 def _stretch_table() -> np.ndarray:
-    """ln(p / (1 - p)) of p in 4096ths, in 256ths; from integers only through one rounding."""
+    """ln(p / (1 - p)) of p in 4096ths, in 256ths."""
     p = (np.arange(4096) + 0.5) / 4096
     return np.clip(np.rint(256 * np.log(p / (1 - p))), -2047, 2047).astype(np.int32)
 
 
 def _squash_table() -> np.ndarray:
-    """Its inverse for -2047..2047, in 65536ths, kept within 64 and 65536 - 64."""
-    x = np.arange(-2048, 2048) / 256
-    return np.clip(np.rint(65536 / (1 + np.exp(-x))), 64, 65536 - 64).astype(np.int32)
+    """Its inverse, in 65536ths, kept within 64 and 65536 - 64."""
+    x = np.arange(-_WIDE, _WIDE) / 256
+    return np.clip(np.rint(65536 / (1 + np.exp(-np.clip(x, -40, 40)))), 64, 65536 - 64).astype(np.int32)
 
 
 _STRETCH, _SQUASH = _stretch_table(), _squash_table()
 
 
 class _Model:
-    """Predictions for one id of each of ``lanes`` blocks, and what they learn from it."""
+    """Predictions for one id of each of ``lanes`` blocks, and what they learn from it.
+
+    Tables are flat with a stretch for each lane.  A slot holds ``id << 4 | confidence``.
+    """
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes) * _SLOTS
-        self.lane = np.arange(lanes)
-        # a slot holds id << 4 | confidence
+        lane = np.arange(lanes)
+        self.slots, self.chances, self.mixes, self.buckets, self.sums = lane * _SLOTS, lane * 32, lane * 4, lane * _BUCKETS, lane * (_BUCKETS + 1)
         self.one, self.two = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        # chance that a guess of a given confidence is right, in 4096ths, by order
-        self.right = np.empty((lanes, 2, _MOST + 1), np.int32)
-        self.right[:] = 1024 + 192 * np.arange(_MOST + 1)
-        self.weight = np.full((lanes, 3, 2), 1 << 15, np.int32)  # by context (agree, differ, alone), in 65536ths
+        # chance that a guess of a given confidence is right, in 4096ths: order 1, then order 2
+        self.right = np.tile((1024 + 192 * (np.arange(32) & 15)).astype(np.int32), lanes)
+        # weights in 65536ths by context: both guess alike, they differ, order 2 has no guess
+        self.w1, self.w2 = np.full(lanes * 4, 1 << 15, np.int32), np.tile(np.array([1 << 15, 1 << 15, 0, 0], np.int32), lanes)
         self.seen = np.ones((lanes, _BUCKETS), np.int32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.steps = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        """Order-0 counts to cumulative frequencies of total 4096, each 1 at least."""
-        total = self.seen.sum(1, keepdims=True)
-        share = (self.seen.astype(np.int64) * (4096 - _BUCKETS) // total + 1)
-        self.cumulative = np.zeros((len(share), _BUCKETS + 1), np.int64)
-        np.cumsum(share, 1, out=self.cumulative[:, 1:])
-        self.cumulative[:, -1] = 4096
-        self.seen = (self.seen + 1) >> 1 if self.steps % 1024 == 0 and self.steps else self.seen
+        """Order-0 counts to cumulative frequencies, each frequency 1 at least."""
+        share = self.seen * (_TOTAL - _BUCKETS) // self.seen.sum(1, keepdims=True) + 1
+        sums = np.zeros((len(share), _BUCKETS + 1), np.int32)
+        np.cumsum(share, 1, out=sums[:, 1:])
+        sums[:, -1] = _TOTAL
+        self.cumulative = sums.ravel()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The favoured guess and the probability in 65536ths that it is right."""
-        at1 = self.row + (self.last * 0x9E35 >> 3 & (_SLOTS - 1))
-        at2 = self.row + ((self.last * 0x2F0B5 ^ self.before * 0x1D4E7) >> 4 & (_SLOTS - 1))
-        self.at1, self.at2 = at1, at2
-        s1, s2 = self.one[at1], self.two[at2]
-        self.c1, self.c2 = s1 & 15, s2 & 15
-        self.g1, self.g2 = s1 >> 4, s2 >> 4
-        p1, p2 = self.right[self.lane, 0, self.c1], self.right[self.lane, 1, self.c2]
-        self.context = np.where(self.c2 == 0, 2, (self.g1 != self.g2).astype(np.int64))
-        favour2 = (self.c2 > 0) & (p2 >= p1)
-        guess = np.where(favour2, self.g2, self.g1)
-        self.x1, self.x2 = _STRETCH[p1], _STRETCH[p2]
-        self.x1 = np.where(self.g1 == guess, self.x1, -self.x1 >> 1)
-        self.x2 = np.where((self.g2 == guess) & (self.c2 > 0), self.x2, np.where(self.c2 > 0, -self.x2 >> 1, 0))
-        w = self.weight[self.lane, self.context]
-        self.dot = np.clip((w[:, 0] * self.x1 + w[:, 1] * self.x2) >> 16, -2047, 2047)
-        return guess, _SQUASH[self.dot + 2048]
+        self.at1 = at1 = self.slots + (self.last * 0x9E35 >> 3 & (_SLOTS - 1))
+        self.at2 = at2 = self.slots + ((self.last * 0x2F0B5 ^ self.before * 0x1D4E7) >> 4 & (_SLOTS - 1))
+        self.s1, self.s2 = s1, s2 = self.one.take(at1), self.two.take(at2)
+        self.c1, self.c2 = c1, c2 = s1 & 15, s2 & 15
+        self.g1, self.g2 = g1, g2 = s1 >> 4, s2 >> 4
+        self.i1 = self.chances + c1
+        self.i2 = self.chances + c2
+        self.i2 += 16
+        self.p1, self.p2 = p1, p2 = self.right.take(self.i1), self.right.take(self.i2)
+        none, alike = c2 == 0, g1 == g2
+        second = (p2 >= p1) & ~none
+        x1, x2 = _STRETCH.take(p1), _STRETCH.take(p2)
+        self.x1 = x1 = np.where(alike | ~second, x1, -x1 >> 1)
+        self.x2 = x2 = np.where(alike | second, x2, -x2 >> 1)
+        self.mix = mix = self.mixes + np.where(none, 2, ~alike)
+        self.v1, self.v2 = v1, v2 = self.w1.take(mix), self.w2.take(mix)
+        dot = v1 * x1
+        dot += v2 * x2
+        dot >>= 16
+        dot += _WIDE
+        return np.where(second, g2, g1), _SQUASH.take(dot)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
-        lane, error = self.lane, (hit.astype(np.int32) << 16) - p
-        w = self.weight[lane, self.context]
-        w[:, 0] += self.x1 * (error >> 4) >> 12
-        w[:, 1] += self.x2 * (error >> 4) >> 12
-        self.weight[lane, self.context] = np.clip(w, -(1 << 18), 1 << 18)
-        for order, at, c, g, table in ((0, self.at1, self.c1, self.g1, self.one), (1, self.at2, self.c2, self.g2, self.two)):
+        error = (hit.astype(np.int32) << 16) - p >> 4
+        # a leak keeps weights within what the squash table reaches
+        self.w1[self.mix] = self.v1 + (self.x1 * error >> 12) - (self.v1 >> 8)
+        self.w2[self.mix] = self.v2 + (self.x2 * error >> 12) - (self.v2 >> 8)
+        fresh = ids << 4 | 1
+        for table, at, s, c, g, chance, p in ((self.one, self.at1, self.s1, self.c1, self.g1, self.i1, self.p1), (self.two, self.at2, self.s2, self.c2, self.g2, self.i2, self.p2)):
             same = g == ids
-            p = self.right[lane, order, c]
-            self.right[lane, order, c] = p + (np.where(same, 4095 - p, -p) >> 4)
-            keep = same | (c > 1)
-            table[at] = np.where(same, (g << 4) | np.minimum(c + 1, _MOST), np.where(keep, (g << 4) | (c >> 1), (ids << 4) | 1))
-        self.seen[lane, ids >> 8] += 8
+            self.right[chance] = p + (same * np.int32(4095) - p >> 4)
+            table[at] = np.where(same, s + (c < _MOST), np.where(c > 1, s - c + (c >> 1), fresh))
+        self.seen.ravel()[self.buckets + (ids >> 8)] += 8
         self.before, self.last = self.last, ids.astype(np.int64)
         self.steps += 1
         if self.steps % _REFRESH == 0:
             self._refresh()
 
 
+def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose range is small, or whose first 16 bits no longer change."""
+    return np.flatnonzero((span < _TOP) | ((low ^ (low + span)) < _TOP))
+
+
+def _shift(low: np.ndarray, span: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Take the first 16 bits off the live lanes, and return those that aren't done."""
+    l, s = low[live], span[live]
+    s = np.where((l ^ (l + s)) < _TOP, s, (~l + np.uint64(1)) & _MASK)  # a carry may not pass: the range is cut
+    l, s = l << _U16, s << _U16
+    low[live], span[live] = l, s
+    return live[_unsettled(l, s)]
+
+
 def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     """Rows of ids of one length, each coded on its own."""
     lanes, steps = ids.shape
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    out, filled = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(ids.T)
-    for now in columns:
+    out, filled = np.zeros((lanes, steps + 64), np.uint16), np.zeros(lanes, np.int64)
+    for step, now in enumerate(np.ascontiguousarray(ids.T)):
         guess, p = model.predict()
         hit = now == guess
-        r = span >> _U16
-        wide = p.astype(np.uint64)
-        low = np.where(hit, low, low + r * wide)
-        span = np.where(hit, r * wide, r * (np.uint64(65536) - wide))
+        unit = span >> _U16
+        part = unit * p.astype(np.uint64)
         miss = np.flatnonzero(~hit)
+        low[miss] += part[miss]
+        span = np.where(hit, part, (unit << _U16) - part)
         if len(miss):
-            bucket, place = now[miss] >> 8, (now[miss] & 255).astype(np.uint64)
-            a = model.cumulative[miss, bucket]
-            r = span[miss] >> np.uint64(12)
-            l = low[miss] + r * a.astype(np.uint64)
-            r = r * (model.cumulative[miss, bucket + 1] - a).astype(np.uint64) >> np.uint64(8)
-            low[miss], span[miss] = l + r * place, r
-        live = np.flatnonzero((span < _TOP) | ((low ^ (low + span)) < _TOP))
+            own = now[miss]
+            at = model.sums[miss] + (own >> 8)
+            a = model.cumulative.take(at)
+            unit = span[miss] >> _U12
+            each = unit * (model.cumulative.take(at + 1) - a).astype(np.uint64) >> _U8
+            low[miss] += unit * a.astype(np.uint64) + each * (own & 255).astype(np.uint64)
+            span[miss] = each
+        live = _unsettled(low, span)
         while len(live):
-            l, s = low[live], span[live]
-            settled = (l ^ (l + s)) < _TOP
-            s = np.where(settled, s, (~l + np.uint64(1)) & _MASK)
-            out[live, filled[live]] = (l >> _U48).astype(np.uint16)
+            out[live, filled[live]] = (low[live] >> _U48).astype(np.uint16)
             filled[live] += 1
-            low[live], span[live] = l << _U16, s << _U16
-            l, s = low[live], span[live]
-            live = live[((l ^ (l + s)) < _TOP) | (s < _TOP)]
+            live = _shift(low, span, live)
         model.learn(now, hit, p)
+        if step % 16 == 15 and filled.max() + 64 > out.shape[1]:  # 3 units an id at most
+            out = np.concatenate([out, np.zeros_like(out)], 1)
     for k in range(4):
         out[np.arange(lanes), filled + k] = (low >> _U48).astype(np.uint16)
         low = low << _U16
@@ -165,60 +182,52 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
 def _decode_lanes(coded: list[bytes], steps: int) -> np.ndarray:
     lanes = len(coded)
     longest = max(map(len, coded)) // 2 + 8
-    words = np.zeros((lanes, longest), np.uint64)
+    words = np.zeros((lanes, longest), np.uint16)
     for k, x in enumerate(coded):
         words[k, :len(x) // 2] = np.frombuffer(x, "<u2")
+    words, base = words.ravel(), np.arange(lanes) * longest
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    code, read = np.zeros(lanes, np.uint64), np.full(lanes, 4, np.int64)
+    code, read = np.zeros(lanes, np.uint64), base + 4
+    last = base + longest - 1
     for k in range(4):
-        code = code << _U16 | words[:, k]
+        code = code << _U16 | words[base + k].astype(np.uint64)
     ids = np.empty((steps, lanes), np.int32)
     for step in range(steps):
-        guess, p = model.predict()
-        r = span >> _U16
-        wide = p.astype(np.uint64)
-        hit = code - low < r * wide
-        low = np.where(hit, low, low + r * wide)
-        span = np.where(hit, r * wide, r * (np.uint64(65536) - wide))
-        now = guess.copy()
+        now, p = model.predict()
+        unit = span >> _U16
+        part = unit * p.astype(np.uint64)
+        hit = code - low < part
         miss = np.flatnonzero(~hit)
+        low[miss] += part[miss]
+        span = np.where(hit, part, (unit << _U16) - part)
         if len(miss):
-            r = span[miss] >> np.uint64(12)
             l = low[miss]
-            v = np.minimum((code[miss] - l) // r, np.uint64(4095)).astype(np.int64)
-            table = model.cumulative[miss]
-            bucket = (table[:, 1:] <= v[:, None]).sum(1) if len(miss) < 64 else _find(table, v)
-            own = np.arange(len(miss))
-            a = table[own, bucket]
-            l = l + r * a.astype(np.uint64)
-            r = r * (table[own, bucket + 1] - a).astype(np.uint64) >> np.uint64(8)
-            place = np.minimum((code[miss] - l) // r, np.uint64(255))
-            low[miss], span[miss] = l + r * place, r
-            now[miss] = (bucket << 8) | place.astype(np.int64)
-        live = np.flatnonzero((span < _TOP) | ((low ^ (low + span)) < _TOP))
+            unit, beyond, first = span[miss] >> _U12, code[miss] - l, model.sums[miss]
+            bucket = _find(model.cumulative, first, np.minimum(beyond // unit, np.uint64(_TOTAL - 1)).astype(np.int32))
+            at = first + bucket
+            a = model.cumulative.take(at)
+            start = unit * a.astype(np.uint64)
+            each = unit * (model.cumulative.take(at + 1) - a).astype(np.uint64) >> _U8
+            place = np.minimum((beyond - start) // each, np.uint64(255))
+            low[miss], span[miss] = l + start + each * place, each
+            now[miss] = bucket << 8 | place.astype(np.int64)
+        live = _unsettled(low, span)
         while len(live):
-            l, s = low[live], span[live]
-            settled = (l ^ (l + s)) < _TOP
-            s = np.where(settled, s, (~l + np.uint64(1)) & _MASK)
-            code[live] = code[live] << _U16 | words[live, np.minimum(read[live], longest - 1)]
+            code[live] = code[live] << _U16 | words.take(np.minimum(read[live], last[live])).astype(np.uint64)
             read[live] += 1
-            low[live], span[live] = l << _U16, s << _U16
-            l, s = low[live], span[live]
-            live = live[((l ^ (l + s)) < _TOP) | (s < _TOP)]
+            live = _shift(low, span, live)
         ids[step] = now
         model.learn(now, hit, p)
     return ids.T
 
 
-def _find(table: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The bucket whose frequencies hold v, by bisection in all rows at once."""
-    a, b, own = np.zeros(len(v), np.int64), np.full(len(v), _BUCKETS, np.int64), np.arange(len(v))
-    for _ in range(8):
-        middle = (a + b) >> 1
-        above = table[own, middle] <= v
-        a, b = np.where(above, middle, a), np.where(above, b, middle)
-    return a
+def _find(cumulative: np.ndarray, first: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The bucket whose frequencies hold v, by bisection in all lanes at once."""
+    at = first.copy()
+    for jump in (128, 64, 32, 16, 8, 4, 2, 1):
+        at += jump * (cumulative.take(at + jump) <= v)
+    return at - first
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -260,21 +269,33 @@ def decode_ids(data: bytes) -> np.ndarray:
     return ids
 
 
-class _Words(dict):
-    """Words to numbers; new ones wait in ``new``."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
+#: Kinds of bytes: 0 white space, 1 ASCII letters, 2 ASCII digits, 3 ASCII marks, 4 all that may stick to its neighbours.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[ord("'")], _KIND[list(common.SPACES)] = 2, 1, 1, 4, 0
 
 
 class Tokenizer:
     """The tokenizers library, asked once for each word.
 
-    The file's pre-tokenizer leaves white space out, so ids of a text are those of its words in turn.
+    The file's pre-tokenizer leaves white space out and parts ASCII letters, digits and marks (the apostrophe
+    aside, which can go either way), so ids of a text are those of such parts of it in turn.
     """
 
+    @staticmethod
+    def _parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all parts, and each row's first."""
+        if not len(raw):
+            return common.words(raw, offsets)
+        kind = _KIND[raw]
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offsets] = True
+        edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4)
+        edge[1:-1] |= (kind[1:] == 0) != (kind[:-1] == 0)
+        inside = kind > 0
+        starts = np.flatnonzero(inside & edge[:-1])
+        return starts, np.flatnonzero(inside & edge[1:]) + 1, np.searchsorted(starts, offsets)
+
     def __init__(self, data: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
@@ -285,12 +306,10 @@ class Tokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Words()
-        self.known.new = []
+        self.known: dict[int, int] = {}
         self.ids, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.count = self.used = 0
-        self._add([[self.end]])
-        self.known[b" "] = 0  # no word: stands for the end of a text
+        self._add([[self.end]])  # number 0 stands for the end of a text
 
     def _add(self, found: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -309,13 +328,23 @@ class Tokenizer:
         """All ids of UTF-8 rows, each row followed by the end id; and the number of each row's ids."""
         if self.count > CACHE_WORDS:
             self._clear()
-        starts, ends, first = common.words(raw, offsets)
-        data, known = raw.tobytes(), self.known
-        numbers = np.fromiter((known[data[a:b]] for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
-        if known.new:
-            self._add([x.ids for x in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in known.new], add_special_tokens=False)])
-            known.new.clear()
-        numbers = np.insert(numbers, first[1:], 0)
+        raw = common.LOWER[raw]  # as the file's normalizer does
+        starts, ends, first = self._parts(raw, offsets)
+        # words meet by a 64-bit hash and their length; each distinct one is looked up once
+        hashes = common.word_hashes(raw, starts)
+        distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        data, known, new, total = raw.tobytes(), self.known, [], self.count
+        of_distinct = np.empty(len(distinct), np.int64)
+        for k, (h, a, b) in enumerate(zip(distinct.tolist(), starts[one].tolist(), ends[one].tolist())):
+            key = h << 16 | min(b - a, 65535)
+            number = known.get(key)
+            if number is None:
+                number = known[key] = total + len(new)
+                new.append(data[a:b].decode("utf-8", "replace"))
+            of_distinct[k] = number
+        if new:
+            self._add([x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        numbers = np.insert(of_distinct[back], first[1:], 0)
         lengths = self.length[numbers]
         after = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.begin[numbers] - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]

@@ -46,8 +46,8 @@ def brute(rows):
 
 def test_files_are_the_librarys_ids(spark, tmp_path):
     rng = random.Random(1)
-    texts = ["", None, "Hello WORLD's it's", "<|endoftext|> x", "é é İstanbul ΣΑΣ ſ", "a b c　d\x1ce", "w " * 40000, "'s 't 12 3!?"]
-    texts += [" ".join("".join(rng.choice("abtheré'3!ÀǅΩ") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(80))) for _ in range(150)]
+    texts = ["", None, "Hello WORLD's it's", "<|endoftext|> x", "é é İstanbul ΣΑΣ ſ", "a b c　d\x1ce", "w " * 40000, "'s 't 12 3!?", "a\x00b \x1cx\x7f y", "x=\u0338 e\u0301, \"'s\" ''s 're' rock'n'roll a'b.c'd 3'd 3.5's '12' “q's” ½x","Ab3,c-d'E's'f..'"]
+    texts += [" ".join("".join(rng.choice("abtheré'3!ÀǅΩ\"s.\u0301") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(80))) for _ in range(150)]
     rows = [(5 * k + 2, t) for k, t in enumerate(texts)] + [(None, "no id")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int").repartition(3)
