@@ -244,7 +244,7 @@ def watch_match(spark, d):
     """Watched names by operator, else by tenant; the first way counts."""
     p, c = projects(spark, d), table(spark, d, "customer")
     w1 = c.where("c_custkey % 20 = 0").select(F.col("c_name").alias("entry"), F.col("c_name").alias("key"), F.lit(1).alias("prio"))
-    w2 = c.where("c_custkey % 40 = 0 and c_custkey < 400").select(F.col("c_name").alias("entry"), F.col("c_mktsegment").alias("key"), F.lit(2).alias("prio"))
+    w2 = c.where("c_custkey % 40 = 0").select(F.col("c_name").alias("entry"), F.col("c_mktsegment").alias("key"), F.lit(2).alias("prio"))
     w = w1.union(w2)
-    m = w.join(p, F.col("key") == F.col("company")).select("entry", "id", "prio").union(w.join(p.where("id % 50 = 0"), F.col("key") == F.col("segment")).select("entry", "id", "prio"))
+    m = w.join(p, F.col("key") == F.col("company")).select("entry", "id", "prio").union(w.join(p, F.col("key") == F.col("segment")).select("entry", "id", "prio"))
     return m.groupBy("entry", "id").agg(F.min("prio").alias("p")).select("entry", "id", F.when(F.col("p") == 1, "operator").otherwise("tenant").alias("via"))
