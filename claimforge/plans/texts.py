@@ -88,12 +88,12 @@ def quote_verbatim(spark, d):
 
 @register("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 342) || chr(10) || '[...]' || chr(10) || right(text, 151) END AS cut FROM documents WHERE lang = 'en'""".replace("342", "345").replace("151", "148"))
 def truncate_head_tail(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.truncate_head_tail(F.col("text"), 500).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", text.truncate_head_tail(F.col("text"), 500).alias("cut"))
 
 
 @register("""SELECT doc_id, CAST(coalesce(list_sum(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x, ' '))), lambda n: n >= 60)), 0) AS BIGINT) AS prose FROM documents WHERE lang = 'en'""")
 def prose_length(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.prose_length(F.col("text")).alias("prose"))
+    return table(spark, d, "documents").select("doc_id", text.prose_length(F.col("text")).alias("prose"))
 
 
 @register("""SELECT doc_id, true AS english FROM documents""")
@@ -107,8 +107,7 @@ _TERMS = {"the": 1.0, "ered": 4.0, "onhe": 2.5}
 @register("""WITH c AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS a, len(regexp_extract_all(lower(text), '\\bered\\b')) AS b, len(regexp_extract_all(lower(text), '\\bonhe\\b')) AS c FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[ -~\\n]*'))
 SELECT doc_id, round((CASE WHEN a > 0 THEN 1.0 * (1 + 0.3 * (a - 1)) ELSE 0 END + CASE WHEN b > 0 THEN 4.0 * (1 + 0.3 * (b - 1)) ELSE 0 END + CASE WHEN c > 0 THEN 2.5 * (1 + 0.3 * (c - 1)) ELSE 0 END) / greatest(1.0, n / 800.0), 4)::DOUBLE AS score FROM c""".replace("\\\\", "\\"))
 def paragraph_score(spark, d):
-    ascii_only = table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return ascii_only.select("doc_id", F.round(text.score_paragraph(F.col("text"), _TERMS), 4).alias("score"))
+    return table(spark, d, "documents").select("doc_id", F.round(text.score_paragraph(F.col("text"), _TERMS), 4).alias("score"))
 
 
 @register("SELECT page_id, count(*) AS n FROM pages GROUP BY page_id")
@@ -159,7 +158,7 @@ def slug_titles(spark, d):
 
 @register("SELECT n_nationkey, lower(n_name) AS key FROM nation WHERE regexp_matches(n_name, '^[A-Za-z]+$')")
 def place_keys(spark, d):
-    x = table(spark, d, "nation").where(F.col("n_name").rlike("^[A-Za-z]+$")).withColumn("place", F.concat("n_name", F.lit(" County (old)")))
+    x = table(spark, d, "nation").withColumn("place", F.concat("n_name", F.lit(" County (old)")))
     return readers.load_places(x, "place", "n_nationkey").select("n_nationkey", "key")
 
 

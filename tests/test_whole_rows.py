@@ -37,3 +37,30 @@ def test_watch_match_takes_every_customer_and_project(spark):
     got = rows(spark, "watch_match")
     assert {(r.entry, r.id): r.via for r in got} == want and len(got) == len(want)
     assert any(r.via == "tenant" and r.id % 50 for r in got)
+
+
+def test_keys_of_every_nation(spark):
+    nations = {r.n_nationkey: r.n_name for r in table(spark, SF, "nation").collect()}
+    fold = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    got = rows(spark, "place_keys")
+    assert {r.n_nationkey: r.key for r in got} == {k: fold(n) for k, n in nations.items()} and len(got) == len(nations)
+    want = {}
+    for c in table(spark, SF, "customer").collect():
+        nation = nations[c.c_nationkey]
+        place = "county:" + fold(nation) if c.c_custkey % 4 == 0 else "city:" + fold(nation)
+        want[c.c_custkey] = f"{fold(c.c_name)}|{place}|{nation[:2].upper()}"
+    got = rows(spark, "dedup_keys")
+    assert {r.c_custkey: r.dedup_key for r in got} == want and len(got) == len(want)
+
+
+def test_texts_of_every_language(spark):
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    assert {r.doc_id: r.cut for r in rows(spark, "truncate_head_tail")} == {k: t if len(t) <= 500 else t[:345] + "\n[...]\n" + t[-148:] for k, t in docs.items()}
+    assert {r.doc_id: r.prose for r in rows(spark, "prose_length")} == {k: sum(n for x in t.split("\n") if (n := len(x.strip(" "))) >= 60) for k, t in docs.items()}
+
+    def score(t):
+        hits = ((w, len(re.findall(rf"\b{term}\b", t.lower()))) for term, w in (("the", 1.0), ("ered", 4.0), ("onhe", 2.5)))
+        return sum(w * (1 + 0.3 * (n - 1)) for w, n in hits if n) / max(1.0, len(t) / 800)
+
+    got = {r.doc_id: r.score for r in rows(spark, "paragraph_score")}
+    assert got.keys() == docs.keys() and all(abs(got[k] - score(t)) < 1e-4 for k, t in docs.items())
