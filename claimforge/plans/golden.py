@@ -149,7 +149,7 @@ def evidence_census(spark, d):
 
 @register(f"WITH {CLAIM} SELECT project_id, url FROM claim WHERE {_BUCKET} = 'defect' ORDER BY project_id, url LIMIT 500")
 def silent_defects(spark, d):
-    return claims(spark, d).where(F.expr(_BUCKET) == "defect").select("project_id", "url").orderBy("project_id", "url").limit(500)
+    return claims(spark, d).where(F.expr(_BUCKET) == "defect").select("project_id", "url").orderBy("project_id", "url")
 
 
 @register(f"""WITH {CLAIM}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY confirmed DESC, weight DESC, url DESC) AS rn FROM claim WHERE NOT decided_against),

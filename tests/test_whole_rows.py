@@ -64,3 +64,13 @@ def test_texts_of_every_language(spark):
 
     got = {r.doc_id: r.score for r in rows(spark, "paragraph_score")}
     assert got.keys() == docs.keys() and all(abs(got[k] - score(t)) < 1e-4 for k, t in docs.items())
+
+
+def test_reports_hold_every_row(spark):
+    want = sorted((r.project_id, r.url) for r in claims(spark, SF).collect() if not r.decided_against and not r.confirmed and r.weight == 1)
+    assert [tuple(r) for r in rows(spark, "silent_defects")] == want and len(want) > 500
+    groups = defaultdict(list)
+    for p in projects(spark, SF).collect():
+        groups[p.state, p.segment].append(p)
+    want = sorted(((s, g, len(x), ";".join(sorted({p.phase for p in x})), max(p.mw for p in x)) for (s, g), x in groups.items()), key=lambda r: (-r[2], r[0], r[1]))
+    assert [tuple(r) for r in rows(spark, "csv_row_shape")] == want and len(want) > 40
