@@ -29,6 +29,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,9 +77,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     return sets
 
 
-def _run_name(ids: np.ndarray, n: np.ndarray) -> int:
+def _run_name(ids: np.ndarray, n: np.ndarray, place: tuple[int, int]) -> int:
+    """A hash of the run's documents and of its place, partition and ordinal: equal rows elsewhere are another run."""
     folded = common.mix(ids.astype(np.uint64) + common.mix(np.arange(1, len(ids) + 1, dtype=np.uint64)))
-    return int(common.mix(np.array([folded.sum(dtype=np.uint64) + np.uint64(int(n.sum()))]))[0].astype(np.int64))
+    named = common.mix(np.array([folded.sum(dtype=np.uint64) + np.uint64(int(n.sum()))]))
+    return int(common.mix(named + common.mix(np.array([place[0] << 32 | place[1]], np.uint64)))[0].astype(np.int64))
 
 
 _SENT = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
@@ -87,9 +90,9 @@ _SENT = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binar
 def _send(width: int, buckets: int):
     """Documents to blobs for each (run of documents, range of hashes), and one row that names the run's documents."""
 
-    def rows(ids: list, sets: list) -> pa.RecordBatch:
+    def rows(ids: list, sets: list, place: tuple[int, int]) -> pa.RecordBatch:
         ids, sizes = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
-        run, out = _run_name(ids, sizes), {k: [] for k in _SENT.names}
+        run, out = _run_name(ids, sizes, place), {k: [] for k in _SENT.names}
 
         def add(*values):
             for k, v in zip(_SENT.names, values):
@@ -111,6 +114,7 @@ def _send(width: int, buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, held = [], [], 0
+        task, run = TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = common.string_buffers(batch.column(1))
@@ -119,10 +123,10 @@ def _send(width: int, buckets: int):
                 sets += shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
                 held += int(offsets[b] - offsets[a])
                 if held >= RUN_BYTES:
-                    yield rows(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield rows(ids, sets, (task, run))
+                    ids, sets, held, run = [], [], 0, run + 1
         if ids:
-            yield rows(ids, sets)
+            yield rows(ids, sets, (task, run))
 
     return send
 

@@ -67,6 +67,14 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 1, None), (1, 1, 1), (1, 1, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3)], key=str)
 
 
+def test_tasks_with_the_same_rows(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_jaccard_components(docs.union(docs)).collect()
+    want = [(d, n, c) for d, (n, c) in brute(rows).items()]
+    assert sorted(map(tuple, got)) == sorted(want * 2)
+
+
 def test_empty_table(spark):
     assert ngram_jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
