@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
@@ -19,11 +19,26 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_id"), F.coalesce("doc_id", own).alias("doc_id"), *COLUMNS[1:])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row's own whatever its id; written, so that it stays the same."""
+    to = exact_dedup.shared_path(docs, "rows")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(to)
+    return docs.sparkSession.read.parquet(to)
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Identified ``docs`` but those whose id is in ``dropped``; few ids are broadcast, many shuffled."""
+    """Numbered ``docs`` but the rows in ``dropped``; few numbers are broadcast, many shuffled."""
     ensure_checkpoint_dir(docs.sparkSession)
-    dropped = dropped.select("doc_id").distinct().checkpoint()
-    return restored(docs.join(broadcast_if_small(dropped), "doc_id", "left_anti"))
+    dropped = dropped.select("_row").checkpoint()
+    return docs.join(broadcast_if_small(dropped), "_row", "left_anti").select(*COLUMNS)
+
+
+def all_but_first(docs: DataFrame, groups: DataFrame, *order: Column) -> DataFrame:
+    """``_row`` of all rows of ``groups`` (``_row, grp``) but each group's first: by ``order``, then the smallest id, none last."""
+    first = F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)], F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    groups = groups.checkpoint()
+    kept = groups.join(docs, "_row").groupBy("grp").agg(F.min(first)["_row"].alias("_row"))
+    return groups.join(kept, "_row", "left_anti")
 
 
 def restored(docs: DataFrame) -> DataFrame:
@@ -32,21 +47,24 @@ def restored(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field doesn't call toxic. Learned from the labels of all folds but the held-out one."""
-    docs = identified(docs)
+    docs = numbered(docs)
     model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
-    return without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    return without(docs, toxicity.score(docs, model, "_row").where("predicted = 1").withColumnRenamed("doc_id", "_row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original, then the smallest id; rows without id come last."""
-    docs = identified(docs)
-    return without(docs, exact_dedup.exact_groups(docs).where("not kept"))
+    docs = numbered(docs)
+    groups = exact_dedup.exact_groups(docs, "_row").where("group_size > 1").selectExpr("doc_id AS _row", "keep_id AS grp")
+    return without(docs, all_but_first(docs, groups, F.negative(F.length(F.coalesce("text", F.lit(""))))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one of the smallest id; rows without id come last."""
-    docs = identified(docs)
-    return without(docs, ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id"))
+    docs = numbered(docs)
+    ensure_checkpoint_dir(spark)
+    groups = ngram_join.ngram_jaccard_components(docs, "_row").selectExpr("doc_id AS _row", "component_id AS grp")
+    return without(docs, all_but_first(docs, groups))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

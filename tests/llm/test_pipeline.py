@@ -64,3 +64,20 @@ def test_odd_rows(spark, tmp_path):
             kept = {r.doc_id for r in docs.collect()}
             assert kept == ({None, 1, 2, 3, 4}, {None, 1, 3, 4}, {None, 1, 3})[k]
     assert {r.doc_id for r in docs.collect()} <= {None, 3}
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    text, near = "one two three four five six", " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text)] * 3 + [(7, text), (7, text), (5, near), (5, near + " more"), (6, near), (6, "another clean text"), (None, near), (8, "last one"), (8, "last  one!")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:3]):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        got.append(sorted((r.doc_id or 0, r.text) for r in docs.collect()))
+    rest = [(6, "another clean text"), (7, text), (8, "last  one!"), (8, "last one")]
+    assert got[0] == sorted([(5, near), (5, near + " more"), *rest])
+    assert len(got[1]) == 5 and got[1][1:] == rest and got[1][0][0] == 5
+    seen = corpus_pipeline.numbered(spark.createDataFrame([(9, "rejected", "en", "s", 1), (9, text, "en", "s", 1)], docs.schema))
+    left = corpus_pipeline.without(seen, seen.where(seen.text == "rejected").select("_row")).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(9, text)]  # a row of a rejected one's id stays
