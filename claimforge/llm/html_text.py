@@ -45,6 +45,8 @@ COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply res
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A block of so many words and such a share of stop words is text; of such a share of link text it is boilerplate.
 MIN_WORDS, MIN_STOP, MAX_LINK = 12, 0.12, 0.5
+#: On a page in another language a block of so many letters is text; languages that don't space words have few words.
+MIN_LETTERS = 60
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -153,6 +155,9 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
 
 def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
     """The two passes."""
+    own = [_WORD.findall(text.lower()) for text, linked, bad, _, _ in cut if not bad and linked <= MAX_LINK * len("".join(text.split()))]
+    # stop words tell something if an article is marked, or if the page's text shows one of their languages
+    known = any(x[3] for x in cut) or sum(w in STOP_WORDS for x in own for w in x) >= MIN_STOP / 2 * sum(map(len, own))
     first = []
     for text, linked, bad, article, _ in cut:
         words = _WORD.findall(text.lower())
@@ -161,6 +166,8 @@ def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
             first.append(BAD)
         elif len(words) >= MIN_WORDS and stop >= MIN_STOP:
             first.append(GOOD)
+        elif not known and sum(map(len, words)) >= MIN_LETTERS:
+            first.append(GOOD)
         elif len(words) >= 2 * MIN_WORDS and stop < MIN_STOP / 2 and not article:
             first.append(BAD)
         else:

@@ -21,6 +21,13 @@ def test_blocks_without_containers():
     assert main_text(html) == f"On the page {PARA} Yes. {PARA}"
 
 
+def test_other_languages_without_containers():
+    for para, short in (("Это длинный абзац текста страницы на русском языке, " * 5, "Ещё раз."), ("这是一个没有空格的很长的中文段落它讲述了许多事情" * 5, "再见。")):
+        para = para.strip()
+        html = f"<body><div><a href=x>{para}</a></div><div>{para}</div><div>{short}</div><div>{para}</div></body>"
+        assert main_text(html) == f"{para} {short} {para}"
+
+
 def test_layout_classes_say_nothing():
     html = f'<body class="has-sidebar cookies header"><div class="content-sidebar-wrap no-footer"><div>{PARA}</div></div><div class="post-footer">{PARA}</div></body>'
     assert main_text(html) == PARA
