@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from claimforge.session import ensure_checkpoint_dir
 
 #: Fixed value: the bytes that separate words, 0x20 and 0x09-0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -95,6 +99,38 @@ def size_in_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 2**60)
 
 
+def shared_path(df: DataFrame, name: str) -> str:
+    """A new folder under the checkpoint folder, which the driver and all executors share."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` and, as the last column, a number for each row, the same whenever it is read: ``_row``, or longer if taken.
+
+    A table just read from Parquet is numbered by file and place in the file; anything else is written first.
+    """
+    row, columns = "_row", docs.columns
+    while row in columns:
+        row += "_"
+    if not _just_read(docs):
+        to = shared_path(docs, "rows")
+        docs.write.parquet(to)
+        docs = docs.sparkSession.read.parquet(to)
+    ensure_checkpoint_dir(docs.sparkSession)
+    file, at = (f"{name}_{uuid.uuid4().hex}" for name in ("file", "at"))
+    place = docs.metadataColumn("_metadata")
+    files = docs.select(place["file_path"].alias(file)).distinct()
+    files = files.withColumn(row, F.row_number().over(Window.orderBy(file)).cast("long")).checkpoint()  # a row a file
+    placed = docs.select("*", place["file_path"].alias(file), place["row_index"].alias(at)).join(broadcast_if_small(files), file)
+    return placed.select(*columns, (F.shiftleft(row, 40) + F.col(at)).alias(row))
+
+
+def _just_read(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files as it was read: behind a join or a union a place in a file is no row's own."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(docs.inputFiles())
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -108,8 +144,6 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     For DataFrames that are cheap to count: rows of a few bytes, read from a table.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -157,8 +191,6 @@ class _Numbers(dict):
 
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of an id written as text; a null id's is null."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 

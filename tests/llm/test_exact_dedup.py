@@ -42,10 +42,32 @@ def test_odd_rows(spark):
     assert exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_directory_splits_only_overfull_buckets(spark):
+def test_directory_splits_only_overfull_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "DEPTH", 5)
     keys = [k << 60 for k in range(-8, 8)] + [(3 << 60) + k for k in range(40)]
-    levels = exact_dedup.build_directory(spark.createDataFrame([(k,) for k in keys], "key long"), capacity=20)
-    assert levels[0][0] == 2 and len(levels[0][1]) == 1 and levels[-1][1] == set() or levels[-1][0] == exact_dedup.DEPTH
+    depth, directory = exact_dedup.build_directory(spark.createDataFrame([(k,) for k in keys], "key long"), capacity=20)
+    slots = {r.slot: r.bucket for r in directory.collect()}
+    assert depth == 5 and sorted(slots) == list(range(32))
+    assert [slots[k] for k in (0, 4, 6, 7, 8, 16, 31)] == ["3:0", "4:2", "5:6", "5:7", "2:1", "2:2", "2:3"] and len(set(slots.values())) == 7
+
+
+def test_every_document_finds_its_entry_through_the_directory(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = exact_dedup.build_directory
+
+    def torn(entries, capacity):
+        depth, directory = real(entries, capacity)
+        return depth, directory.where("slot % 2 = 0")
+
+    monkeypatch.setattr(exact_dedup, "build_directory", torn)
+    assert 0 < exact_groups(docs, capacity=2).count() < len(rows)
+
+
+def test_one_row_of_each_group_by_row_numbers(spark):
+    rows = [(k, d, t) for k, (d, t) in enumerate([(None, "a")] * 3 + [(4, "a"), (4, "a"), (None, "b"), (None, "b "), (9, "  c"), (8, "c"), (9, "  c")])]
+    got = exact_groups(spark.createDataFrame(rows, "n long, doc_id long, text string").repartition(3), row_col="n").collect()
+    assert len(got) == len(rows) and {r.n for r in got if r.kept} == {3, 6, 7}
 
 
 def test_texts_that_collide_are_told_apart(spark, monkeypatch):
