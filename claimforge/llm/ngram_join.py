@@ -10,13 +10,18 @@ A document is its set of distinct word shingles.  Two documents link when
    with nothing.  Of the rest, documents with equal sets are one class, met by its smallest id.
 3. *Prefixes.*  In order of (frequency, hash), documents that link share a shingle of their first
    ``n - ceil(threshold * n) + 1``.  Components of "shares a prefix shingle" are closed under links.
-4. *Search.*  Each such component is searched in blocks of bounded size: inverted lists, of which
-   DivideSkip merges the short ones and probes the long ones.  A component larger than a block is
-   dealt as pairs of blocks, so no task holds more than two.  A search leaves out partners that are
-   already connected, so copies of copies aren't expanded into pairs.
+4. *Search.*  Each such component is searched in cells of bounded size: inverted lists, of which
+   DivideSkip merges the short ones and probes the long ones.  A component larger than a block is cut
+   into bands of set sizes, since sizes of documents that link differ by a factor at most, and bands into
+   blocks; pairs of cells of the same or of neighbouring bands are searched, so no task holds more than
+   two.  A search leaves out partners that are already connected, so copies of copies aren't expanded into pairs.
 
 Hot keys: a frequent shingle is last in every prefix; a large group of copies is one class, combined
 before the shuffle; a large group of near copies is split into blocks.
+
+Shingles are told apart by 64-bit hashes, of which those of other documents are compared by 48 bits
+and their key range: two different shingles of a pair of documents pass for equal with a chance of
+less than 2 ** -48 for each pair of shingles that is compared.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -38,14 +43,14 @@ from claimforge.operators.components import connected_components
 from claimforge.session import ensure_checkpoint_dir
 
 #: Bytes of text whose shingles are sent together.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 #: Bytes of text that are hashed at once.
 SCAN_BYTES = 4 << 20
 #: Bytes of input for each key range.
 RANGE_BYTES = 8 << 20
 #: Documents of a block of the search.
 BLOCK = 1024
-#: Lists whose total length is over this are merged by counting instead of a heap.
+#: Lists whose total length is over this are merged by numpy's sort of runs instead of a heap in Python.
 HEAP_MOST = 512
 
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
@@ -87,6 +92,18 @@ def _run_name(ids: np.ndarray, n: np.ndarray, place: tuple[int, int]) -> int:
 _SENT = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
 
+def _packed(owner: np.ndarray, docs: int) -> bytes:
+    """Sorted owners: how many each document has, or, where that is shorter, the owners themselves after a -1."""
+    if len(owner) + 1 < docs:
+        return np.concatenate([[-1], owner]).astype(np.int32).tobytes()
+    return np.bincount(owner, minlength=docs).astype(np.int32).tobytes()
+
+
+def _owners(packed: bytes) -> np.ndarray:
+    found = np.frombuffer(packed, np.int32)
+    return found[1:] if len(found) and found[0] == -1 else np.repeat(np.arange(len(found)), found)
+
+
 def _send(width: int, buckets: int):
     """Documents to blobs for each (run of documents, range of hashes), and one row that names the run's documents."""
 
@@ -109,11 +126,11 @@ def _send(width: int, buckets: int):
             a, b = cuts[k], cuts[k + 1]
             if b > a:
                 low = hashed[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
-                add(run, k, None, np.bincount(owner[a:b], minlength=len(ids)).astype(np.int32).tobytes(), low.tobytes())
+                add(run, k, None, _packed(owner[a:b], len(ids)), low.tobytes())
         return pa.RecordBatch.from_pydict(out, schema=_SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, sets, held = [], [], 0  # a document of any length is in one run
         task, run = TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
@@ -168,13 +185,12 @@ def _count(table: pa.Table) -> pa.Table:
             cut += len(part)
             kept = own > 1
             if kept.any():
-                counts = np.frombuffer(x["counts"], np.int32)
-                owner = np.repeat(np.arange(len(counts)), counts)[kept]
+                owner = _owners(x["counts"])
                 out["run"].append(x["run"])
                 out["ids"].append(None)
-                out["counts"].append(np.bincount(owner, minlength=len(counts)).astype(np.int32).tobytes())
-                # the range is part of the hash; 16 bits hold it
-                out["hashes"].append((part[kept] | (np.uint64(x["bucket"]) << np.uint64(48))).tobytes())
+                out["counts"].append(_packed(owner[kept], len(x["counts"]) // 4))
+                # the range is part of the hash, by its last 16 bits
+                out["hashes"].append((part[kept] | (np.uint64(x["bucket"] & 65535) << np.uint64(48))).tobytes())
                 out["seen"].append(np.minimum(own[kept], 2**31 - 1).astype(np.uint32).tobytes())
     return pa.Table.from_pydict(out, schema=_BACK)
 
@@ -197,8 +213,7 @@ def _gather(threshold: int):
             if row["hashes"] is None:
                 ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64)
             else:
-                counts = np.frombuffer(row["counts"], np.int32)
-                owners.append(np.repeat(np.arange(len(counts)), counts))
+                owners.append(_owners(row["counts"]))
                 hashes.append(np.frombuffer(row["hashes"], np.uint64))
                 seen.append(np.frombuffer(row["seen"], np.uint32))
         shared, digests, bodies = np.zeros(len(ids), np.int64), [None] * len(ids), [None] * len(ids)
@@ -268,16 +283,27 @@ def divide_skip(lists: list[np.ndarray], least: int, ids: int) -> tuple[np.ndarr
     At most ``least - 1`` lists are long, so a result is on one short list at least.  ``ids`` bounds the ids.
     """
     lists = sorted(lists, key=len)
-    long = min(least - 1, len(lists) - 1) if len(lists) > 1 else 0
-    while long and len(lists[-long]) <= 8:  # short lists cost less in the merge
-        long -= 1
+    long = long_lists(np.array([len(x) for x in lists], np.int64), least)
     short, probed = lists[:len(lists) - long], lists[len(lists) - long:]
-    if sum(map(len, short)) <= HEAP_MOST:
-        found = merge_skip([x.tolist() for x in short], least - long)
-        return np.array(list(found), np.int64), np.array(list(found.values()), np.int64), probed
-    counts = np.bincount(np.concatenate(short), minlength=ids)
-    at = np.flatnonzero(counts >= least - long)
-    return at, counts[at], probed
+    return *merge(short, least - long), probed
+
+
+def long_lists(lengths: np.ndarray, least: int) -> int:
+    """How many of the lists, whose lengths ascend, are probed instead of merged."""
+    long = min(least - 1, len(lengths) - 1) if len(lengths) > 1 else 0
+    return min(long, len(lengths) - int(np.searchsorted(lengths, 8, side="right")))  # short lists cost less in the merge
+
+
+def merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids on at least ``least`` of the sorted lists, with how many."""
+    if sum(map(len, lists)) <= HEAP_MOST:
+        found = merge_skip([x.tolist() for x in lists], least)
+        return np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+    merged = np.sort(np.concatenate(lists), kind="stable")  # merges ascending runs
+    fresh = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+    counts = np.diff(np.append(fresh, len(merged)))
+    enough = counts >= least
+    return merged[fresh[enough]], counts[enough]
 
 
 def probe(candidates: np.ndarray, counts: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
@@ -292,30 +318,53 @@ def probe(candidates: np.ndarray, counts: np.ndarray, lists: list[np.ndarray]) -
 def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """Links that connect what links among these documents: a spanning forest of each component."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes, bodies = nodes[order], sizes[order], [bodies[i] for i in order]
+    nodes, sizes, bodies = nodes[order], sizes[order], [np.sort(bodies[i]) for i in order]
     total = len(nodes)
     joined = np.concatenate(bodies) if total else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(total), [len(x) for x in bodies])
-    by_hash = np.lexsort((owner, joined))
-    keys, begins = np.unique(joined[by_hash], return_index=True)
-    posted, ends = owner[by_hash], np.append(begins[1:], len(joined))
+    lengths = np.array([len(x) for x in bodies], np.int64)
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(total), lengths)
+    by_hash = np.argsort(joined, kind="stable")
+    posted, ordered = owner[by_hash], joined[by_hash]
+    number = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if total else owner
+    least = -(-threshold * sizes // 100)
+    smallest = np.searchsorted(sizes, least)  # an earlier document has as many shingles at most
+    # the list of each shingle of each document: documents before it that aren't too small
+    ends = np.empty(len(joined), np.int64)
+    ends[by_hash] = np.arange(len(joined))
+    begins = np.searchsorted(number * total + posted, number[ends] * total + smallest[owner])
     root, links = np.arange(total), []
+
+    def join(k: int, q: int) -> None:
+        links.append((int(nodes[k]), int(nodes[q])))
+        root[root == root[k]] = root[q]
+
     for q in range(total):
-        n = int(sizes[q])
-        smallest = int(np.searchsorted(sizes, least_overlap(n, threshold)))  # an earlier one has n shingles at most
-        if smallest >= q:
+        n, need = int(sizes[q]), int(least[q])
+        a, b = begins[cuts[q]:cuts[q + 1]], ends[cuts[q]:cuts[q + 1]]
+        some = b > a
+        if smallest[q] >= q or some.sum() < need:
             continue
-        least = least_overlap(n, threshold)
-        at = np.searchsorted(keys, bodies[q])
+        a, b = a[some], b[some]
+        by_length = np.argsort(b - a, kind="stable")
+        a, b = a[by_length], b[by_length]
+        short = len(a) - long_lists(b - a, need)
+        # who comes last on the short lists is likely a partner; what it is connected with needs no search
+        last, often = np.unique(posted[b[:short] - 1], return_counts=True)
+        for k in last[np.argsort(-often, kind="stable")[:2]]:
+            overlap = len(np.intersect1d(bodies[q], bodies[k], assume_unique=True))
+            if root[k] != root[q] and 100 * overlap >= threshold * (n + sizes[k] - overlap):
+                join(k, q)
         lists = []
-        for a, b in zip(begins[at], ends[at]):
-            own = posted[a:b]
-            own = own[np.searchsorted(own, smallest):np.searchsorted(own, q)]
+        for x, y in zip(a[:short].tolist(), b[:short].tolist()):
+            own = posted[x:y]
+            own = own[root[own] != root[q]]
             if len(own):
                 lists.append(own)
-        if len(lists) < least:
+        if not lists:
             continue
-        found, counts, long = divide_skip(lists, least, total)
+        found, counts = merge(lists, need - (len(a) - short))
+        long = [posted[x:y] for x, y in zip(a[short:].tolist(), b[short:].tolist())] if len(found) else []
         while len(found):
             apart = root[found] != root[q]
             found, counts = found[apart], counts[apart]
@@ -327,8 +376,7 @@ def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray],
             hit = 100 * overlap >= threshold * (n + sizes[found[tried]] - overlap)
             for k in found[tried][hit]:
                 if root[k] != root[q]:
-                    links.append((int(nodes[k]), int(nodes[q])))
-                    root[root == root[k]] = root[q]
+                    join(k, q)
             found, counts = found[rest], counts[rest]
     return links
 
@@ -354,7 +402,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     unnamed = rows.where("doc_id is null").select("text")
     rows = rows.where("doc_id is not null")
-    buckets = min(65536, max(common.shuffle_partitions(docs), ceil(common.size_in_bytes(docs) / RANGE_BYTES)))
+    buckets = min(1 << 24, max(common.shuffle_partitions(docs), ceil(common.size_in_bytes(docs) / RANGE_BYTES)))  # the hash has 24 bits for them
     sent = rows.mapInArrow(_send(width, buckets), "run long, bucket int, ids binary, counts binary, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "run long, ids binary, counts binary, hashes binary, seen binary")
     kept = answers.groupBy("run").applyInArrow(_gather(threshold), "doc_id long, n long, shared long, digest binary, body binary").checkpoint()
@@ -369,12 +417,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     near = posted.join(met.select("hash", "least"), "hash").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     group = connected_components(near).withColumnRenamed("component", "grp")
 
-    parts = group.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    # cells: bands of set sizes, of which linked documents are in the same or the next, cut into blocks
+    factor = max(log(100 / threshold), 1e-3) * (1 + 1e-9)
+    sized = group.join(classes.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / factor).cast("int"))
+    counted = sized.groupBy("grp", "band").agg(F.count("*").alias("docs"))
+    bands = counted.groupBy("grp").agg(F.sum("docs").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("docs") / block).cast("int")))).alias("parts"))  # a few dozen bands
+    cell = lambda band, part: band.cast("long") * 2**32 + part
+    own = cell(F.col("band"), F.pmod(F.xxhash64("node"), F.col("parts")[F.col("band")]))
+    met_in = lambda band: F.when(F.col("parts")[band].isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.col("parts")[band] - 1), lambda k: cell(band, k))).otherwise(F.array().cast("array<long>"))
+    near_cells = F.filter(F.concat(*(met_in(F.col("band") + k) for k in (-1, 0, 1))), lambda x: x != F.col("own"))
     unit = (
-        group.join(parts, "grp")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-            F.expr("filter(sequence(0, parts - 1), x -> x <> own)"))))
+        sized.join(bands, "grp").withColumn("own", F.when(F.col("all") <= block, F.lit(0).cast("long")).otherwise(own))
+        .withColumn("other", F.explode(F.when((F.col("all") <= block) | (F.size(near_cells) == 0), F.array("own")).otherwise(near_cells)))
         .select("node", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     found = (

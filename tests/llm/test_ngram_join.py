@@ -89,3 +89,33 @@ def test_divide_skip_finds_what_counting_finds():
             if least <= len(lists):
                 found, short, long = divide_skip(lists, least, 60)
                 assert set(np.flatnonzero(counts >= least)) <= set(found.tolist())
+
+
+def test_bands_and_blocks_of_one_component(spark):
+    """A component of many sizes and cells: a passage that documents of all lengths share, and near copies of each length."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for n in (0, 2, 5, 8, 12, 20, 40, 90, 200):
+        base = passage + [f"x{n}y{k}" for k in range(n)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"z{rng.randrange(9)}"
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (3, 1024):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs, block=block).collect()} == brute(rows)
+    assert {r.component_id for r in ngram_jaccard_components(docs, block=2, threshold=100).collect()} == {
+        min(d for d, t in rows if shingles(t) == shingles(own)) for _, own in rows}
+
+
+def test_owners_are_packed_either_way():
+    from claimforge.llm.ngram_join import _owners, _packed
+
+    for docs in (1, 3, 500):
+        owner = np.sort(np.random.default_rng(docs).integers(0, docs, 40))
+        assert (_owners(_packed(owner, docs)) == owner).all()
+    assert len(_owners(_packed(np.zeros(0, np.int64), 9))) == 0
