@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from claimforge.llm import common
 
@@ -28,12 +29,10 @@ SAMPLE_DOCS = 1500
 #: Prefixes of a word that are features, in letters.
 PREFIXES = (4, 5, 6)
 #: A feature is known if so many toxic documents have it, its share of them is so many times that of the others, and
-#: chance would bring so few such features among all that were looked at (a bound on the binomial tail).
-MIN_DOCS, MIN_RATIO, CHANCE = 4, 20.0, 0.01
+#: chance would bring no more than such a share of the known features (by a bound on the binomial tail).
+MIN_DOCS, MIN_RATIO, CHANCE = 4, 20.0, 0.1
 #: Clean documents in the sample for each toxic one: with more of them, fewer words seem tied to the label.
 CLEAN = 2
-#: Known features at most, the most telling ones.
-MOST_FEATURES = 50_000
 #: Words of a training sequence; rounds of gradient ascent; pull of weights to zero.
 SEQUENCE, ROUNDS, PULL = 64, 60, 1e-3
 #: A token is in a span from this marginal on.
@@ -124,21 +123,36 @@ class _Powers:
         self.move = np.exp(move)
         self.plain = self.move * np.array([1.0, np.exp(bias)])  # into a token of no known feature
         self.start = np.array([1.0, 0.0])
+        self.tables = [self._table(self.plain)]
+
+    @staticmethod
+    def _table(base: np.ndarray) -> np.ndarray:
+        """Powers 0 to 4095, each to a factor of its own."""
         powers = [np.eye(2)]
         while len(powers) < 4096:
-            x = powers[-1] @ self.plain
+            x = powers[-1] @ base
             powers.append(x / x.sum())
-        self.powers = np.array(powers)
+        return np.array(powers)
+
+    def power(self, n: np.ndarray) -> np.ndarray:
+        """``plain ** n``, to a factor: by the digits of n to the base 4096."""
+        found, level = self.tables[0][n & 4095], 1
+        while (n := n >> 12).any():
+            if level == len(self.tables):
+                x = self.tables[-1][-1] @ self.tables[-1][1]
+                self.tables.append(self._table(x / x.sum()))
+            found = found @ self.tables[level][n & 4095]
+            level += 1
+        return found
 
     def through(self, state: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """States before a token's own emission; ``gap - 1`` plain tokens lie between."""
-        x = np.einsum("ni,nij->nj", state, self.powers[np.minimum(gap - 1, 4095)])
-        return x @ self.move
+        return np.einsum("ni,nij->nj", state, self.power(gap - 1)) @ self.move
 
     def back(self, state: np.ndarray, gap: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Messages from what follows: ``gap - 1`` plain tokens, then a known one or the end."""
         x = np.where(last[:, None], 1.0, state @ self.move.T)
-        x = np.einsum("nij,nj->ni", self.powers[np.minimum(gap - 1, 4095)], x)
+        x = np.einsum("nij,nj->ni", self.power(gap - 1), x)
         return x / x.sum(1, keepdims=True)
 
 
@@ -151,6 +165,20 @@ def _evidence(inside: int, outside: int, share: float) -> float:
     return n * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if outside else 0.0))
 
 
+def known_features(inside: Counter, outside: Counter, toxic: int, clean: int) -> list[str]:
+    """The features that are tied to the label, the most telling ones first.
+
+    ``inside`` and ``outside`` count the documents with each feature among ``toxic`` and ``clean`` ones.  The longest
+    list is taken of which chance would bring a share of CHANCE at most, counting as looked at those features only that
+    are in MIN_DOCS documents: with few labels that asks for less than a bound for each feature of its own.
+    """
+    looked_at = sum(n + outside[f] >= MIN_DOCS for f, n in inside.items())
+    tied = {f: _evidence(n, outside[f], toxic / (toxic + clean)) for f, n in inside.items() if n >= MIN_DOCS and n * clean >= MIN_RATIO * outside[f] * toxic}
+    order = sorted(tied, key=lambda f: (-tied[f], f))
+    enough = [k for k, f in enumerate(order, 1) if tied[f] >= np.log(looked_at / (CHANCE * k))]
+    return order[:enough[-1]] if enough else []
+
+
 def fit_field(known: list[list[int]], tags: list[np.ndarray], size: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights of ``size`` features, the bias and the log transitions, from sequences of tokens.
 
@@ -234,22 +262,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if len(set(y)) < 2:
         return ToxicityModel({}, -2.0, move, np.array([0.0, 0.0, 40.0 if y.sum() else -40.0]))
 
-    # features of toxic texts first; others count only those, so the driver holds no vocabulary of all texts
+    # features of toxic texts only, so the driver holds no vocabulary of all texts
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
     inside, outside = Counter(), Counter()
     for t, label in zip(texts, y):
         if label:
             inside.update({f for w in set(t.split()) for f in features(w)})
-    looked_at = len(inside)
-    inside = {f: n for f, n in inside.items() if n >= MIN_DOCS}
     for t, label in zip(texts, y):
         if not label:
             outside.update({f for w in set(t.split()) for f in features(w) if f in inside})
-    tied = {f: _evidence(n, outside[f], toxic / (toxic + clean)) for f, n in inside.items() if (n / toxic) / ((outside[f] + 0.5) / clean) >= MIN_RATIO / 4}
-    least = np.log(max(1, looked_at) / CHANCE)
-    known = sorted((f for f, x in tied.items() if x >= least and inside[f] * clean >= MIN_RATIO * outside[f] * toxic), key=lambda f: (-tied[f], f))[:MOST_FEATURES]
+    known = known_features(inside, outside, toxic, clean)
     number = {f: k for k, f in enumerate(known)}
-    del inside, outside, tied
+    del inside, outside
 
     lists, tags, none = [], [], []
     for t, label in zip(texts, y):
@@ -289,7 +313,7 @@ def _known_marginals(model: ToxicityModel, table: common.WordTable, raw: np.ndar
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; null counts as empty.  One row per input row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of features of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -302,6 +326,22 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def annotate(docs: DataFrame, model: ToxicityModel, name: str = "toxic", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``predicted`` of ``score`` as a further column ``name``; rows and columns stay as they are."""
+    sent, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # weights of features of the bounded sample
+    names = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        table = own.words()
+        for rows, raw, offsets in common.scan_rows(batches, text):
+            marginal, first = _known_marginals(own, table, raw, offsets)[:2]
+            found = pa.array((own.score(marginal, first) >= 0.5).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*rows.columns, found], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
+
+
 def spans(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, stop, text, marginal``: offending tokens with their offsets in code points."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
