@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimforge.llm.common import numbered
 from claimforge.session import ensure_checkpoint_dir
 
 #: The dynamic program's table; a budget beyond it is first filled in proportion to the counts.
@@ -114,17 +115,17 @@ def word_count(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """``doc_id, text_key, size, source_size, target, copies`` for every row.
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, copies`` for every row, and ``row``, what ``row_col`` says of it.
 
-    ``copies`` is how often the mix has the row, 0 to 3; ``text_key`` is a hash of its text.  Null texts
-    have no words; words of a null source are a source's, too.  The draw hangs on seed, id and text only;
-    rows alike in all three are interchangeable.  Other columns are not read.
+    ``copies`` is how often the mix has the row, 0 to 3.  Null texts have no words; words of a null source are
+    a source's, too.  The draw hangs on seed, id and text only; of rows alike in all three those of lower
+    ``row_col`` come first, and without it they are interchangeable.  Other columns are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_key"),
+        word_count(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw")).checkpoint()
     counts = rows.groupBy("source", "size").agg(F.count("*").alias("docs")).checkpoint()
     wanted = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))).checkpoint()
@@ -142,16 +143,20 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.shiftrightunsigned("draw", 33) / F.lit(float(2**31)) * F.ceil(F.col("docs") / DRAW)))
     before = parted.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("n")).drop("n")
-    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.shiftrightunsigned("draw", 33), "draw", "doc_id")))
+    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.shiftrightunsigned("draw", 33), "draw", "doc_id", "row")))
     return same(ranked, before, "source", "size", "part").select(
-        "doc_id", "text_key", "size", "source_size", "target",
+        "doc_id", "row", "size", "source_size", "target",
         (F.col("repeats") + (F.col("before") + F.col("rank") <= F.col("take")).cast("int")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, repeats included, with all their columns."""
-    name = {n: f"{n}_{uuid.uuid4().hex}" for n in ("id", "key", "copies", "copy")}  # docs may have columns of any name
-    plan = mix_plan(docs, seed=seed).where("copies > 0 and doc_id is not null").groupBy("doc_id", "text_key").agg(F.max("copies").alias(name["copies"]))
-    plan = plan.withColumnsRenamed({"doc_id": name["id"], "text_key": name["key"]})
-    taken = docs.join(plan, (docs["doc_id"] == plan[name["id"]]) & (F.xxhash64(docs["text"]) == plan[name["key"]]))
-    return taken.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(*(docs[c] for c in docs.columns))
+    """The rows of ``docs`` that the mix takes, repeats included, with all their columns.
+
+    Every row is planned and taken for itself: rows without id and rows that repeat another come as often as
+    the plan has each of them.
+    """
+    rows = numbered(docs)
+    row, copies, copy = rows.columns[-1], *(f"{n}_{uuid.uuid4().hex}" for n in ("copies", "copy"))  # docs may have columns of any name
+    plan = mix_plan(rows, seed=seed, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    taken = rows.join(plan, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.drop(row, copies, copy)

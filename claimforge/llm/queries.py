@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimforge.session import table
 
@@ -80,7 +81,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from claimforge.llm import token_files
-    from claimforge.llm.exact_dedup import shared_path
+    from claimforge.llm.common import shared_path
 
     docs = table(spark, sf_dir, "documents")
     to = shared_path(docs, "tokens")
@@ -96,7 +97,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimforge.llm.common import crc32_of_id
 
     docs = table(spark, sf_dir, "documents")
-    held_out = crc32_of_id() % 4 == 2
+    held_out = F.coalesce(crc32_of_id() % 4 == 2, F.lit(False))  # a row without id has no remainder
     vocabulary = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"), vocabulary)
     return language_id.predict(docs, model).withColumn("held_out", held_out)
@@ -109,7 +110,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).withColumn("held_out", crc32_of_id() % 5 == 0)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(crc32_of_id() % 5 == 0, F.lit(False)))
 
 
 @query
