@@ -1,75 +1,63 @@
-"""The corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, texts become token ids."""
+"""The corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, texts become token ids.
+
+Every stage takes a table with the columns of ``documents``, and further ones of any name, which stay; a column of
+``documents`` that isn't there is an error.  The last stage returns token ids.  Rows are decided one by one, whatever
+their ids: a row without id, or that repeats another's, is a row of its own.  A table without rows gives one without rows.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from claimforge.llm.common import broadcast_if_small
-from claimforge.session import ensure_checkpoint_dir, table
+from claimforge.llm.common import broadcast_if_small, numbered, shared_path
+from claimforge.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_id``, the id as it was, and a ``doc_id`` for rows without one: from the text, above 2 ** 62."""
-    own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(2**62))
-    return docs.select(F.col("doc_id").alias("_id"), F.coalesce("doc_id", own).alias("doc_id"), *COLUMNS[1:])
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of each row's own whatever its id; written, so that it stays the same."""
-    to = exact_dedup.shared_path(docs, "rows")
-    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(to)
-    return docs.sparkSession.read.parquet(to)
-
-
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Numbered ``docs`` but the rows in ``dropped``; few numbers are broadcast, many shuffled."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    dropped = dropped.select("_row").checkpoint()
-    return docs.join(broadcast_if_small(dropped), "_row", "left_anti").select(*COLUMNS)
-
-
-def all_but_first(docs: DataFrame, groups: DataFrame, *order: Column) -> DataFrame:
-    """``_row`` of all rows of ``groups`` (``_row, grp``) but each group's first: by ``order``, then the smallest id, none last."""
-    first = F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)], F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    groups = groups.checkpoint()
-    kept = groups.join(docs, "_row").groupBy("grp").agg(F.min(first)["_row"].alias("_row"))
-    return groups.join(kept, "_row", "left_anti")
-
-
-def restored(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("_id").alias("doc_id"), *COLUMNS[1:])
+    """Numbered ``docs`` but the rows in ``dropped``, without their numbers; few numbers are broadcast, many shuffled."""
+    row = docs.columns[-1]
+    return docs.join(broadcast_if_small(dropped.select(row).checkpoint()), row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field doesn't call toxic. Learned from the labels of all folds but the held-out one."""
-    docs = numbered(docs)
+    """Documents that the field doesn't call toxic; null and empty texts stay.
+
+    Learned from the labels of all folds but the held-out one.
+    """
     model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
-    return without(docs, toxicity.score(docs, model, "_row").where("predicted = 1").withColumnRenamed("doc_id", "_row"))
+    toxic = f"toxic_{uuid.uuid4().hex}"
+    return toxicity.annotate(docs, model, toxic).where(F.col(toxic) == 0).drop(toxic)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id; rows without id come last."""
+    """Of equal texts one row: of the longest original, then the smallest id, none last. Null texts equal empty ones."""
     docs = numbered(docs)
-    groups = exact_dedup.exact_groups(docs, "_row").where("group_size > 1").selectExpr("doc_id AS _row", "keep_id AS grp")
-    return without(docs, all_but_first(docs, groups, F.negative(F.length(F.coalesce("text", F.lit(""))))))
+    return without(docs, exact_dedup.exact_groups(docs, row_col=docs.columns[-1]).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one of the smallest id; rows without id come last."""
+    """Of documents that links connect one row: of the smallest id, none last. Texts without words link with nothing."""
     docs = numbered(docs)
-    ensure_checkpoint_dir(spark)
-    groups = ngram_join.ngram_jaccard_components(docs, "_row").selectExpr("doc_id AS _row", "component_id AS grp")
-    return without(docs, all_but_first(docs, groups))
+    row = docs.columns[-1]
+    linked = ngram_join.ngram_jaccard_components(docs, row).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").checkpoint()
+    several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    linked = linked.join(several, "component_id").checkpoint()
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row")
+    kept = linked.join(ids, "row").groupBy("component_id").agg(first).select("row")
+    return without(docs, linked.join(kept, "row", "left_anti").withColumnRenamed("row", row))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document may come up to three times."""
-    return restored(mixing.mix_documents(identified(docs)))
+    """Sources at their target weights; a row may come up to three times. Texts without words don't come."""
+    return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,7 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        to = exact_dedup.shared_path(docs, "stage")
+        to = shared_path(docs, "stage")
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
     return docs
