@@ -52,15 +52,22 @@ def first_term(hay: Column, terms: list[str]) -> Column:
 
 def keyword_filter(text: Column, exclude: list[str], topic: list[str], signal: list[str], risk: list[str], topic_implied: bool = False) -> Column:
     """``struct<keep boolean, reason string>``: an excluded term drops; a topic and a signal or risk keep."""
-    hay = haystack(text)
-    out, about, sign, danger = (first_term(hay, terms) for terms in (exclude, topic, signal, risk))
-    on_topic = F.lit(True) if topic_implied else about.isNotNull()
-    keep = out.isNull() & on_topic & (sign.isNotNull() | danger.isNotNull())
-    reason = (
-        F.when(out.isNotNull(), F.concat(F.lit("excluded: "), out)).when(~on_topic, "no topic")
-        .when(sign.isNotNull(), F.concat(F.lit("signal: "), sign)).when(danger.isNotNull(), F.concat(F.lit("risk: "), danger)).otherwise("no signal")
-    )
-    return F.struct(keep.alias("keep"), reason.alias("reason"))
+    def decide(found: Column) -> Column:
+        out, sign, danger = found["out"], found["sign"], found["danger"]
+        on_topic = F.lit(True) if topic_implied else found["about"].isNotNull()
+        keep = out.isNull() & on_topic & (sign.isNotNull() | danger.isNotNull())
+        reason = (
+            F.when(out.isNotNull(), F.concat(F.lit("excluded: "), out)).when(~on_topic, "no topic")
+            .when(sign.isNotNull(), F.concat(F.lit("signal: "), sign)).when(danger.isNotNull(), F.concat(F.lit("risk: "), danger)).otherwise("no signal")
+        )
+        return F.struct(keep.alias("keep"), reason.alias("reason"))
+
+    def look(hay: Column) -> Column:
+        tiers = {"out": exclude, "about": topic, "sign": signal, "danger": risk}
+        return F.struct(*[first_term(hay, terms).alias(name) for name, terms in tiers.items()])
+
+    # lambdas bind the folded text and what is found in it, so neither is worked out twice
+    return F.transform(F.transform(F.array(haystack(text)), look), decide)[0]
 
 
 def html_to_text(html: Column) -> Column:

@@ -72,18 +72,30 @@ def keyword_filter(spark, d):
 def quote_verbatim(spark, d):
     """Documents that hold a passage verbatim, white space and case aside.
 
-    A passage's first four words find candidates by equality on word positions; only those are compared.
+    The inner words of a passage are whole in any text that holds it: hashes of up to four of them find candidates
+    by equality, and only those are compared.  A passage of one or two words has none, and is looked for in all texts.
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r]+", " "))
     docs = table(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
     quotes = table(spark, d, "benchmark").select("item_id", fold(F.col("text")).alias("quote"))
-    quotes = quotes.withColumn("words", F.split("quote", " ")).withColumn("key", F.when(F.size("words") >= 6, F.concat_ws(" ", F.slice("words", 2, 4))))  # inner words are whole in any text
+    words = F.split("quote", " ")
+    width = F.least(F.lit(4), F.size(words) - 2)
+    quotes = quotes.select("item_id", "quote", width.alias("width"), F.when(width > 0, F.xxhash64(F.slice(words, F.lit(2), width))).alias("key"))
+    widths = [r.width for r in quotes.where("width > 0").select("width").distinct().collect()]  # 1 to 4
     words = F.split("folded", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: F.concat_ws(" ", F.slice(words, i, 4)))
-    hits = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(quotes.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    long = hits.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("folded", F.col("quote"))).select("doc_id", "item_id")
-    short = quotes.where("key is null").select("item_id", "quote")  # few: fixed quotes of under six words
-    return long.union(docs.join(short, F.contains(F.col("folded"), F.col("quote"))).select("doc_id", "item_id"))
+
+    def grams(width: int):
+        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1))), lambda i: F.xxhash64(F.slice(words, i, width)))
+        return F.when(F.size(words) >= width, all_of).otherwise(F.array().cast("array<long>"))
+
+    keys = quotes.where("width > 0").select("item_id", "key")
+    hashed = docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<long>"), *map(grams, widths)))).alias("key"))
+    hits = hashed.join(keys, "key").select("doc_id", "item_id").distinct()
+    found = hits.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("folded", F.col("quote"))).select("doc_id", "item_id")
+    short = quotes.where("width <= 0").select("item_id", "quote")
+    if short.limit(1).count():
+        found = found.union(docs.join(short, F.contains(F.col("folded"), F.col("quote"))).select("doc_id", "item_id"))
+    return found
 
 
 @register("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 342) || chr(10) || '[...]' || chr(10) || right(text, 151) END AS cut FROM documents WHERE lang = 'en'""".replace("342", "345").replace("151", "148"))
