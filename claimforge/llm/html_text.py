@@ -1,14 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides what it can: a block within a
-menu, footer, advert, form and the like is boilerplate, as is one made of links; a long block with
-many stop words is text.  The second pass gives what is left, the short and the unclear, the label of
-the nearest decided neighbours.  Blocks of text are joined in page order; none is cut or left out.
+A page is cut into blocks at block-level tags.  The first pass decides what it can by link density,
+length and stop-word density, and by the containers a block is in: one made of links, or within a menu,
+footer, advert, form and the like, whose prose no density tells from an article's, is boilerplate; a long
+block with many stop words is text.  The second pass gives what is left, the short and the unclear, the
+label of the nearest decided neighbours; within an article they are its text.  Blocks of text are joined in
+page order; none is cut or left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -77,13 +80,43 @@ def _hints(rest: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
+def _tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """The text before each tag with its name, whether it is an end tag, and its attributes; the last text has no tag."""
+    at, end, before = 0, len(html), []
+    while at < end:
+        tag = _TAG.search(html, at)
+        if tag is None:
+            before.append(html[at:])
+            break
+        before.append(html[at:tag.start()])
+        at = tag.end()
+        name, rest = (tag["name"] or tag["name2"] or "").lower(), tag["rest"] or tag["rest2"] or ""
+        ends = bool(tag["end"] or tag["end2"])
+        if name in RAW:
+            if not ends and not rest.endswith("/"):
+                stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                at = stop.end() if stop else end
+        elif name:
+            yield "".join(before), name, ends, rest
+            before = []
+    yield "".join(before), "", False, ""
+
+
 def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """``text, characters of links, within boilerplate, within an article, a heading`` of each block."""
+    """``text, characters of links, within boilerplate, within an article, a heading`` of each block.
+
+    An article within boilerplate is boilerplate, unless the element around it may be one that was never closed:
+    its name has more start tags than end tags on the page.
+    """
     found: list[tuple[str, int, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, comments, article
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, boilerplate, comments, article, boilerplate of its own
     bad = comments = article = heading = False
     parts: list[str] = []
     linked, link = 0, 0
+    tags = list(_tags(html))
+    balance: Counter[str] = Counter()
+    for _, name, ends, _ in tags:
+        balance[name] += -1 if ends else 1
 
     def close() -> None:
         nonlocal linked
@@ -93,31 +126,11 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         parts.clear()
         linked = 0
 
-    def say(text: str) -> None:
-        nonlocal linked
+    for text, name, ends, rest in tags:
         if text:
             parts.append(text)
             if link:
                 linked += len("".join(text.split()))
-
-    at, end = 0, len(html)
-    while at < end:
-        tag = _TAG.search(html, at)
-        if tag is None:
-            say(html[at:])
-            break
-        say(html[at:tag.start()])
-        at = tag.end()
-        name = (tag["name"] or tag["name2"] or "").lower()
-        if not name:
-            continue
-        ends = bool(tag["end"] or tag["end2"])
-        rest = tag["rest"] or tag["rest2"] or ""
-        if name in RAW:
-            if not ends and not rest.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = stop.end() if stop else end
-            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -126,29 +139,28 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             heading = name in HEADINGS and not ends
         if name == "a":
             link = 0 if ends else 1
-        if name in VOID:
+        if name in VOID or not name:
             continue
         if ends:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    _, bad, comments, article = open_[k]
+                    _, bad, comments, article, _ = open_[k]
                     del open_[k:]
                     break
             continue
         if name == "p" and open_ and open_[-1][0] == "p":
             open_.pop()
-        open_.append((name, bad, comments, article))
         words, hidden = _hints(rest) if rest.strip() else (set(), False)
         if name in ("html", "body"):
             words = set()
-        named = bool(words & BAD_WORDS) or (bool(words & HEADER_WORDS) or name == "header") and not article
-        if name in ("article", "main", "body"):
-            if not words & BAD_WORDS and not hidden and not comments:
-                bad = False  # an unclosed element before it doesn't hold the article
-                article |= name != "body"
-                continue
+        own = hidden or name in BAD_TAGS or bool(words & BAD_WORDS) or (bool(words & HEADER_WORDS) or name == "header") and not article
+        open_.append((name, bad, comments, article, own))
+        if name in ("article", "main", "body") and not own and not comments:
+            bad = any(x[4] and balance[x[0]] <= 0 for x in open_)
+            article |= name != "body" and not bad
+            continue
         comments |= bool(words & COMMENT_WORDS)
-        bad |= hidden or name in BAD_TAGS or named
+        bad |= own
     close()
     return found
 
@@ -172,7 +184,8 @@ def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
             first.append(BAD)
         else:
             first.append(UNCLEAR)
-    decided = [(k, x) for k, x in enumerate(first) if x != UNCLEAR and not cut[k][2]]
+    decided = [x != UNCLEAR and not block[2] for x, block in zip(first, cut)]
+    before, after = _nearest(decided), [len(cut) - 1 - k if k >= 0 else -1 for k in reversed(_nearest(decided[::-1]))]
     second = list(first)
     for k, x in enumerate(first):
         if x != UNCLEAR:
@@ -180,9 +193,7 @@ def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
         if cut[k][3]:  # what an article holds, links and boilerplate aside, is its text
             second[k] = GOOD
             continue
-        before = next(((k - j, y) for j, y in reversed(decided) if j < k), None)
-        after = next(((j - k, y) for j, y in decided if j > k), None)
-        near = [y for y in (before, after) if y]
+        near = [(abs(k - j), first[j]) for j in (before[k], after[k]) if j >= 0]
         if not near:
             second[k] = BAD
         elif len(near) == 2 and near[0][1] != near[1][1]:
@@ -195,6 +206,15 @@ def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
     return second
 
 
+def _nearest(decided: list[bool]) -> list[int]:
+    """The last decided block before each, or -1."""
+    found, last = [], -1
+    for k, x in enumerate(decided):
+        found.append(last)
+        last = k if x else last
+    return found
+
+
 def main_text(html: str | None) -> str:
     cut = blocks(html or "")
     return " ".join(block[0] for block, label in zip(cut, labels(cut)) if label == GOOD)

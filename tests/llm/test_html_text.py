@@ -56,3 +56,22 @@ def test_synthetic_pages(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", row.html, re.S)[1]
         plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", inner))
         assert got.text == " ".join(unescape(plain).split())
+
+
+def test_articles_within_boilerplate():
+    for page in (f'<aside class="related"><article><p>{PARA}</p></article></aside>', f'<div style="display:none"><main><p>{PARA}</p></main></div>',
+                 f"<footer><article><p>{PARA}</p></article></footer>", f'<div class="ad"><div><article>{PARA}</article></div></div>'):
+        assert main_text(f"<body><article><p>One. {PARA}</p></article>{page}</body>") == f"One. {PARA}"
+    assert main_text(f"<body><nav>Menu<article><p>{PARA}</p></article></body>") == PARA
+
+
+def test_many_blocks_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert main_text(f"<div>{PARA}</div><div>Yes.</div>" * n).count("Yes.") == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(16000) < 20 * took(2000)
