@@ -84,7 +84,7 @@ def claims_json_explode(spark, d):
 
 
 @register(f"""WITH {CLAIM} SELECT project_id, url, CAST(row_number() OVER (PARTITION BY project_id ORDER BY decided_against, confirmed DESC, weight DESC, fetched_at DESC, url DESC) AS INT) AS rank
-FROM claim WHERE project_id % 5 = 0""")
+FROM claim""")
 def claim_ranking(spark, d):
     return C.ranked(claims(spark, d), "project_id").select("project_id", "url", "rank")
 
@@ -147,7 +147,7 @@ def evidence_census(spark, d):
     return rows.cube("bucket", "vintage").agg(F.count("*").alias("n")).select(F.coalesce("bucket", F.lit("*")).alias("bucket"), F.coalesce("vintage", F.lit(0)).alias("vintage"), "n")
 
 
-@register(f"WITH {CLAIM} SELECT project_id, url FROM claim WHERE {_BUCKET} = 'defect' ORDER BY project_id, url LIMIT 500")
+@register(f"WITH {CLAIM} SELECT project_id, url FROM claim WHERE {_BUCKET} = 'defect' ORDER BY project_id, url")
 def silent_defects(spark, d):
     return claims(spark, d).where(F.expr(_BUCKET) == "defect").select("project_id", "url").orderBy("project_id", "url")
 

@@ -189,7 +189,7 @@ def share_phrases(spark, d):
     return sums.join(F.broadcast(sums.agg(F.sum("own").alias("total")))).select("segment", words.alias("share"))
 
 
-@register(f"""WITH {PROJECT} SELECT state, segment, count(*) AS n, string_agg(DISTINCT phase, ';' ORDER BY phase) AS phases, max(mw) AS largest FROM project GROUP BY state, segment ORDER BY n DESC, state, segment LIMIT 40""")
+@register(f"""WITH {PROJECT} SELECT state, segment, count(*) AS n, string_agg(DISTINCT phase, ';' ORDER BY phase) AS phases, max(mw) AS largest FROM project GROUP BY state, segment ORDER BY n DESC, state, segment""")
 def csv_row_shape(spark, d):
     x = projects(spark, d).groupBy("state", "segment").agg(F.count("*").alias("n"), F.concat_ws(";", F.array_sort(F.collect_set("phase"))).alias("phases"), F.max("mw").alias("largest"))
     return x.orderBy(F.desc("n"), "state", "segment")

@@ -98,17 +98,18 @@ def quote_verbatim(spark, d):
     return found
 
 
-@register("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 342) || chr(10) || '[...]' || chr(10) || right(text, 151) END AS cut FROM documents WHERE lang = 'en'""".replace("342", "345").replace("151", "148"))
+@register("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 342) || chr(10) || '[...]' || chr(10) || right(text, 151) END AS cut FROM documents""".replace("342", "345").replace("151", "148"))
 def truncate_head_tail(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_head_tail(F.col("text"), 500).alias("cut"))
 
 
-@register("""SELECT doc_id, CAST(coalesce(list_sum(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x, ' '))), lambda n: n >= 60)), 0) AS BIGINT) AS prose FROM documents WHERE lang = 'en'""")
+@register("""SELECT doc_id, CAST(coalesce(list_sum(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x, ' '))), lambda n: n >= 60)), 0) AS BIGINT) AS prose FROM documents""")
 def prose_length(spark, d):
     return table(spark, d, "documents").select("doc_id", text.prose_length(F.col("text")).alias("prose"))
 
 
-@register("""SELECT doc_id, true AS english FROM documents""")
+@register(r"""WITH n AS (SELECT doc_id, length(regexp_replace(text, '\P{L}', '', 'g')) AS letters, length(regexp_replace(text, '[^一-鿿぀-ヿ가-힯]', '', 'g')) AS foreign_ FROM documents)
+SELECT doc_id, letters = 0 OR 10 * foreign_ <= letters AS english FROM n""")
 def looks_english(spark, d):
     return table(spark, d, "documents").select("doc_id", text.looks_english(F.col("text")).alias("english"))
 
@@ -116,17 +117,22 @@ def looks_english(spark, d):
 _TERMS = {"the": 1.0, "ered": 4.0, "onhe": 2.5}
 
 
-@register("""WITH c AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS a, len(regexp_extract_all(lower(text), '\\bered\\b')) AS b, len(regexp_extract_all(lower(text), '\\bonhe\\b')) AS c FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[ -~\\n]*'))
-SELECT doc_id, round((CASE WHEN a > 0 THEN 1.0 * (1 + 0.3 * (a - 1)) ELSE 0 END + CASE WHEN b > 0 THEN 4.0 * (1 + 0.3 * (b - 1)) ELSE 0 END + CASE WHEN c > 0 THEN 2.5 * (1 + 0.3 * (c - 1)) ELSE 0 END) / greatest(1.0, n / 800.0), 4)::DOUBLE AS score FROM c""".replace("\\\\", "\\"))
+@register(r"""WITH w AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g'), ' ') AS words FROM documents), c AS (SELECT doc_id, n, len(list_filter(words, lambda x: x = 'the')) AS a, len(list_filter(words, lambda x: x = 'ered')) AS b, len(list_filter(words, lambda x: x = 'onhe')) AS c FROM w)
+SELECT doc_id, round((CASE WHEN a > 0 THEN 1.0 * (1 + 0.3 * (a - 1)) ELSE 0 END + CASE WHEN b > 0 THEN 4.0 * (1 + 0.3 * (b - 1)) ELSE 0 END + CASE WHEN c > 0 THEN 2.5 * (1 + 0.3 * (c - 1)) ELSE 0 END) / greatest(1.0, n / 800.0), 4)::DOUBLE AS score FROM c""")
 def paragraph_score(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(text.score_paragraph(F.col("text"), _TERMS), 4).alias("score"))
 
 
-@register("SELECT page_id, count(*) AS n FROM pages GROUP BY page_id")
+_CHROME = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+for _tag in ("script", "style", "noscript", "nav", "footer", "header", "aside", "form"):
+    _CHROME = f"regexp_replace({_CHROME}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+
+
+@register(rf"""WITH a AS (SELECT page_id, {_CHROME} AS t FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br[^>]*>|</(?:p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*', chr(10), 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS text FROM c""".replace("\\\\", "\\"))
 def html_to_text(spark, d):
-    """One text a page; the text itself is tested on literal pages."""
-    x = table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("t")).where("t is not null")
-    return x.groupBy("page_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @register("""SELECT c_custkey, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(c_nationkey * 2.0 - 10) / 2), 2) + cos(radians(10.0)) * cos(radians(c_nationkey * 2.0)) * pow(sin(radians((c_custkey % 90) * 1.0) / 2), 2)))), 3) AS km FROM customer""")
@@ -163,12 +169,12 @@ def reject_split(spark, d):
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@register("""SELECT page_id, trim(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([^/]+)/?$', 1), '[-_]+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(url, '/[0-9]+([?#].*)?$')""")
+@register(r"""SELECT page_id, trim(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([^/]+?)(?:\.[a-z]+)?/?$', 1), '[-_]+', ' ', 'g')) AS title FROM pages""")
 def slug_titles(spark, d):
-    return table(spark, d, "pages").where(F.col("url").rlike(r"/[0-9]+([?#].*)?$")).select("page_id", readers.slug_title(F.col("url")).alias("title"))
+    return table(spark, d, "pages").select("page_id", readers.slug_title(F.col("url")).alias("title"))
 
 
-@register("SELECT n_nationkey, lower(n_name) AS key FROM nation WHERE regexp_matches(n_name, '^[A-Za-z]+$')")
+@register("SELECT n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM nation")
 def place_keys(spark, d):
     x = table(spark, d, "nation").withColumn("place", F.concat("n_name", F.lit(" County (old)")))
     return readers.load_places(x, "place", "n_nationkey").select("n_nationkey", "key")
