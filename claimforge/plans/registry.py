@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["resolve_prefer_weight"](spark, sf_dir)
 
 
-from claimforge.plans import entities, golden, operations, reports, texts  # noqa: E402,F401
+from claimforge.plans import entities, golden, operations, records, reports, rules, texts  # noqa: E402,F401
