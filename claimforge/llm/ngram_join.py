@@ -315,6 +315,17 @@ def probe(candidates: np.ndarray, counts: np.ndarray, lists: list[np.ndarray]) -
     return counts
 
 
+def probe_enough(candidates: np.ndarray, counts: np.ndarray, lists: list[np.ndarray], enough: np.ndarray) -> np.ndarray:
+    """The candidates whose counts reach ``enough`` with the long lists; those that can't any more drop out on the way."""
+    for k in range(0, len(lists) + 1, 8):
+        alive = counts + (len(lists) - k) >= enough
+        candidates, counts, enough = candidates[alive], counts[alive], enough[alive]
+        if not len(candidates):
+            break
+        counts = probe(candidates, counts, lists[k:k + 8])
+    return candidates[counts >= enough]
+
+
 def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """Links that connect what links among these documents: a spanning forest of each component."""
     order = np.lexsort((nodes, sizes))
@@ -365,19 +376,14 @@ def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray],
             continue
         found, counts = merge(lists, need - (len(a) - short))
         long = [posted[x:y] for x, y in zip(a[short:].tolist(), b[short:].tolist())] if len(found) else []
-        while len(found):
-            apart = root[found] != root[q]
-            found, counts = found[apart], counts[apart]
-            if not len(found):
-                break
-            likely = np.argsort(-counts, kind="stable")
-            tried, rest = likely[:16], likely[16:]
-            overlap = probe(found[tried], counts[tried], long)
-            hit = 100 * overlap >= threshold * (n + sizes[found[tried]] - overlap)
-            for k in found[tried][hit]:
+        likely = np.argsort(-counts, kind="stable")
+        # a few likely partners first: what they are connected with drops out of the rest, which are probed at once
+        for part in (likely[:16], likely[16:]):
+            some = part[root[found[part]] != root[q]]
+            enough = -(-threshold * (n + sizes[found[some]]) // (100 + threshold))  # overlap at which they link
+            for k in probe_enough(found[some], counts[some], long, enough):
                 if root[k] != root[q]:
                     join(k, q)
-            found, counts = found[rest], counts[rest]
     return links
 
 
@@ -419,7 +425,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # cells: bands of set sizes, of which linked documents are in the same or the next, cut into blocks
     factor = max(log(100 / threshold), 1e-3) * (1 + 1e-9)
-    sized = group.join(classes.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / factor).cast("int"))
+    sized = group.join(classes.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / factor).cast("int")).checkpoint()
     counted = sized.groupBy("grp", "band").agg(F.count("*").alias("docs"))
     bands = counted.groupBy("grp").agg(F.sum("docs").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("docs") / block).cast("int")))).alias("parts"))  # a few dozen bands
     cell = lambda band, part: band.cast("long") * 2**32 + part
