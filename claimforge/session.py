@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -53,9 +54,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set a local one only where none is named (tests)."""
+    """Use the shared folder that the cluster names; where none is, a local master gets one on this machine (tests).
+
+    A cluster without one is an error: its executors don't share a folder of this machine.
+    """
     ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join("/tmp", "claimforge-checkpoints"))
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "claimforge-checkpoints"))
