@@ -1,12 +1,13 @@
 """Token-id files: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-A block of ids is coded from a fresh state, so it decodes alone.  For every id, the id last seen
-after the same two ids (order 2), after the same id (order 1) and most often so far by bucket
-(order 0) are predictions.  The confidences of the order-2 and order-1 guesses are mixed in the
-logistic domain by weights that learn, with the guesses' agreement as context; the mix is the
-probability that the favoured guess is right.  An id that isn't guessed is coded by the order-0 counts
-of its bucket, then by its place in the bucket.  Whole blocks are lanes of numpy arrays: one step
-codes one id of every lane.  All arithmetic is on integers, so that any machine decodes alike.
+A segment's header has its distinct ids, dealt into buckets, with their frequencies: the state from
+which every block starts, so each block decodes alone.  For every id there are three predictions.
+Order 0 is the id's bucket, whose frequencies adapt to the block, and its frequency within the bucket.
+Orders 1 and 2 are the ids last seen after the same id and the same two ids.  The chance that the
+favoured guess of these two is right is mixed in the logistic domain, by weights that learn, from the
+confidence of both guesses and from what order 0 gives the guess.  An id that isn't guessed is coded by order 0.
+Blocks are lanes of numpy arrays: one step codes one id of every lane.  What is coded hangs on
+integers only, so that any machine decodes alike.
 
 A segment is a run of whole documents in ascending id order: an index of ids and token counts, and
 its blocks.  Spark's writer stores segments, so a file can be anywhere that Spark can write.
@@ -14,6 +15,7 @@ its blocks.  Spark's writer stores segments, so a file can be anywhere that Spar
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -26,24 +28,23 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import common
 
-MAGIC, VERSION = b"CMR1", 1
-#: Ids of a block; ids of a segment after which a new one begins at the next document.
+MAGIC, VERSION = b"CMR1", 2
+#: Ids of a block, about; ids of a segment after which a new one begins at the next document.
 BLOCK_IDS, SEGMENT_IDS = 1024, 4 << 20
 #: Lanes that are coded together.
-LANES = 4096
+LANES = 2048
 #: Bytes of text that are tokenised at once; words whose ids are remembered.
 SCAN_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
 
-_SLOTS = 1024  # of each context table of a lane
-_BUCKETS = 256  # ids have 16 bits: 256 buckets of 256
-_TOTAL = 4096  # of the order-0 frequencies
-_REFRESH = 64  # ids between refreshes of the order-0 frequencies
+_ONE, _TWO = 512, 1024  # slots of each context table of a lane
+_BUCKETS, _TOTAL = 32, 4096  # of order 0, and their frequencies' sum
+_REFRESH = 64  # ids between refreshes of the buckets' frequencies
 _TOP = np.uint64(1) << np.uint64(48)
 _MASK = _TOP - np.uint64(1)
 _MOST = 15  # confidence of a guess
-_WIDE = 1 << 16  # the squash table reaches from -_WIDE to _WIDE
+_WIDE = 1 << 13  # the squash table reaches from -_WIDE to _WIDE
 
-_U8, _U12, _U16, _U48 = (np.uint64(x) for x in (8, 12, 16, 48))
+_U12, _U16, _U48 = (np.uint64(x) for x in (12, 16, 48))
 
 
 def _stretch_table() -> np.ndarray:
@@ -59,6 +60,56 @@ def _squash_table() -> np.ndarray:
 
 
 _STRETCH, _SQUASH = _stretch_table(), _squash_table()
+#: What the confidence of a guess speaks for, in the same units: nothing without a guess, then an eighth to fifteen sixteenths.
+_SAYS = np.concatenate([[0], _STRETCH[np.linspace(512, 3840, 15).astype(int)]]).astype(np.int32)
+
+
+class _Prior:
+    """Order 0 at the start of every block of a segment: buckets of neighbouring ids, and frequencies within them."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, share: np.ndarray, freq: np.ndarray, bits: int):
+        self.ids, self.sizes, self.share, self.freq, self.bits = ids, sizes, share.astype(np.int32), freq.astype(np.int64), bits
+        first = np.cumsum(sizes) - sizes
+        self.bucket = np.repeat(np.arange(_BUCKETS), sizes)
+        before = np.cumsum(self.freq) - self.freq
+        self.start = before - before[first[self.bucket]] if len(ids) else before
+        # log odds of each id in 256ths, by whole numbers: p is of 2 ** (bits + 10)
+        p = (self.share[self.bucket] + 1) * self.freq
+        power = np.frexp(p.astype(float))[1].astype(np.int64)
+        tail = (p << 5 >> power) - 16 if len(ids) else p
+        self.odds = np.maximum(-2047, -(177 * (16 * (bits + 11 - power) - tail)) // 16).astype(np.int32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, counts: np.ndarray) -> _Prior:
+        """Buckets hold about equal parts of both the ids and their occurrences."""
+        most = 2 * len(ids) // _BUCKETS + 2
+        bits = max(12, int(most - 1).bit_length() + 2)
+        total = int(counts.sum())
+        weight = counts * len(ids) + total
+        after = np.cumsum(weight)
+        bucket = (2 * after - weight) * _BUCKETS // (2 * int(after[-1]))
+        sizes, mass = np.bincount(bucket, minlength=_BUCKETS), np.bincount(bucket, counts, _BUCKETS).astype(np.int64)
+        freq = 1 + counts * ((1 << bits) - sizes[bucket]) // mass[bucket]
+        # what rounding leaves goes to the last of each bucket
+        full, last = np.flatnonzero(sizes), np.cumsum(sizes) - 1
+        freq[last[full]] += (1 << bits) - np.add.reduceat(freq, (last - sizes + 1)[full])
+        return cls(ids, sizes, mass * 1024 // total, freq, bits)
+
+    def pack(self) -> bytes:
+        parts = [np.diff(self.ids, prepend=0), self.freq, self.sizes, self.share]
+        return struct.pack("<BI", self.bits, len(self.ids)) + zlib.compress(b"".join(x.astype("<u4").tobytes() for x in parts), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> _Prior:
+        bits, n = struct.unpack_from("<BI", data)
+        ids, freq, sizes, share = np.split(np.frombuffer(zlib.decompress(data[5:]), "<u4").astype(np.int64), [n, 2 * n, 2 * n + _BUCKETS])
+        return cls(np.cumsum(ids), sizes, share, freq, bits)
+
+    def lookup(self) -> np.ndarray:
+        """The id's number for each bucket and place within it."""
+        out = np.zeros((_BUCKETS, 1 << self.bits), np.int32)
+        out[self.sizes > 0] = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq).reshape(-1, 1 << self.bits)
+        return out.ravel()
 
 
 class _Model:
@@ -67,66 +118,67 @@ class _Model:
     Tables are flat with a stretch for each lane.  A slot holds ``id << 4 | confidence``.
     """
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, prior: _Prior):
         lane = np.arange(lanes)
-        self.slots, self.chances, self.mixes, self.buckets, self.sums = lane * _SLOTS, lane * 32, lane * 4, lane * _BUCKETS, lane * (_BUCKETS + 1)
-        self.one, self.two = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        # chance that a guess of a given confidence is right, in 4096ths: order 1, then order 2
-        self.right = np.tile((1024 + 192 * (np.arange(32) & 15)).astype(np.int32), lanes)
-        # weights in 65536ths by context: both guess alike, they differ, order 2 has no guess
-        self.w1, self.w2 = np.full(lanes * 4, 1 << 15, np.int32), np.tile(np.array([1 << 15, 1 << 15, 0, 0], np.int32), lanes)
-        self.seen = np.ones((lanes, _BUCKETS), np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.steps = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Order-0 counts to cumulative frequencies, each frequency 1 at least."""
-        share = self.seen * (_TOTAL - _BUCKETS) // self.seen.sum(1, keepdims=True) + 1
+        self.odds = prior.odds
+        self.slots1, self.slots2, self.buckets, self.sums = lane * _ONE, lane * _TWO, lane * _BUCKETS, lane * (_BUCKETS + 1)
+        self.one, self.two = np.zeros(lanes * _ONE, np.int32), np.zeros(lanes * _TWO, np.int32)
+        # weights of orders 0, 1 and 2, in 65536ths
+        self.weights = np.full(lanes, 1 << 13, np.int32), np.full(lanes, 1 << 15, np.int32), np.full(lanes, 1 << 15, np.int32)
+        self.seen = np.tile(8 * prior.share + 1, (lanes, 1))
+        self._cumulate()
+
+    def _cumulate(self) -> None:
+        """The buckets' counts to cumulative frequencies, each frequency 1 at least."""
+        share = self.seen * (_TOTAL - _BUCKETS) // self.seen.sum(1, keepdims=True, dtype=np.int32) + 1
         sums = np.zeros((len(share), _BUCKETS + 1), np.int32)
         np.cumsum(share, 1, out=sums[:, 1:])
         sums[:, -1] = _TOTAL
         self.cumulative = sums.ravel()
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+    def refresh(self, recent: np.ndarray) -> None:
+        """Takes in the buckets of the last steps; older ones fade."""
+        self.seen += 8 * np.bincount((recent + self.buckets).ravel(), minlength=self.seen.size).astype(np.int32).reshape(self.seen.shape)
+        self.seen -= self.seen >> 5
+        self._cumulate()
+
+    def contexts(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the last id, and of the last two."""
+        one = (last * np.int32(0x9E35) >> 3) & np.int32(_ONE - 1)
+        two = ((last * np.int32(0x2F0B5) ^ before * np.int32(0x1D4E7)) >> 4) & np.int32(_TWO - 1)
+        return one + self.slots1, two + self.slots2
+
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The favoured guess and the probability in 65536ths that it is right."""
-        self.at1 = at1 = self.slots + (self.last * 0x9E35 >> 3 & (_SLOTS - 1))
-        self.at2 = at2 = self.slots + ((self.last * 0x2F0B5 ^ self.before * 0x1D4E7) >> 4 & (_SLOTS - 1))
+        self.at1, self.at2 = at1, at2
         self.s1, self.s2 = s1, s2 = self.one.take(at1), self.two.take(at2)
         self.c1, self.c2 = c1, c2 = s1 & 15, s2 & 15
         self.g1, self.g2 = g1, g2 = s1 >> 4, s2 >> 4
-        self.i1 = self.chances + c1
-        self.i2 = self.chances + c2
-        self.i2 += 16
-        self.p1, self.p2 = p1, p2 = self.right.take(self.i1), self.right.take(self.i2)
-        none, alike = c2 == 0, g1 == g2
-        second = (p2 >= p1) & ~none
-        x1, x2 = _STRETCH.take(p1), _STRETCH.take(p2)
-        self.x1 = x1 = np.where(alike | ~second, x1, -x1 >> 1)
-        self.x2 = x2 = np.where(alike | second, x2, -x2 >> 1)
-        self.mix = mix = self.mixes + np.where(none, 2, ~alike)
-        self.v1, self.v2 = v1, v2 = self.w1.take(mix), self.w2.take(mix)
-        dot = v1 * x1
-        dot += v2 * x2
+        x1, x2 = _SAYS.take(c1), _SAYS.take(c2)
+        second = c2 > 0
+        guess = np.where(second, g2, g1)
+        x1 *= g1 == guess  # another guess says nothing of the favoured one
+        self.inputs = self.odds.take(guess), x1, x2
+        dot = self.weights[1] * x1
+        dot += self.weights[2] * x2
+        dot += self.weights[0] * self.inputs[0]
         dot >>= 16
         dot += _WIDE
-        return np.where(second, g2, g1), _SQUASH.take(dot)
+        return guess, _SQUASH.take(dot, mode="clip")
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
-        error = (hit.astype(np.int32) << 16) - p >> 4
-        # a leak keeps weights within what the squash table reaches
-        self.w1[self.mix] = self.v1 + (self.x1 * error >> 12) - (self.v1 >> 8)
-        self.w2[self.mix] = self.v2 + (self.x2 * error >> 12) - (self.v2 >> 8)
-        fresh = ids << 4 | 1
-        for table, at, s, c, g, chance, p in ((self.one, self.at1, self.s1, self.c1, self.g1, self.i1, self.p1), (self.two, self.at2, self.s2, self.c2, self.g2, self.i2, self.p2)):
-            same = g == ids
-            self.right[chance] = p + (same * np.int32(4095) - p >> 4)
-            table[at] = np.where(same, s + (c < _MOST), np.where(c > 1, s - c + (c >> 1), fresh))
-        self.seen.ravel()[self.buckets + (ids >> 8)] += 8
-        self.before, self.last = self.last, ids.astype(np.int64)
-        self.steps += 1
-        if self.steps % _REFRESH == 0:
-            self._refresh()
+        error = hit * np.int32(65535)
+        error -= p
+        error >>= 4
+        for weight, x in zip(self.weights, self.inputs):
+            x *= error
+            x >>= 14
+            weight += x
+        fresh = ids << 4
+        fresh |= 1
+        for table, at, s, c, g in ((self.one, self.at1, self.s1, self.c1, self.g1), (self.two, self.at2, self.s2, self.c2, self.g2)):
+            weaker = s - (c >> 1)
+            table[at] = np.where(g == ids, s + (c < _MOST), np.where(c > 1, weaker, fresh))
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -143,130 +195,166 @@ def _shift(low: np.ndarray, span: np.ndarray, live: np.ndarray) -> np.ndarray:
     return live[_unsettled(l, s)]
 
 
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    """Rows of ids of one length, each coded on its own."""
-    lanes, steps = ids.shape
-    model = _Model(lanes)
+def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
+    """Rows of ids of one length, by their numbers in the prior, each coded on its own."""
+    lanes, steps = numbers.shape
+    model, bits = _Model(lanes, prior), np.uint64(prior.bits)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    out, filled = np.zeros((lanes, steps + 64), np.uint16), np.zeros(lanes, np.int64)
-    for step, now in enumerate(np.ascontiguousarray(ids.T)):
-        guess, p = model.predict()
-        hit = now == guess
-        unit = span >> _U16
-        part = unit * p.astype(np.uint64)
-        miss = np.flatnonzero(~hit)
-        low[miss] += part[miss]
-        span = np.where(hit, part, (unit << _U16) - part)
-        if len(miss):
-            own = now[miss]
-            at = model.sums[miss] + (own >> 8)
-            a = model.cumulative.take(at)
-            unit = span[miss] >> _U12
-            each = unit * (model.cumulative.take(at + 1) - a).astype(np.uint64) >> _U8
-            low[miss] += unit * a.astype(np.uint64) + each * (own & 255).astype(np.uint64)
-            span[miss] = each
-        live = _unsettled(low, span)
-        while len(live):
-            out[live, filled[live]] = (low[live] >> _U48).astype(np.uint16)
-            filled[live] += 1
-            live = _shift(low, span, live)
-        model.learn(now, hit, p)
-        if step % 16 == 15 and filled.max() + 64 > out.shape[1]:  # 3 units an id at most
-            out = np.concatenate([out, np.zeros_like(out)], 1)
+    out, filled = np.zeros((lanes, steps // 2 + 4 * _REFRESH), np.uint16), np.zeros(lanes, np.int64)
+    rows = np.concatenate([np.zeros((2, lanes), np.int32), numbers.T])
+    all_starts, all_freqs = prior.start.astype(np.uint64), prior.freq.astype(np.uint64)
+    for a in range(0, steps, _REFRESH):
+        part_of = rows[a + 2:a + 2 + _REFRESH]
+        n = len(part_of)
+        ones, twos = model.contexts(rows[a + 1:a + 1 + n], rows[a:a + n])
+        recent = prior.bucket[part_of]
+        at = recent + model.sums
+        below = model.cumulative.take(at)
+        wide, below = (model.cumulative.take(at + 1) - below).astype(np.uint64), below.astype(np.uint64)
+        start, freq = all_starts[part_of], all_freqs[part_of]
+        for k, now in enumerate(part_of):
+            guess, p = model.predict(ones[k], twos[k])
+            hit = now == guess
+            unit = span >> _U16
+            part = unit * p.astype(np.uint64)
+            unit = (unit << _U16) - part >> _U12
+            each = unit * wide[k] >> bits
+            unit *= below[k]
+            unit += part
+            unit += each * start[k]
+            unit *= ~hit
+            low += unit
+            span = np.where(hit, part, each * freq[k])
+            live = _unsettled(low, span)
+            while len(live):
+                out[live, filled[live]] = (low[live] >> _U48).astype(np.uint16)
+                filled[live] += 1
+                live = _shift(low, span, live)
+            model.learn(now, hit, p)
+        model.refresh(recent)
+        if filled.max() + 4 * _REFRESH > out.shape[1]:  # 3 units an id at most
+            out = np.concatenate([out, np.zeros((lanes, steps // 2 + 4 * _REFRESH), np.uint16)], 1)
     for k in range(4):
         out[np.arange(lanes), filled + k] = (low >> _U48).astype(np.uint16)
         low = low << _U16
     return [out[k, :filled[k] + 4].astype("<u2").tobytes() for k in range(lanes)]
 
 
-def _decode_lanes(coded: list[bytes], steps: int) -> np.ndarray:
+def _decode_lanes(coded: list[bytes], steps: int, prior: _Prior, lookup: np.ndarray) -> np.ndarray:
     lanes = len(coded)
     longest = max(map(len, coded)) // 2 + 8
     words = np.zeros((lanes, longest), np.uint16)
     for k, x in enumerate(coded):
-        words[k, :len(x) // 2] = np.frombuffer(x, "<u2")
+        words[k, :len(x) // 2] = np.frombuffer(x, "<u2", len(x) // 2)
     words, base = words.ravel(), np.arange(lanes) * longest
-    model = _Model(lanes)
+    model, bits, within = _Model(lanes, prior), np.uint64(prior.bits), np.uint64((1 << prior.bits) - 1)
+    start, freq = prior.start.astype(np.uint64), prior.freq.astype(np.uint64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    code, read = np.zeros(lanes, np.uint64), base + 4
-    last = base + longest - 1
+    code, read, end = np.zeros(lanes, np.uint64), base + 4, base + longest - 1
     for k in range(4):
         code = code << _U16 | words[base + k].astype(np.uint64)
-    ids = np.empty((steps, lanes), np.int32)
+    numbers = np.empty((steps, lanes), np.int32)
+    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for step in range(steps):
-        now, p = model.predict()
+        if step % _REFRESH == 0:
+            if step:
+                model.refresh(prior.bucket[numbers[step - _REFRESH:step]])
+            tops = np.ascontiguousarray(model.cumulative.reshape(lanes, -1)[:, 1:].T).astype(np.int16)
+        guess, p = model.predict(*model.contexts(last, before))
         unit = span >> _U16
         part = unit * p.astype(np.uint64)
-        hit = code - low < part
-        miss = np.flatnonzero(~hit)
-        low[miss] += part[miss]
-        span = np.where(hit, part, (unit << _U16) - part)
-        if len(miss):
-            l = low[miss]
-            unit, beyond, first = span[miss] >> _U12, code[miss] - l, model.sums[miss]
-            bucket = _find(model.cumulative, first, np.minimum(beyond // unit, np.uint64(_TOTAL - 1)).astype(np.int32))
-            at = first + bucket
-            a = model.cumulative.take(at)
-            start = unit * a.astype(np.uint64)
-            each = unit * (model.cumulative.take(at + 1) - a).astype(np.uint64) >> _U8
-            place = np.minimum((beyond - start) // each, np.uint64(255))
-            low[miss], span[miss] = l + start + each * place, each
-            now[miss] = bucket << 8 | place.astype(np.int64)
+        beyond = code - low
+        hit = beyond < part
+        beyond -= part
+        unit = (unit << _U16) - part >> _U12
+        place = np.minimum(beyond // unit, np.uint64(_TOTAL - 1)).astype(np.int16)
+        bucket = (tops <= place).view(np.int8).sum(0, dtype=np.int8).astype(np.int64)
+        at = bucket + model.sums
+        below = model.cumulative.take(at)
+        each = unit * (model.cumulative.take(at + 1) - below).astype(np.uint64) >> bits
+        unit *= below.astype(np.uint64)
+        beyond -= unit
+        found = lookup.take((bucket << prior.bits) + np.minimum(beyond // each, within).astype(np.int64))
+        unit += part
+        unit += each * start.take(found)
+        unit *= ~hit
+        low += unit
+        span = np.where(hit, part, each * freq.take(found))
+        now = np.where(hit, guess, found)
         live = _unsettled(low, span)
         while len(live):
-            code[live] = code[live] << _U16 | words.take(np.minimum(read[live], last[live])).astype(np.uint64)
+            code[live] = code[live] << _U16 | words.take(np.minimum(read[live], end[live])).astype(np.uint64)
             read[live] += 1
             live = _shift(low, span, live)
-        ids[step] = now
+        numbers[step] = now
         model.learn(now, hit, p)
-    return ids.T
+        before, last = last, now
+    return numbers.T
+
 
+_HEAD = "<4sIIIQI"
 
-def _find(cumulative: np.ndarray, first: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The bucket whose frequencies hold v, by bisection in all lanes at once."""
-    at = first.copy()
-    for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += jump * (cumulative.take(at + jump) <= v)
-    return at - first
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in order, each id's number among them, and their counts."""
+    if ids.max() >= 1 << 22:  # a table of all ids up to the largest would be large
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int32)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number[ids], counts[distinct]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """Ids of 16 bits to bytes: a header, each block's size and checksum, the blocks."""
-    ids = np.asarray(ids, np.int32)
-    if len(ids) and (ids.min() < 0 or ids.max() > 65535):
-        raise ValueError("ids: 0 to 65535")
-    whole = len(ids) // BLOCK_IDS
+    """Ids of 32 bits to bytes: a header with the prior, each block's size and checksum, the blocks.
+
+    All blocks have one length; the last is filled up with the first id's number 0.
+    """
+    ids = np.asarray(ids, np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= 2**32):
+        raise ValueError("ids: 0 to 2 ** 32 - 1")
+    count = -(-len(ids) // BLOCK_IDS)
+    steps = -(-len(ids) // count) if count else 0
     blocks: list[bytes] = []
-    grid = ids[:whole * BLOCK_IDS].reshape(whole, BLOCK_IDS)
-    for k in range(0, whole, LANES):
-        blocks += _encode_lanes(grid[k:k + LANES])
-    if len(ids) % BLOCK_IDS:
-        blocks += _encode_lanes(ids[None, whole * BLOCK_IDS:])
-    sums = [zlib.crc32(ids[k * BLOCK_IDS:(k + 1) * BLOCK_IDS].astype("<u4").tobytes()) for k in range(len(blocks))]
-    head = struct.pack("<4sIIQ", MAGIC, VERSION, BLOCK_IDS, len(ids))
+    sums: list[int] = []
+    packed = b""
+    if count:
+        distinct, numbers, counts = _numbered(ids)
+        prior = _Prior.of(distinct, counts)
+        packed = prior.pack()
+        grid = np.zeros(count * steps, np.int32)
+        grid[:len(ids)] = numbers
+        grid = grid.reshape(count, steps)
+        for k in range(0, count, LANES):
+            blocks += _encode_lanes(grid[k:k + LANES], prior)
+            sums += [zlib.crc32(x.tobytes()) for x in prior.ids[grid[k:k + LANES]].astype("<u4")]
+    head = struct.pack(_HEAD, MAGIC, VERSION, steps, len(packed), len(ids), zlib.crc32(packed))
     table = np.array([[len(x), c] for x, c in zip(blocks, sums)], "<u4").tobytes()
-    return b"".join([head, table, *blocks])
+    return b"".join([head, packed, table, *blocks])
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """What ``encode_ids`` was given; raises ValueError if a header or a block's checksum is wrong."""
-    magic, version, size, total = struct.unpack_from("<4sIIQ", data)
-    if magic != MAGIC or version != VERSION or not size:
+    magic, version, steps, size, total, check = struct.unpack_from(_HEAD, data)
+    at = struct.calcsize(_HEAD)
+    if magic != MAGIC or version != VERSION or (steps == 0) != (total == 0) or zlib.crc32(data[at:at + size]) != check:
         raise ValueError("not a token file of this version")
-    count = -(-total // size)
-    table = np.frombuffer(data, "<u4", 2 * count, 20).reshape(count, 2)
-    cuts = np.cumsum(np.append(20 + 8 * count, table[:, 0].astype(np.int64)))
+    if not total:
+        return np.zeros(0, np.int64)
+    prior = _Prior.unpack(data[at:at + size])
+    count = -(-total // BLOCK_IDS)
+    table = np.frombuffer(data, "<u4", 2 * count, at + size).reshape(count, 2)
+    cuts = np.cumsum(np.append(at + size + 8 * count, table[:, 0].astype(np.int64)))
     blocks = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    whole, parts = total // size, []
-    for k in range(0, whole, LANES):
-        parts.append(_decode_lanes(blocks[k:min(k + LANES, whole)], size).ravel())
-    if total % size:
-        parts.append(_decode_lanes(blocks[whole:], total % size).ravel())
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    for k in range(count):
-        if zlib.crc32(ids[k * size:(k + 1) * size].astype("<u4").tobytes()) != table[k, 1]:
-            raise ValueError(f"block {k}: wrong checksum")
-    return ids
+    lookup, parts = prior.lookup(), []
+    for k in range(0, count, LANES):
+        ids = prior.ids[_decode_lanes(blocks[k:k + LANES], steps, prior, lookup)]
+        for j, block in enumerate(ids.astype("<u4")):
+            if zlib.crc32(block.tobytes()) != table[k + j, 1]:
+                raise ValueError(f"block {k + j}: wrong checksum")
+        parts.append(ids.ravel())
+    return np.concatenate(parts)[:total]
 
 
 #: Kinds of bytes: 0 white space, 1 ASCII letters, 2 ASCII digits, 3 ASCII marks, 4 all that may stick to its neighbours.
@@ -275,6 +363,24 @@ _KIND[33:127] = 3
 _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[ord("'")], _KIND[list(common.SPACES)] = 2, 1, 1, 4, 0
 
 
+#: The steps before the model for which texts may be cut into such parts; files with others are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte at the library's byte level: printable ones for themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Tokenizer:
     """The tokenizers library, asked once for each word.
 
@@ -303,10 +409,26 @@ class Tokenizer:
         self.library = Library.from_str(data)
         self.library.encode_special_tokens = True
         self.end = end
+        own = json.loads(data)
+        self.by_words = (own["normalizer"], own["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
         self._clear()
 
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """The library's ids of words; words of plain lower-case letters go to its model at once."""
+        found: list[list[int] | None] = []
+        other, tokenize = [], self.library.model.tokenize
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250" and text == text.lower():  # Latin letters: normal forms as they are
+                found.append([x.id for x in tokenize(word.decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                other.append(text)
+                found.append(None)
+        rest = iter(self.library.encode_batch_fast(other, add_special_tokens=False) if other else ())
+        return [next(rest).ids if x is None else x for x in found]
+
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.count = self.used = 0
         self._add([[self.end]])  # number 0 stands for the end of a text
@@ -326,24 +448,29 @@ class Tokenizer:
 
     def encode_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of UTF-8 rows, each row followed by the end id; and the number of each row's ids."""
+        if not self.by_words:
+            return self._whole_rows(raw, offsets)
         if self.count > CACHE_WORDS:
             self._clear()
         raw = common.LOWER[raw]  # as the file's normalizer does
         starts, ends, first = self._parts(raw, offsets)
-        # words meet by a 64-bit hash and their length; each distinct one is looked up once
-        hashes = common.word_hashes(raw, starts)
-        distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        # words are grouped by a 64-bit hash; each distinct one is looked up once, those that only share its hash on their own
+        _, one, back = np.unique(common.word_hashes(raw, starts), return_index=True, return_inverse=True)
+        strange = _unlike(raw, starts, ends, one[back])
+        if len(strange):
+            back[strange] = len(one) + np.arange(len(strange))
+            one = np.concatenate([one, strange])
         data, known, new, total = raw.tobytes(), self.known, [], self.count
-        of_distinct = np.empty(len(distinct), np.int64)
-        for k, (h, a, b) in enumerate(zip(distinct.tolist(), starts[one].tolist(), ends[one].tolist())):
-            key = h << 16 | min(b - a, 65535)
-            number = known.get(key)
+        of_distinct = np.empty(len(one), np.int64)
+        for k, (a, b) in enumerate(zip(starts[one].tolist(), ends[one].tolist())):
+            word = data[a:b]
+            number = known.get(word)
             if number is None:
-                number = known[key] = total + len(new)
-                new.append(data[a:b].decode("utf-8", "replace"))
+                number = known[word] = total + len(new)
+                new.append(word)
             of_distinct[k] = number
         if new:
-            self._add([x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)])
+            self._add(self._ids(new))
         numbers = np.insert(of_distinct[back], first[1:], 0)
         lengths = self.length[numbers]
         after = np.cumsum(lengths)
@@ -351,6 +478,26 @@ class Tokenizer:
         lasts = after[first[1:] + np.arange(len(offsets) - 1)]
         return ids, np.diff(lasts, prepend=0)
 
+    def _whole_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library on whole texts, for files that cut texts in another way."""
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        found = [np.array([*x.ids, self.end], np.int64) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64), np.array([len(x) for x in found], np.int64)
+
+
+def _unlike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Words whose bytes differ from those of word ``model[k]``."""
+    lengths = ends - starts
+    differ = lengths != lengths[model]
+    kept = np.flatnonzero(~differ & (model != np.arange(len(starts))))
+    lengths = lengths[kept]
+    own = np.repeat(starts[kept] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    wrong = np.flatnonzero(raw[own] != raw[own + np.repeat(starts[model[kept]] - starts[kept], lengths)])
+    if len(wrong):
+        differ[kept[np.searchsorted(np.cumsum(lengths), wrong, side="right")]] = True
+    return np.flatnonzero(differ)
+
 
 _TOKENIZERS: dict[tuple[int, int], Tokenizer] = {}
 
@@ -365,7 +512,8 @@ def _tokenizer(data: str, end: int) -> Tokenizer:
 def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Segments of token ids in ascending id order (a null id first), each document followed by ``end_id``.
 
-    Null texts count as empty; rows that repeat an id stand side by side; other columns are not read.
+    Null texts count as empty; rows that repeat an id stand side by side, in the order of a hash of their texts; other
+    columns are not read.
     Columns: ``file`` and ``segment`` (their order is the ids'), ``doc_ids`` and ``counts`` (8-byte little
     endian, the least long for a null id), ``data`` (see ``encode_ids``).
     """
@@ -401,7 +549,8 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2, id_col
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.col("hash")  # rows of one id, the null one among them, may fill many ranges
+    ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("hash")
     ordered.mapInArrow(run, "segment long, doc_ids binary, counts binary, tokens long, data binary").withColumn(
         "file", F.spark_partition_id()).write.parquet(to)
 

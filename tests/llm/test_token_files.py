@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,3 +61,41 @@ def test_files_are_the_librarys_ids(spark, tmp_path):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (0, "b c")], "doc_id long, text string")
     token_files.write(twice, PATH, str(tmp_path / "c"))
     assert sorted(map(tuple, token_files.read(spark, str(tmp_path / "c")).collect())) == sorted(brute([(1, "a"), (1, "a"), (0, "b c")]))
+
+
+def test_large_ids():
+    rng = np.random.default_rng(6)
+    for ids in (rng.integers(0, 2**32, 5000), np.repeat(rng.integers(0, 300_000, 200_000), 2), np.array([2**32 - 1]), np.arange(5000)):
+        assert (token_files.decode_ids(token_files.encode_ids(ids)) == ids).all()
+    for wrong in (-1, 2**32):
+        with pytest.raises(ValueError):
+            token_files.encode_ids(np.array([wrong]))
+
+
+def test_smaller_than_order_0_and_zlib():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"].to_pylist()
+    library = Tokenizer.from_file(PATH)
+    ids = np.concatenate([[*x.ids, 2] for x in library.encode_batch_fast([t or "" for t in docs], add_special_tokens=False)])
+    counts = np.unique(ids, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / len(ids))).sum() / 8
+    size = len(token_files.encode_ids(ids))
+    assert size < entropy and size < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    own = token_files.Tokenizer(open(PATH).read(), 2)
+    texts = [b"one two three one", b"four two", b"", b"three four ones"]
+    monkeypatch.setattr(token_files.common, "word_hashes", lambda raw, starts: np.zeros(len(starts), np.uint64))
+    ids, lengths = own.encode_rows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    library = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*library.encode(t.decode()).ids, 2] for t in texts]
+
+
+def test_files_that_cut_texts_in_another_way():
+    data = json.loads(open(PATH).read())
+    data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    own, library = token_files.Tokenizer(json.dumps(data), 2), Tokenizer.from_str(json.dumps(data))
+    texts = ["don't 12,5 Äpfel", "", "a-b c"]
+    raw = [t.encode() for t in texts]
+    ids, lengths = own.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*library.encode(t).ids, 2] for t in texts]
