@@ -7,6 +7,8 @@ should one turn up, the ordinal of the text in its bucket becomes part of the fi
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,29 +40,33 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``doc_id, text, next``: every row with the text of the next one by id, the last with the first's.
 
     Rows are dealt into ranges of ids; each range gets a copy of the row that begins the next range.
-    A null id comes first; rows of equal id follow each other by the hash of their text.
+    A null id comes first; rows of equal id follow each other by a hash of their text.  An id that fills more than
+    one range, the null one among them, is a range of its own, which is cut again by the hash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = min(RANGES, 4 * shuffle_partitions(docs))
     # a null id is one less than the least long that data can hold for sure: its own lowest range
-    ranked = rows.withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63))))
+    ranked = rows.withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
     points = ",".join(str(k / ranges) for k in range(1, ranges))
-    bounds = ranked.select(F.expr(f"percentile_approx(rank, array({points}), {20 * ranges})").alias("p")).first().p or []
-    bounds = sorted(set(bounds))
-    if bounds:
-        # position of the rank among the sorted bounds, by bisection written out as nested comparisons
-        ranked = ranked.withColumn("part", _bisect(bounds, 0, len(bounds)))
-    else:
-        ranked = ranked.withColumn("part", F.lit(0))
-    firsts = sorted((r.part, r.rank) for r in ranked.groupBy("part").agg(F.min("rank").alias("rank")).collect())
+    found = Counter(ranked.select(F.expr(f"percentile_approx(rank, array({points}), {20 * ranges})").alias("p")).first().p or [])
+    hot = {x: n.bit_length() for x, n in found.items() if n > 1}
+    bounds = sorted({*found, *(x - 1 for x in hot if x > -(2**63))})
+    # position of the rank among the sorted bounds, by bisection written out as nested comparisons
+    part = _bisect(bounds, 0, len(bounds)).cast("long") * 2**16
+    if hot:
+        bits = F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("rank"))
+        ranked = ranked.withColumn("bits", bits)
+        part = part + F.coalesce(F.expr("shiftright(h, 63 - bits)"), F.lit(0))
+    ranked = ranked.withColumn("part", part).select("doc_id", "text", "rank", "h", "part")
+    firsts = sorted((r.part, r.f.rank, r.f.h) for r in ranked.groupBy("part").agg(F.min(F.struct("rank", "h")).alias("f")).collect())
     if not firsts:
         return rows.withColumn("next", F.col("text"))
-    follow = [(firsts[k - 1][0], rank) for k, (_, rank) in enumerate(firsts)]
+    follow = [(firsts[k - 1][0], rank, h) for k, (_, rank, h) in enumerate(firsts)]
     spark = docs.sparkSession
-    copies = ranked.drop("part").join(F.broadcast(spark.createDataFrame(follow, "part int, rank long")), "rank")
-    copies = copies.groupBy("part", "rank").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "doc_id", "text")).alias("r")).select("part", "rank", "r.doc_id", "r.text", F.lit(1).alias("copy"))
+    copies = ranked.drop("part").join(F.broadcast(spark.createDataFrame(follow, "part long, rank long, h long")), ["rank", "h"])  # a row a range
+    copies = copies.groupBy("part", "rank", "h").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("part", "rank", "h", "r.doc_id", "r.text", F.lit(1).alias("copy"))
     every = ranked.withColumn("copy", F.lit(0)).unionByName(copies)
-    order = Window.partitionBy("part").orderBy("copy", "rank", F.xxhash64("text"))
+    order = Window.partitionBy("part").orderBy("copy", "rank", "h")
     return every.withColumn("next", F.lead("text").over(order)).where("copy = 0").select("doc_id", "text", "next")
 
 

@@ -46,3 +46,14 @@ def test_odd_rows(spark):
     rows = [(None, "n"), (1, "a"), (1, "a"), (2, "b")]
     got = with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.text, r.next) for r in got) == [("a", "a"), ("a", "b"), ("b", "n"), ("n", "a")]
+
+
+def test_ids_that_fill_many_ranges(spark):
+    rows = [(None, f"n{k}") for k in range(300)] + [(5, f"five {k}") for k in range(200)] + [(k, f"t{k}") for k in range(6, 100)] + [(-3, "low")]
+    got = {r.text: r.next for r in with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    at, seen = "low", []
+    for _ in rows:
+        seen.append(at)
+        at = got[at]
+    assert at == "low" and len(set(seen)) == len(rows)
+    assert seen[201:295] == [f"t{k}" for k in range(6, 100)] and {x[:4] for x in seen[1:201]} == {"five"}
