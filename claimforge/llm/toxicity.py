@@ -13,7 +13,6 @@ two-by-two matrix: whole texts are scored exactly in steps that count known toke
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,27 +155,28 @@ class _Powers:
         return x / x.sum(1, keepdims=True)
 
 
-def _evidence(inside: int, outside: int, share: float) -> float:
+def evidence(inside: np.ndarray, outside: np.ndarray, share: float) -> np.ndarray:
     """Minus the log of a bound on the chance that of ``inside + outside`` documents so many are toxic, if ``share`` are."""
     n = inside + outside
     q = inside / n
-    if q <= share:
-        return 0.0
-    return n * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if outside else 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = n * (q * np.log(q / share) + np.where(outside > 0, (1 - q) * np.log((1 - q) / (1 - share)), 0.0))
+    return np.where(q > share, found, 0.0)
 
 
-def known_features(inside: Counter, outside: Counter, toxic: int, clean: int) -> list[str]:
-    """The features that are tied to the label, the most telling ones first.
+def known_features(inside: np.ndarray, outside: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Places of the features that are tied to the label.
 
     ``inside`` and ``outside`` count the documents with each feature among ``toxic`` and ``clean`` ones.  The longest
     list is taken of which chance would bring a share of CHANCE at most, counting as looked at those features only that
     are in MIN_DOCS documents: with few labels that asks for less than a bound for each feature of its own.
     """
-    looked_at = sum(n + outside[f] >= MIN_DOCS for f, n in inside.items())
-    tied = {f: _evidence(n, outside[f], toxic / (toxic + clean)) for f, n in inside.items() if n >= MIN_DOCS and n * clean >= MIN_RATIO * outside[f] * toxic}
-    order = sorted(tied, key=lambda f: (-tied[f], f))
-    enough = [k for k, f in enumerate(order, 1) if tied[f] >= np.log(looked_at / (CHANCE * k))]
-    return order[:enough[-1]] if enough else []
+    looked_at = int((inside + outside >= MIN_DOCS).sum())
+    tied = np.flatnonzero((inside >= MIN_DOCS) & (inside * clean >= MIN_RATIO * outside * toxic))
+    found = evidence(inside[tied], outside[tied], toxic / (toxic + clean))
+    order = np.argsort(-found, kind="stable")
+    enough = np.flatnonzero(found[order] >= np.log(looked_at / (CHANCE * np.arange(1, len(order) + 1)))) if len(order) else order
+    return tied[order[:enough[-1] + 1]] if len(enough) else tied[:0]
 
 
 def fit_field(known: list[list[int]], tags: list[np.ndarray], size: int) -> tuple[np.ndarray, float, np.ndarray]:
@@ -262,18 +262,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if len(set(y)) < 2:
         return ToxicityModel({}, -2.0, move, np.array([0.0, 0.0, 40.0 if y.sum() else -40.0]))
 
-    # features of toxic texts only, so the driver holds no vocabulary of all texts
+    # features are counted by their hashes, those of toxic texts only: the driver holds no vocabulary of all texts
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
-    inside, outside = Counter(), Counter()
-    for t, label in zip(texts, y):
-        if label:
-            inside.update({f for w in set(t.split()) for f in features(w)})
+    hashes = [np.unique(np.fromiter((hash(f) for w in set(t.split()) for f in features(w)), np.int64)) for t, label in zip(texts, y) if label]
+    looked_at, inside = np.unique(np.concatenate([*hashes, np.zeros(1, np.int64)]), return_counts=True)  # never empty
+    outside = np.zeros(len(looked_at), np.int64)
     for t, label in zip(texts, y):
         if not label:
-            outside.update({f for w in set(t.split()) for f in features(w) if f in inside})
-    known = known_features(inside, outside, toxic, clean)
+            own = np.unique(np.fromiter((hash(f) for w in set(t.split()) for f in features(w)), np.int64))
+            place = np.minimum(np.searchsorted(looked_at, own), len(looked_at) - 1)
+            outside[place[looked_at[place] == own]] += 1
+    tied = dict(zip(looked_at[at := known_features(inside, outside, toxic, clean)].tolist(), at.tolist()))
+    names = {f for t, label in zip(texts, y) if label for w in set(t.split()) for f in features(w) if hash(f) in tied}
+    strength = evidence(inside, outside, toxic / (toxic + clean))
+    known = sorted(names, key=lambda f: (-strength[tied[hash(f)]], f))
+    del hashes, looked_at, inside, outside
     number = {f: k for k, f in enumerate(known)}
-    del inside, outside
 
     lists, tags, none = [], [], []
     for t, label in zip(texts, y):
