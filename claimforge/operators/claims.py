@@ -95,26 +95,25 @@ def confidence(sources: DataFrame, key: str, values: list[str], fields_col: str
     most with under five populated fields; 3 if verified; 1 at least.  Comparisons are with the first value in
     ``position`` order, as sources come.
     """
-    real = sources.where("not placeholder and not derived")
-    testimony = F.col("tertiary") == F.lit(False)
-    named = testimony & (F.coalesce(F.col(fields_col), F.lit("")) != "")
-    first = [F.min_by(v, F.when(testimony & F.col(v).isNotNull(), F.col("position"))).alias(f"first_{v}") for v in values]
-    base = real.groupBy(key).agg(
-        F.max("weight").alias("best"), F.count_distinct(F.when(named & (F.col("domain") != ""), F.col("domain"))).alias("domains"),
-        F.max("populated").alias("populated"), F.max("verified").alias("verified"), *first)
+    real = F.coalesce(~F.col("placeholder") & ~F.col("derived"), F.lit(False))
+    testimony = real & F.coalesce(~F.col("tertiary"), F.lit(False))
+    named = testimony & (F.coalesce(F.col(fields_col), F.lit("")) != "") & (F.coalesce(F.col("domain"), F.lit("")) != "")
+    stated = lambda v: F.when(testimony & F.col(v).isNotNull(), F.struct("position", v))
+    of_domain = sources.groupBy(key, "domain").agg(
+        F.bool_or(real).alias("real"), F.bool_or(named).alias("named"), *[F.max(F.when(real, F.col(c))).alias(c) for c in ("weight", "populated", "verified")],
+        *[x for v in values for x in (F.min(stated(v)).alias(f"first_{v}"), F.min(F.when(testimony, F.col(v))).alias(f"low_{v}"), F.max(F.when(testimony, F.col(v))).alias(f"high_{v}"))])
+    rows = of_domain.groupBy(key).agg(
+        F.bool_or("real").alias("real"), F.count_if(F.col("named")).alias("domains"), *[F.max(c).alias(c) for c in ("weight", "populated", "verified")],
+        *[x for v in values for x in (
+            F.min(f"first_{v}")[v].alias(f"first_{v}"), F.min(f"low_{v}").alias(f"low_{v}"), F.max(f"high_{v}").alias(f"high_{v}"),
+            F.min(F.col(f"first_{v}")[v]).alias(f"low_first_{v}"), F.max(F.col(f"first_{v}")[v]).alias(f"high_first_{v}"), F.count(f"first_{v}").alias(f"stating_{v}"))])
     from claimforge.functions.numbers import values_conflict
 
-    joined = real.where(testimony).join(base.select(key, *(f"first_{v}" for v in values)), key)
-    conflict = F.max(reduce(lambda a, b: a | b, [values_conflict(F.col(v), F.col(f"first_{v}")) for v in values])).alias("conflict")
-    per_domain = joined.groupBy(key, "domain").agg(*[F.min_by(F.struct(v, f"first_{v}"), F.when(F.col(v).isNotNull(), F.col("position"))).alias(v) for v in values])
-    agree = reduce(lambda a, b: a | b, [
-        (F.count(v) >= 2) & ~F.max(F.coalesce(values_conflict(F.col(f"{v}.{v}"), F.col(f"{v}.first_{v}")), F.lit(False))) for v in values]).alias("agree")
-    flags = joined.groupBy(key).agg(conflict).join(per_domain.groupBy(key).agg(agree), key)
-    score = (
-        F.least(F.col("best"), F.lit(2)) + (F.col("domains") >= 2).cast("int")
-        + F.coalesce(F.col("agree").cast("int"), F.lit(0)) - F.coalesce(F.col("conflict").cast("int"), F.lit(0))
-    )
+    # the further a value is from the first, the more it conflicts: the least and the greatest tell for all
+    apart = lambda v, kind: reduce(lambda a, b: a | b, [values_conflict(F.col(f"{end}_{kind}{v}"), F.col(f"first_{v}")) for end in ("low", "high")])
+    conflict = reduce(lambda a, b: a | b, [apart(v, "") for v in values])
+    agree = reduce(lambda a, b: a | b, [(F.col(f"stating_{v}") >= 2) & ~apart(v, "first_") for v in values])
+    score = F.least(F.col("weight"), F.lit(2)) + (F.col("domains") >= 2).cast("int") + agree.cast("int") - conflict.cast("int")
     score = F.when(F.col("populated") < 5, F.least(score, F.lit(1))).otherwise(score)
     score = F.greatest(F.lit(1), F.least(F.lit(3), F.when(F.col("verified"), 3).otherwise(score)))
-    scored = base.join(flags, key, "left").select(key, score.cast("int").alias("score"))
-    return sources.select(key).distinct().join(scored, key, "left").select(key, F.coalesce("score", F.lit(0)).alias("score"))
+    return rows.select(key, F.when(F.col("real"), score).otherwise(0).cast("int").alias("score"))

@@ -426,3 +426,98 @@ def block_key(spark, d):
     label = F.when(k == 0, F.concat(F.lit("the Phase "), n, F.lit(" of the project"))).when(k == 1, "Second Building").when(k == 2, F.concat(F.lit("Phase"), n)).otherwise("Hall B")
     parent = F.when(k == 2, "Abilene campus").otherwise("")
     return table(spark, d, "supplier").select("s_suppkey", key(label, parent).alias("key"))
+
+
+# gates, sweeps and worklists
+@register("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN 'region' WHEN l_linenumber % 4 = 1 AND l_returnflag = 'A' THEN 'block:hall a' ELSE 'campus' END AS scope,
+ CASE WHEN l_returnflag = 'N' THEN 'at_least' ELSE 'exact' END AS bound, CASE WHEN l_linestatus = 'F' AND l_tax > 0.035 THEN 'targeted' WHEN l_linestatus = 'F' THEN 'achieved' ELSE 'planned' END AS modality FROM lineitem""")
+def axis_gates(spark, d):
+    """Qualifiers of claims that their quotes license, the rest at their defaults."""
+    from claimforge.operators.gates import axes
+
+    four = F.col("l_linenumber") % 4
+    quote = F.concat_ws("", F.lit("The site "), F.when(F.col("l_linestatus") == "F", "has  been built").otherwise("is there"), F.when(F.col("l_returnflag") == "N", " with more than 5 MW"), F.when(four == 0, " and jobs in the State"))
+    scope = F.when(four == 0, "region").when(four == 1, F.when(F.col("l_returnflag") == "A", "block:hall a").otherwise("block:hall z")).when(four == 2, "portfolio").otherwise("galaxy")
+    found = axes(scope, F.when(F.col("l_returnflag") != "R", "at_least").otherwise("at_most"), F.lit("achieved"), F.when((F.col("l_tax") > 0.035) & (F.col("l_linestatus") == "F"), "2030-01-01").otherwise("someday"),
+                 quote, F.lit("2025-01-01").cast("date"), F.array(F.lit("hall a"), F.lit("hall b")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", found.alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x.scope", "x.bound", "x.modality")
+
+
+@register("""SELECT event_id, event_type IN ('view', 'click') AS happened, event_type = 'error' OR (event_type = 'click' AND value > 100) AS supported FROM events""")
+def quote_support(spark, d):
+    """Whether quotes tell what happened, and whether they speak of the obstacle they are filed under."""
+    from claimforge.operators.gates import records_the_past, supports_risk
+
+    t = F.col("event_type")
+    quote = F.when(t == "view", "The plant opened").when(t == "click", "It broke ground near the river").when(t == "error", "A transformer is scheduled for May").otherwise("Work will BEGIN soon")
+    category = F.when(t == "error", "equipment_supply").when((t == "click") & (F.col("value") > 100), "water").otherwise("permitting")
+    words = {"equipment_supply": ["transformer", "turbine"], "water": ["river", "aquifer"], "permitting": ["permit", "zoning"]}
+    return table(spark, d, "events").select("event_id", records_the_past(quote).alias("happened"), supports_risk(category, quote, words).alias("supported"))
+
+
+_CONDITIONS = {
+    "has_source": 0, "no_silent_defect": 0, "no_errors": 0, "audit_clear": 1, "no_inversions": 1, "duplicates_answered": 1, "fields_present": 2, "values_backed": 2,
+    "warnings_settled": 3, "blocks_settled": 3, "risks_confirmed": 3, "vintage_current": 3,
+}
+
+
+@register("""WITH l AS (SELECT l_orderkey AS id, count(*) AS n, bool_or(l_returnflag = 'R' AND l_linestatus = 'O' AND l_tax < 0.08) AS defect, max(l_quantity) AS top, min(l_quantity) AS low, count(DISTINCT l_linenumber) < count(*) AS twice,
+ bool_or(l_linestatus = 'F') AS sure, bool_or(l_linestatus = 'O' AND l_suppkey % 3 <> 0) AS unsure, bool_or(l_linenumber = 7) AS vague, max(CAST(l_shipdate AS DATE)) AS newest FROM lineitem GROUP BY 1),
+w AS (SELECT o_custkey, o_orderpriority, count(*) AS m FROM orders GROUP BY ALL),
+c AS (SELECT o_orderkey AS id, coalesce(n, 0) > 0 AS a1, NOT coalesce(defect, false) AS a2, o_totalprice >= 1000 AS a3, coalesce(top <= 45, true) AS b1, coalesce(low >= 2, true) AS b2, m = 1 AS b3,
+ o_orderpriority <> '4-NOT SPECIFIED' AS c1, coalesce(sure, false) AS c2, NOT coalesce(twice, false) AS d1, NOT coalesce(vague, false) AS d2, NOT coalesce(unsure, false) AS d3, coalesce(newest >= DATE '1998-01-01', false) AS d4
+ FROM orders JOIN w USING (o_custkey, o_orderpriority) LEFT JOIN l ON l.id = o_orderkey)
+SELECT id, CASE WHEN NOT (a1 AND a2 AND a3) THEN -1 WHEN NOT (b1 AND b2 AND b3) THEN 0 WHEN NOT (c1 AND c2) THEN 1 WHEN NOT (d1 AND d2 AND d3 AND d4) THEN 2 ELSE 3 END AS tier,
+ 12 - (a1::INT + a2::INT + a3::INT + b1::INT + b2::INT + b3::INT + c1::INT + c2::INT + d1::INT + d2::INT + d3::INT + d4::INT) AS failed FROM c""")
+def clean_cards(spark, d):
+    """Twelve conditions of each record, the highest tier of which all hold with those below, and how many fail.
+
+    Evidence is aggregated by record once; a tier is reached if none of its conditions or of a lower one fails.
+    """
+    x = F.col
+    by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.bool_or((x("l_returnflag") == "R") & (x("l_linestatus") == "O") & (x("l_tax") < 0.08)).alias("defect"), F.max("l_quantity").alias("top"), F.min("l_quantity").alias("low"),
+        (F.count_distinct("l_linenumber") < F.count("*")).alias("twice"), F.bool_or(x("l_linestatus") == "F").alias("sure"), F.bool_or((x("l_linestatus") == "O") & (x("l_suppkey") % 3 != 0)).alias("unsure"),
+        F.bool_or(x("l_linenumber") == 7).alias("vague"), F.max("l_shipdate").alias("newest"))
+    o = table(spark, d, "orders")
+    groups = o.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("m"))
+    rows = o.join(groups, ["o_custkey", "o_orderpriority"]).join(by, x("o_orderkey") == x("l_orderkey"), "left")
+    yes = lambda c, default: F.coalesce(c, F.lit(default))
+    holds = dict(zip(_CONDITIONS, [
+        yes(x("n") > 0, False), ~yes(x("defect"), False), x("o_totalprice") >= 1000, yes(x("top") <= 45, True), yes(x("low") >= 2, True), x("m") == 1, x("o_orderpriority") != "4-NOT SPECIFIED", yes(x("sure"), False),
+        ~yes(x("twice"), False), ~yes(x("vague"), False), ~yes(x("unsure"), False), yes(x("newest") >= F.lit("1998-01-01").cast("timestamp_ntz"), False)]))
+    failing = F.array_compact(F.array(*[F.when(~holds[k], F.lit(tier)) for k, tier in _CONDITIONS.items()]))
+    cards = rows.select(x("o_orderkey").alias("id"), failing.alias("f"))
+    return cards.select("id", (F.coalesce(F.array_min("f"), F.lit(4)) - 1).alias("tier"), F.size("f").alias("failed"))
+
+
+@register(r"""WITH u AS (SELECT page_id, ' ' || trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) || ' ' AS words FROM pages), p(id, company, place) AS (VALUES (1, 'example com', 'en'), (2, 'example net', 'es'), (3, 'm', 'fr'))
+SELECT page_id, id FROM u JOIN p ON contains(words, ' ' || company || ' ') AND contains(words, ' ' || place || ' ')""")
+def project_urls(spark, d):
+    """Addresses that name a record's company and its place: companies meet on their first word, then the whole is checked."""
+    names = spark.createDataFrame([(1, "example com", "en"), (2, "example net", "es"), (3, "m", "fr")], "id int, company string, place string")
+    folded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", " ")), F.lit(" "))
+    p = table(spark, d, "pages").select("page_id", folded.alias("words"))
+    words = p.select("page_id", "words", F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("word"))
+    hits = words.join(F.broadcast(names.withColumn("word", F.substring_index("company", " ", 1))), "word")
+    inside = lambda c: F.contains("words", F.concat(F.lit(" "), F.col(c), F.lit(" ")))
+    return hits.where(inside("company") & inside("place")).select("page_id", "id")
+
+
+@register(f"""WITH {PAGE}, {PROJECT}, y AS (SELECT host, count(*) FILTER (size % 4 = 0) / count(*) AS yield FROM page GROUP BY host)
+SELECT page_id, round(yield + CASE WHEN status = 'thin' THEN 0.5 ELSE 0 END, 4) AS score FROM page JOIN y USING (host) WHERE status <> 'ok' ORDER BY round(yield + CASE WHEN status = 'thin' THEN 0.5 ELSE 0 END, 4) DESC, url, page_id LIMIT 40""")
+def backfill_candidates(spark, d):
+    """Pages worth another reading: by their publisher's yield, thin ones first."""
+    p = pages(spark, d)
+    rate = p.groupBy("host").agg((F.count_if(F.col("size") % 4 == 0) / F.count("*")).alias("yield"))
+    score = F.round(F.col("yield") + F.when(F.col("status") == "thin", 0.5).otherwise(0.0), 4)
+    return p.where("status <> 'ok'").join(rate, "host").withColumn("score", score).orderBy(F.desc("score"), "url", "page_id").limit(40).select("page_id", "score")
+
+
+@register("""WITH r AS (SELECT s_suppkey, s_suppkey % 60 AS k FROM supplier), p AS (SELECT p_size AS k, count(*) AS n, max(p_partkey % 4) AS best FROM part GROUP BY 1)
+SELECT count(*) AS required, count(n) AS present, count(*) FILTER (best >= 2) AS confident FROM r LEFT JOIN p USING (k)""")
+def required_progress(spark, d):
+    """How many of a list of required records are there, and how many well sourced."""
+    there = table(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("k")).agg(F.count("*").alias("n"), F.max(F.col("p_partkey") % 4).alias("best"))
+    wanted = table(spark, d, "supplier").select((F.col("s_suppkey") % 60).alias("k"))
+    return wanted.join(there, "k", "left").agg(F.count("*").alias("required"), F.count("n").alias("present"), F.count_if(F.col("best") >= 2).alias("confident"))
