@@ -327,7 +327,10 @@ def probe_enough(candidates: np.ndarray, counts: np.ndarray, lists: list[np.ndar
 
 
 def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links that connect what links among these documents: a spanning forest of each component."""
+    """What links among these documents, directly or through others: each with the smallest node it is connected with.
+
+    Stars instead of the links that were found: components of many such results settle in few rounds.
+    """
     order = np.lexsort((nodes, sizes))
     nodes, sizes, bodies = nodes[order], sizes[order], [np.sort(bodies[i]) for i in order]
     total = len(nodes)
@@ -344,10 +347,9 @@ def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray],
     ends = np.empty(len(joined), np.int64)
     ends[by_hash] = np.arange(len(joined))
     begins = np.searchsorted(number * total + posted, number[ends] * total + smallest[owner])
-    root, links = np.arange(total), []
+    root = np.arange(total)
 
     def join(k: int, q: int) -> None:
-        links.append((int(nodes[k]), int(nodes[q])))
         root[root == root[k]] = root[q]
 
     for q in range(total):
@@ -384,7 +386,10 @@ def search_links(nodes: np.ndarray, sizes: np.ndarray, bodies: list[np.ndarray],
             for k in probe_enough(found[some], counts[some], long, enough):
                 if root[k] != root[q]:
                     join(k, q)
-    return links
+    least_node = np.full(total, np.iinfo(np.int64).max)
+    np.minimum.at(least_node, root, nodes)
+    far = np.flatnonzero(least_node[root] != nodes)
+    return list(zip(least_node[root[far]].tolist(), nodes[far].tolist()))
 
 
 def _search(threshold: int):
