@@ -173,13 +173,19 @@ def external_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return rows.where(host(F.col("link")) != host(F.col("url"))).select("page_id", "link").distinct()
 
 
+#: Rows of a gazetteer that may be broadcast: about 20 MB.
+PLACES = 200_000
+
+
 def fill_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     """County and coordinates where a (state, city) lies in exactly one county; what is there stays.
 
-    ``places`` has ``state, key, county, lat, lon``; it is a fixed dimension and is broadcast.
+    ``places`` has ``state, key, county, lat, lon``.  A gazetteer of up to PLACES places is broadcast; a larger one is
+    joined by a shuffle.
     """
     one = places.groupBy("state", "key").agg(F.count_distinct("county").alias("n"), F.min("county").alias("_county"), F.min_by("lat", "county").alias("_lat"), F.min_by("lon", "county").alias("_lon")).where("n = 1").drop("n")
-    joined = rows.withColumn("key", place_key(F.col("city"))).join(F.broadcast(one), ["state", "key"], "left")
+    one = F.broadcast(one) if places.limit(PLACES + 1).count() <= PLACES else one
+    joined = rows.withColumn("key", place_key(F.col("city"))).join(one, ["state", "key"], "left")
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in ("county", "lat", "lon") else F.col(c) for c in rows.columns])
 
 

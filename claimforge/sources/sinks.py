@@ -26,11 +26,26 @@ def nested(projects: DataFrame, children: dict[str, DataFrame], key: str = "id",
     return out.select(key, F.to_json(F.struct(*[c for c in out.columns])).alias("document"))
 
 
-def markdown(rows: DataFrame, title: str) -> str:
-    """A table of a report's rows; for results of a reader's size, so rows past 10,000 raise."""
+def _report(rows: DataFrame) -> list:
+    """The rows of a report; for results of a reader's size, so rows past 10,000 raise."""
     found = rows.limit(10_001).collect()
     if len(found) > 10_000:
         raise ValueError("over 10,000 rows: no report")
+    return found
+
+
+def html(rows: DataFrame, title: str) -> str:
+    """A page of its own with a table of a report's rows."""
+    from html import escape
+
+    line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{escape('' if x is None else str(x))}</{tag}>" for x in cells) + "</tr>"
+    body = "\n".join(line("td", r) for r in _report(rows))
+    return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>\n<table>\n{line("th", rows.columns)}\n{body}\n</table></body></html>\n'
+
+
+def markdown(rows: DataFrame, title: str) -> str:
+    """A table of a report's rows."""
+    found = _report(rows)
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in found]) + "\n"

@@ -46,11 +46,12 @@ def daily_digest(stream: DataFrame, time: str = "ts", delay: str = "1 day") -> D
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "2 days") -> DataFrame:
-    """The first row of each key; on streams within the watermark."""
+    """The first row of each key by time; of rows of one time any, but always the same. On streams within the watermark."""
     rows = stream.withColumn("_t", F.col(time).cast("timestamp"))
     if stream.isStreaming:
         return rows.withWatermark("_t", delay).dropDuplicatesWithinWatermark(keys).drop("_t")
-    return rows.drop("_t").dropDuplicates(keys)
+    order = F.struct("_t", F.xxhash64(*stream.columns))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*stream.columns), order).alias("_first")).select("_first.*")
 
 
 def sessions(stream: DataFrame, gap: str = "1 day", time: str = "ts") -> DataFrame:
