@@ -82,14 +82,14 @@ def quote_verbatim(spark, d):
     width = F.least(F.lit(4), F.size(words) - 2)
     quotes = quotes.select("item_id", "quote", width.alias("width"), F.when(width > 0, F.xxhash64(F.slice(words, F.lit(2), width))).alias("key"))
     widths = [r.width for r in quotes.where("width > 0").select("width").distinct().collect()]  # 1 to 4
-    words = F.split("folded", " ")
 
     def grams(width: int):
-        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1))), lambda i: F.xxhash64(F.slice(words, i, width)))
-        return F.when(F.size(words) >= width, all_of).otherwise(F.array().cast("array<long>"))
+        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (width - 1))), lambda i: F.xxhash64(F.slice("words", i, width)))
+        return F.when(F.size("words") >= width, all_of).otherwise(F.array().cast("array<long>"))
 
     keys = quotes.where("width > 0").select("item_id", "key")
-    hashed = docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<long>"), *map(grams, widths)))).alias("key"))
+    split = docs.select("doc_id", F.split("folded", " ").alias("words"))  # a column, as a lambda would split the text again for each word
+    hashed = split.select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<long>"), *map(grams, widths)))).alias("key"))
     hits = hashed.join(keys, "key").select("doc_id", "item_id").distinct()
     found = hits.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("folded", F.col("quote"))).select("doc_id", "item_id")
     short = quotes.where("width <= 0").select("item_id", "quote")
