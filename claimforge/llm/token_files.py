@@ -176,9 +176,10 @@ class _Model:
             weight += x
         fresh = ids << 4
         fresh |= 1
-        for table, at, s, c, g in ((self.one, self.at1, self.s1, self.c1, self.g1), (self.two, self.at2, self.s2, self.c2, self.g2)):
-            weaker = s - (c >> 1)
-            table[at] = np.where(g == ids, s + (c < _MOST), np.where(c > 1, weaker, fresh))
+        # a frequent order-1 guess outlives a miss, by half its confidence; an order-2 guess doesn't
+        s, c = self.s1, self.c1
+        self.one[self.at1] = np.where(self.g1 == ids, s + (c < _MOST), np.where(c > 1, s - (c >> 1), fresh))
+        self.two[self.at2] = np.where(self.g2 == ids, self.s2 + (self.c2 < _MOST), fresh)
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
