@@ -128,3 +128,10 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimforge.llm import piece_bpe
 
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimforge.llm.spelling_variants import variants
+
+    return variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
