@@ -32,6 +32,8 @@ EDITED = 199
 EDGE = LETTERS // 2
 #: Halves of an automaton and words that one task scans with it, about; pairs compared at once.
 PART, BLOCK, PAIRS = 20_000, 200_000, 1 << 20
+#: Letters of the longest word that is scanned letter by letter.
+LONG = 200
 #: Letters of words that a counting task holds before it hands its counts on.
 HELD = 8_000_000
 
@@ -188,7 +190,7 @@ class _Shard:
         who, what, sizes, rests, size = [], [], [], [], 0
         for word in words:
             long = len(word)
-            for stop, (of_half, numbers) in self.automaton.iter(word):
+            for stop, (of_half, numbers) in self.automaton.iter(word) if long <= LONG else self._ask(word):
                 if stop - of_half + 1 != 0 if self.first else stop != long - 1:
                     continue  # the half isn't where it must be
                 if abs(2 * of_half - long) > 2:
@@ -204,6 +206,14 @@ class _Shard:
         if who:
             self._verify(who, rests, what, sizes)
 
+    def _ask(self, word: str) -> Iterator[tuple[int, tuple]]:
+        """Matches of a very long word, whose half can have three lengths: a repeated letter's failure links make scans quadratic."""
+        long = len(word)
+        for size in sorted({(long + k) // 2 if self.first else long + k - (long + k) // 2 for k in (-1, 0, 1)}):
+            half = word[:size] if self.first else word[long - size:]
+            if (match := self.automaton.get(half, None)) is not None:
+                yield size - 1 if self.first else long - 1, match
+
     def _verify(self, who: list[str], rests: list[str], what: list[np.ndarray], sizes: list[int]) -> None:
         counts = np.array([len(x) for x in what])
         mine, theirs = np.repeat(np.arange(len(who)), counts), np.concatenate(what)

@@ -93,6 +93,7 @@ def test_chains_ties_nulls_and_repeats(spark):
     rows = [(1, "abcdef " * 5), (1, "abcdef " * 5), (None, "nothing nothing nothing nothing nothing"), (5, None), (6, ""), (7, "q" * 300_000), (8, "ÉcoleÀ " * 6)]
     rows += [(k, " ".join([w] * n)) for k, (w, n) in enumerate(chain, 20)]
     rows += [(k, " ".join(["q" * 300_000] * 2)) for k in (40, 41)]
+    rows += [(k, " ".join([x + "ab" * 200 + y] * n)) for k, x, y, n in ((50, "c", "", 5), (51, "", "", 30), (52, "", "d", 6), (53, "a", "", 7))]
     expected = brute(rows)
     got = found(sv.variants(docs(spark, rows)))
     assert got == expected
