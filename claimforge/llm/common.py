@@ -62,12 +62,12 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words (maximal runs without a space byte, within a row), and the first word of each row."""
+def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = ~_IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (maximal runs of ``is_word`` bytes within a row), and the first word of each row."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[raw]
+    inside = is_word[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
@@ -78,7 +78,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def byte_weights(is_word: np.ndarray) -> np.ndarray:
+    """What bytes count for in ``word_hashes``: those between words count for nothing."""
+    return np.where(is_word, _BYTE, np.uint64(0))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, weights: np.ndarray = _BYTE_WORD) -> np.ndarray:
     """A 64-bit hash of the bytes of each word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -89,7 +94,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     power = np.full(int(lengths.max()), _ODD, np.uint64)
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint64)
-    return mix(np.add.reduceat(_BYTE_WORD[raw] * power[place], starts))
+    return mix(np.add.reduceat(weights[raw] * power[place], starts))
 
 
 def size_in_bytes(df: DataFrame) -> int:
