@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from claimforge.llm import common
 
 #: Bytes of text and documents of a segment, at most; a longer text is a segment of its own.
-SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4096
+SEGMENT_BYTES, SEGMENT_DOCS = 2 << 20, 4096
 #: Share of a term's postings in a segment that the tiers before the last end at, and how many the first holds at least.
 SHARES, FEWEST = (0.1, 0.35), 4
 TIERS = len(SHARES) + 1
