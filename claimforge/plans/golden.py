@@ -89,16 +89,6 @@ def claim_ranking(spark, d):
     return C.ranked(claims(spark, d), "project_id").select("project_id", "url", "rank")
 
 
-@register(f"""WITH {CLAIM}, live AS (SELECT * FROM claim WHERE NOT decided_against AND confirmed)
-SELECT project_id, count(DISTINCT value_num) AS options, min(value_num) AS least, max(value_num) AS most FROM live GROUP BY project_id
-HAVING count(DISTINCT value_num) > 1 AND max(value_num) - min(value_num) > 0.2 * max(value_num)""")
-def disputes(spark, d):
-    """Projects whose confirmed claims span more than the tolerance."""
-    live = claims(spark, d).where("not decided_against and confirmed")
-    found = live.groupBy("project_id").agg(F.count_distinct("value_num").alias("options"), F.min("value_num").alias("least"), F.max("value_num").alias("most"))
-    return found.where("options > 1 and most - least > 0.2D * most")
-
-
 def _sources(spark, d):
     return claims(spark, d).select(
         "project_id", "weight", (F.col("l_suppkey") % 10 == 0).alias("placeholder"), (F.col("l_partkey") % 9 == 0).alias("derived"),
