@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import common
 
-#: Bytes of text and documents of a segment, at most; a longer text is a segment of its own.
-SEGMENT_BYTES, SEGMENT_DOCS = 2 << 20, 4096
+#: Bytes of text and documents of a segment, at most; a longer text is a segment of its own.  Segments are rows: a heap of a
+#: few GB holds rows of some 100 KB well, and fills up with rows of megabytes.
+SEGMENT_BYTES, SEGMENT_DOCS = 160 << 10, 4096
+#: Bytes of a row group of the index: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+#: Bytes of rows that a task gets at once; more of rows as large as segments would fill executors' memory beside the heap.
+BATCH = "4m"
 #: Share of a term's postings in a segment that the tiers before the last end at, and how many the first holds at least.
 SHARES, FEWEST = (0.1, 0.35), 4
 TIERS = len(SHARES) + 1
 #: Documents of an item's result.
 TOP = 50
 #: Items that are searched for at once, and sums that are worked out at once.
-ITEMS, SUMS = 512, 1 << 21
+ITEMS, SUMS = 512, 1 << 19
 
 #: Bytes of terms: digits, letters, and whatever isn't ASCII.
 IS_TERM = np.zeros(256, bool)
@@ -41,7 +47,7 @@ IS_TERM[48:58] = IS_TERM[65:91] = IS_TERM[97:123] = IS_TERM[128:] = True
 _WEIGHTS = common.byte_weights(IS_TERM)
 
 _PARTS = ["terms", "ends", "hashes", "df"]
-_TIER_PARTS = ["rest", "of", "start", "doc", "q"]
+_TIER_PARTS = ["rest", "doc", "q"]
 INDEX_SCHEMA = ", ".join(["docs array<long>", *(f"{x} binary" for x in _PARTS), *(f"{x}{k} binary" for k in range(TIERS) for x in _TIER_PARTS)])
 
 
@@ -64,6 +70,17 @@ class Index:
     terms: int
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every document of ``docs`` in the folder ``to``; a null text has no terms.
 
@@ -78,7 +95,8 @@ def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
             documents, terms = documents + int((n > 0).sum()), terms + int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], ["documents", "terms"])
 
-    size = rows.mapInArrow(count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
+    with _small_batches(docs.sparkSession):
+        size = rows.mapInArrow(count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     documents, terms = size[0] or 0, size[1] or 0
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +105,16 @@ def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
                 at = offsets[a:a + SEGMENT_DOCS + 1]
                 yield _segment(batch.column(0).slice(a, len(at) - 1), raw[at[0]:at[-1]], at - at[0], documents, terms)
 
-    rows.mapInArrow(segments, INDEX_SCHEMA).write.parquet(to)
+    with _small_batches(docs.sparkSession):
+        rows.mapInArrow(segments, INDEX_SCHEMA).write.option("parquet.block.size", ROW_GROUP).parquet(to)
     return Index(to, documents, terms)
 
 
+def _depths(df: np.ndarray) -> list[np.ndarray]:
+    """How many of a term's ``df`` postings each tier ends at; with ``df`` it tells where everything is, so nothing else is stored."""
+    return [np.minimum(df, np.maximum(FEWEST, np.ceil(df * share).astype(np.int64))) for share in SHARES] + [df]
+
+
 def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of words one after the other."""
     ends = np.cumsum(sizes)
@@ -131,17 +155,13 @@ def _segment(ids: pa.Array, raw: np.ndarray, offsets: np.ndarray, documents: int
     doc, q = doc[order], q[order]
     begin = np.cumsum(df) - df
     rank = np.arange(len(q)) - np.repeat(begin, df)
-    arrays = [ids.cast(pa.int64())], [terms_.tobytes()], [np.cumsum(sizes[heads]).astype(np.int32).tobytes()], [hashes[heads].tobytes()], [df.astype(np.int32).tobytes()]
-    columns = [pa.array([arrays[0][0].to_pylist()], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in arrays[1:])]
+    parts = terms_, np.cumsum(sizes[heads]).astype(np.int32), hashes[heads], df.astype(np.uint16)
+    columns = [pa.array([ids.cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
     low = np.zeros(len(df), np.int64)
-    for k in range(TIERS):
-        high = np.minimum(df, np.maximum(FEWEST, np.ceil(df * SHARES[k]).astype(np.int64))) if k < len(SHARES) else df
-        rest = np.zeros(len(df), np.int32)
-        rest[high < df] = q[(begin + high)[high < df]]
-        own = np.flatnonzero(high > low)
+    for high in _depths(df):
         kept = (rank >= np.repeat(low, df)) & (rank < np.repeat(high, df))
-        start = np.concatenate([[0], np.cumsum((high - low)[own])])
-        columns += [pa.array([x.tobytes()], pa.binary()) for x in (rest, own.astype(np.int32), start.astype(np.int32), doc[kept].astype(np.int32), q[kept].astype(np.int32))]
+        rest = q[(begin + high)[high < df]]
+        columns += [pa.array([x.tobytes()], pa.binary()) for x in (rest.astype(np.int32), doc[kept].astype(np.uint16), q[kept].astype(np.int32))]
         low = high
     return pa.RecordBatch.from_arrays(columns, ["docs", *_PARTS, *(f"{x}{k}" for k in range(TIERS) for x in _TIER_PARTS)])
 
@@ -191,10 +211,12 @@ class _Segment:
     def __init__(self, batch: pa.RecordBatch, row: int, block: _Block):
         self.row = {name: batch.column(k)[row] for k, name in enumerate(batch.schema.names)}
         self.block = block
+        self.df = self.array("df", np.uint16)
+        self.depths = _depths(self.df)
         self._find()
 
     def array(self, name: str, kind=np.int32) -> np.ndarray:
-        return np.frombuffer(self.row[name].as_py(), kind).astype(np.int64 if kind is np.int32 else kind, copy=False)
+        return np.frombuffer(self.row[name].as_py(), kind).astype(np.uint64 if kind is np.uint64 else np.int64, copy=False)
 
     def _find(self) -> None:
         """Which asked terms this segment holds, compared byte by byte."""
@@ -215,15 +237,20 @@ class _Segment:
 
     def postings(self, tier: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a tier: the asked term, its place among those found, document and worth of each posting."""
-        of, start = self.array(f"of{tier}"), self.array(f"start{tier}")
-        at = np.searchsorted(of, self.own)
-        here = np.flatnonzero(at < len(of))
-        here = here[of[at[here]] == self.own[here]]
-        count = start[at[here] + 1] - start[at[here]]
+        held = self.depths[tier] - (self.depths[tier - 1] if tier else 0)
+        count, start = held[self.own], (np.cumsum(held) - held)[self.own]
         ends = np.cumsum(count)
-        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[at[here]] - (ends - count), count)
-        place = np.repeat(here, count)
-        return self.asked[place], place, self.array(f"doc{tier}")[index], self.array(f"q{tier}")[index]
+        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
+        place = np.repeat(np.arange(len(count)), count)
+        return self.asked[place], place, self.array(f"doc{tier}", np.uint16)[index], self.array(f"q{tier}")[index]
+
+    def rest(self, tier: int) -> np.ndarray:
+        """The residual bound of each term found: what its best posting beyond a tier may bring."""
+        more = self.depths[tier] < self.df
+        out = np.zeros(len(self.own), np.int64)
+        open_ = more[self.own]
+        out[open_] = self.array(f"rest{tier}")[(np.cumsum(more) - 1)[self.own[open_]]]
+        return self.block.weight[self.asked] * out
 
     def sums(self, tiers: range, only: np.ndarray | None = None) -> np.ndarray:
         """What documents have from some tiers, a row an item; ``only`` says which documents are of interest."""
@@ -239,13 +266,13 @@ class _Segment:
     def residual(self, tier: int) -> np.ndarray:
         """What the terms of each item may still bring beyond a tier."""
         out = np.zeros((len(self.block.ids), 1), np.int64)
-        self.block.spread(self.asked, self.block.weight[self.asked] * self.array(f"rest{tier}")[self.own], np.zeros(len(self.own), np.int64), out)
+        self.block.spread(self.asked, self.rest(tier), np.zeros(len(self.own), np.int64), out)
         return out[:, 0]
 
     def seen(self, tier: int) -> np.ndarray:
         """What documents can't have beyond a tier, as the tiers so far showed them the terms."""
         out = np.zeros((len(self.block.ids), len(self.row["docs"])), np.int64)
-        rest = self.block.weight[self.asked] * self.array(f"rest{tier}")[self.own]
+        rest = self.rest(tier)
         for k in range(tier + 1):
             asked, place, doc, _ = self.postings(k)
             self.block.spread(asked, rest[place], doc, out)
@@ -268,18 +295,19 @@ def search(spark: SparkSession, index: Index, items: DataFrame, id_col: str = "i
     Equal scores go by ascending doc_id, a null one last.  Repeated items and documents are rows of their own.  Items without
     terms, null ones too, have no result.  Items are taken in blocks of ``ITEMS``, whose distinct terms the driver holds.
     """
-    blocks, waiting = [], []
-    for row in items.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
-        raw = common.LOWER[np.frombuffer((row[1] or "").encode("utf-8"), np.uint8)]
-        starts, stops, _ = common.words(raw, np.array([0, len(raw)]), IS_TERM)
-        data = raw.tobytes()
-        if len(starts):
-            waiting.append((row[0], {data[a:b] for a, b in zip(starts.tolist(), stops.tolist())}))
-        if len(waiting) == ITEMS:
+    with _small_batches(spark):
+        blocks, waiting = [], []
+        for row in items.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+            raw = common.LOWER[np.frombuffer((row[1] or "").encode("utf-8"), np.uint8)]
+            starts, stops, _ = common.words(raw, np.array([0, len(raw)]), IS_TERM)
+            data = raw.tobytes()
+            if len(starts):
+                waiting.append((row[0], {data[a:b] for a, b in zip(starts.tolist(), stops.tolist())}))
+            if len(waiting) == ITEMS:
+                blocks.append(_search_block(spark, index, _Block(waiting), top))
+                waiting = []
+        if waiting or not blocks:
             blocks.append(_search_block(spark, index, _Block(waiting), top))
-            waiting = []
-    if waiting or not blocks:
-        blocks.append(_search_block(spark, index, _Block(waiting), top))
     found = blocks[0]
     for other in blocks[1:]:
         found = found.unionByName(other)
@@ -294,7 +322,7 @@ def _search_block(spark: SparkSession, index: Index, block: _Block, top: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(first.value.terms), np.int64)
         for segment in _segments(batches, first.value):
-            df[segment.asked] += segment.array("df")[segment.own]
+            df[segment.asked] += segment.df[segment.own]
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 

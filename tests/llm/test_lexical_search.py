@@ -93,7 +93,7 @@ def test_terms_of_one_hash(spark, monkeypatch):
     raw = np.frombuffer(b"b a b c a", np.uint8)
     batch = ls._segment(ls.pa.array([7]), raw, np.array([0, len(raw)]), 1, 5)
     segment = ls._Segment(batch, 0, ls._Block([(1, {b"a", b"c", b"zz"})]))
-    assert sorted(segment.array("df")[segment.own].tolist()) == [1, 1] and len(segment.array("df")) == 3
+    assert sorted(segment.df[segment.own].tolist()) == [1, 1] and len(segment.df) == 3
     assert sorted(segment.postings(0)[3].tolist()) == sorted(ls.worth(np.array([2, 1]), np.array([5, 5]), 1, 5).tolist())
 
 
