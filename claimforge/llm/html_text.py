@@ -60,9 +60,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, UNCLEAR = 1, 0, -1
 
 
-def _hints(rest: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def _hints(rest: str) -> tuple[set[str], set[str], bool]:
+    """Words of class, id and role, the same tokens unsplit, and whether the element is hidden."""
     words: set[str] = set()
+    whole: set[str] = set()
     hidden = False
     for name, value in _ATTRIBUTE.findall(rest):
         value, name = value.strip("\"'").lower(), name.lower()
@@ -71,13 +72,15 @@ def _hints(rest: str) -> tuple[set[str], bool]:
         elif name == "aria-hidden":
             hidden |= value == "true"
         elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "")
+            plain = value.replace(" ", "")
+            hidden |= "display:none" in plain or "visibility:hidden" in plain
         else:
             for token in value.split():
+                whole.add(token)
                 parts = re.split(r"[^a-z]+", token)
                 if not LAYOUT.intersection(parts):
                     words.update(parts)
-    return words, hidden
+    return words, whole, hidden
 
 
 def _tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -105,11 +108,14 @@ def _tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
 def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
     """``text, characters of links, within boilerplate, within an article, a heading`` of each block.
 
-    An article within boilerplate is boilerplate, unless the element around it may be one that was never closed:
-    its name has more start tags than end tags on the page.
+    An article within boilerplate is boilerplate, unless the element around it may be one that was never closed (its name has
+    more start tags than end tags on the page), or is a form, which may hold the whole page.  Publishing systems write topics
+    into an article's class, so of that whole tokens count only.
     """
     found: list[tuple[str, int, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, boilerplate, comments, article, boilerplate of its own
+    open_: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate, comments, article, closed boilerplate elements open before
+    names: Counter[str] = Counter()
+    around = 0
     bad = comments = article = heading = False
     parts: list[str] = []
     linked, link = 0, 0
@@ -142,23 +148,29 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         if name in VOID or not name:
             continue
         if ends:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    _, bad, comments, article, _ = open_[k]
-                    del open_[k:]
+            while names[name]:
+                last, bad, comments, article, around = open_.pop()
+                names[last] -= 1
+                if last == name:
                     break
             continue
         if name == "p" and open_ and open_[-1][0] == "p":
             open_.pop()
-        words, hidden = _hints(rest) if rest.strip() else (set(), False)
+            names["p"] -= 1
+        words, whole, hidden = _hints(rest) if rest.strip() else (set(), set(), False)
         if name in ("html", "body"):
             words = set()
+        if name in ("article", "main"):
+            words &= whole
         own = hidden or name in BAD_TAGS or bool(words & BAD_WORDS) or (bool(words & HEADER_WORDS) or name == "header") and not article
-        open_.append((name, bad, comments, article, own))
+        open_.append((name, bad, comments, article, around))
+        names[name] += 1
         if name in ("article", "main", "body") and not own and not comments:
-            bad = any(x[4] and balance[x[0]] <= 0 for x in open_)
+            bad = around > 0
             article |= name != "body" and not bad
             continue
+        form = name in ("form", "fieldset") and not (hidden or words & BAD_WORDS)
+        around += own and not form and balance[name] <= 0
         comments |= bool(words & COMMENT_WORDS)
         bad |= own
     close()
@@ -194,8 +206,8 @@ def labels(cut: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
             second[k] = GOOD
             continue
         near = [(abs(k - j), first[j]) for j in (before[k], after[k]) if j >= 0]
-        if not near:
-            second[k] = BAD
+        if not near:  # nothing else tells: text, unless the page holds boilerplate
+            second[k] = BAD if BAD in first else GOOD
         elif len(near) == 2 and near[0][1] != near[1][1]:
             if cut[k][4]:
                 second[k] = near[1][1]  # a heading belongs to what follows

@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from claimforge.llm.html_text import extract, main_text
 
 PARA = "This is the text of a page that has many of the words which are in it and it goes on for a while."
@@ -75,3 +77,35 @@ def test_many_blocks_take_linear_time():
 
     took(500)
     assert took(16000) < 20 * took(2000)
+
+
+PROSE = "The council of the town said on Monday that it will build a new bridge over the river, and that the work is to start in the spring of the next year."
+
+
+@pytest.mark.parametrize("page", [
+    "<form method=post action=/><div><article><h1>Title</h1><p>{}</p></article></div></form>",
+    "<body><form id=aspnetForm><main><p>{}</p></main></form></body>",
+    '<article class="post category-search"><p>{}</p></article>', '<article class="tag-banner hentry"><p>{}</p></article>', '<main class="category-social"><p>{}</p></main>',
+])
+def test_articles_in_forms_and_of_any_topic_are_kept(page):
+    assert PROSE in main_text(page.format(PROSE))
+
+
+def test_whole_tokens_of_an_article_still_tell_boilerplate():
+    assert main_text(f'<article><p>{PROSE}</p></article><article class="comment"><p>{PROSE} I agree.</p></article>') == PROSE
+    assert main_text(f'<article><p>{PROSE}</p></article><article class="teaser promo"><p>{PROSE}</p></article>') == PROSE
+
+
+def test_hidden_by_visibility_and_a_line_without_tags():
+    assert main_text(f'<p>{PROSE}</p><div style="visibility: hidden"><p>{PROSE} Not this.</p></div>') == PROSE
+    assert main_text("Just a line") == "Just a line"
+    assert main_text("<nav><a href=/>Home</a> <a href=/x>News</a></nav>Just a line") == ""
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<div>" * 20_000 + f"<article><p>{PROSE}</p></article>" * 200 + "</div>" * 20_000 + "</b>" * 50_000).count(PROSE) == 200
+    main_text("<div class=notice>" * 5_000 + "<article>x" * 5_000)
+    assert time.perf_counter() - began < 10
