@@ -17,7 +17,7 @@ from claimforge.session import local_session  # noqa: E402
 HEADLINE = (
     "resolve_prefer_weight", "resolve_max", "resolve_ladder", "conflict_report", "confidence_score", "stats_grouping_sets", "stats_by_open_risk", "exposure_weighted",
     "buyer_rollup", "blocking_risk", "block_accounting_pivot", "duplicate_groups", "track_standing", "digest_rank", "feed_verdicts", "publisher_policy", "clean_tiers",
-    "audit_rules", "logic_rules", "keyword_filter", "first_seen_dedup", "daily_digest_window",
+    "implausible_figures", "contradictions", "keyword_filter", "first_seen_dedup", "daily_digest_window",
 )
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from claimforge.operators.evidence import fold
 
 #: What each axis of a claim takes by default, and wording that licenses its other values.
-DEFAULTS = {"scope": "campus", "bound": "exact", "modality": "planned"}
+DEFAULTS = {"bound": "exact", "modality": "planned", "scope": "unnamed"}
+#: A scope that needs no wording: the figure is of the campus that the record is about.
+THIS_SITE = "this_site"
 SCOPES = {
     "programme": ["programme", "program", "across all", "in total", "nationwide", "overall"],
     "region": ["to the region", "regional", "local economy", "statewide", "in the state", "county"],
@@ -48,13 +50,13 @@ def licensed(value: Column, quote: Column, axis: str, markers: dict[str, list[st
 def axes(scope: Column, bound: Column, modality: Column, as_of: Column, quote: Column, today: Column, blocks: Column) -> Column:
     """``struct<scope, bound, modality, as_of>``: each axis falls back to its default; the figure isn't touched.
 
-    A scope ``block:label`` stands if the label is among ``blocks``; what is dated ahead isn't achieved, but targeted.
+    A scope ``block:label`` stands if the label is among ``blocks``, ``this_site`` always; what is dated ahead isn't achieved, but targeted.
     """
     label = F.lower(F.trim(F.regexp_extract(scope, "^block:(.*)$", 1)))
     day = as_of.try_cast("date")
     of_block = scope.startswith("block:")
     return F.struct(
-        F.when(of_block, F.when((label != "") & F.array_contains(blocks, label), scope).otherwise(DEFAULTS["scope"])).otherwise(licensed(scope, quote, "scope", SCOPES)).alias("scope"),
+        F.when(of_block, F.when((label != "") & F.array_contains(blocks, label), scope).otherwise(DEFAULTS["scope"])).when(scope == THIS_SITE, THIS_SITE).otherwise(licensed(scope, quote, "scope", SCOPES)).alias("scope"),
         licensed(bound, quote, "bound", BOUNDS).alias("bound"),
         F.when((modality == "achieved") & (day > today), "targeted").otherwise(licensed(modality, quote, "modality", MODALITIES)).alias("modality"), day.alias("as_of"))
 

@@ -158,15 +158,22 @@ def double_counted(spark, d):
     return sums.where("n > 1").select("o_custkey", (F.col("all") - F.col("most")).alias("double_counted"))
 
 
-@register("""WITH k AS (SELECT c_custkey, 'c' || CAST(c_custkey % 50 AS VARCHAR) || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'city:' ELSE 'county:' END || lower(c_mktsegment) || '|X' AS key FROM customer)
-SELECT a.c_custkey AS a_id, b.c_custkey AS b_id FROM k a JOIN k b ON split_part(a.key, '|', 1) = split_part(b.key, '|', 1) AND split_part(split_part(a.key, '|', 2), ':', 2) = split_part(split_part(b.key, '|', 2), ':', 2)
-AND split_part(split_part(a.key, '|', 2), ':', 1) <> split_part(split_part(b.key, '|', 2), ':', 1) AND a.c_custkey < b.c_custkey""")
+# customers as sites: segment and nation are the company, thousands of the balance the place and how finely it is named
+_GRANULAR = """k AS (SELECT c_custkey AS id, lower(c_mktsegment) || ' ' || c_nationkey || '|' || CASE WHEN CAST(floor(c_acctbal / 1000) AS BIGINT) % 2 = 0 THEN 'city:' ELSE 'county:' END || 'p' || CAST(floor(c_acctbal / 2000) AS BIGINT) || '|X' AS key FROM customer),
+p AS (SELECT id, split_part(key, '|', 1) AS company, split_part(split_part(key, '|', 2), ':', 1) AS kind, split_part(split_part(key, '|', 2), ':', 2) AS place FROM k)"""
+
+
+@register(f"""WITH {_GRANULAR}, o AS (SELECT company, place, kind, min(id) AS least FROM p GROUP BY ALL)
+SELECT DISTINCT least(id, least) AS a_id, greatest(id, least) AS b_id FROM p JOIN o ON p.company = o.company AND p.place = o.place AND p.kind <> o.kind""")
 def cross_granularity_pairs(spark, d):
-    """City and county records of one company and place; the company is the bucket."""
-    key = F.concat(F.lit("c"), F.col("c_custkey") % 50, F.lit("|"), F.when(F.col("c_custkey") % 2 == 0, "city:").otherwise("county:"), F.lower("c_mktsegment"), F.lit("|X"))
-    k = table(spark, d, "customer").select("c_custkey", key.alias("key"), F.split_part(key, F.lit("|"), F.lit(1)).alias("bucket"), F.lower("c_mktsegment").alias("place"))
-    a, b = (k.select("bucket", "place", F.col("c_custkey").alias(f"{s}_id"), F.col("key").alias(f"{s}_key")) for s in "ab")
-    return a.join(b, ["bucket", "place"]).where((F.col("a_id") < F.col("b_id")) & cross_granularity(F.col("a_key"), F.col("b_key"))).select("a_id", "b_id")
+    """City and county records of one company and place: each with the least record of the other kind, not all with all."""
+    thousands = lambda n: F.floor(F.col("c_acctbal") / n)
+    key = F.concat(F.lower("c_mktsegment"), F.lit(" "), "c_nationkey", F.lit("|"), F.when(thousands(1000) % 2 == 0, "city:").otherwise("county:"), F.lit("p"), thousands(2000), F.lit("|X"))
+    k = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), key.alias("key"))
+    least = k.groupBy(F.col("key").alias("other")).agg(F.min("id").alias("least"))
+    swapped = F.when(F.contains("key", F.lit("|city:")), F.replace("key", F.lit("|city:"), F.lit("|county:"))).otherwise(F.replace("key", F.lit("|county:"), F.lit("|city:")))
+    met = k.join(least, swapped == F.col("other")).where(cross_granularity(F.col("key"), F.col("other")))
+    return met.select(F.least("id", "least").alias("a_id"), F.greatest("id", "least").alias("b_id")).distinct()
 
 
 # progress: users as projects, event types as milestones

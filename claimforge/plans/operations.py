@@ -104,16 +104,15 @@ def roster_coverage(spark, d):
     return x.select("n_name", "customers", "segments", status.alias("status"))
 
 
-@register("""WITH c AS (SELECT n_nationkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY ALL)
-SELECT n_name, CAST(row_number() OVER (ORDER BY CASE WHEN customers = 0 THEN 0 ELSE 1 END, n_nationkey) AS INT) AS place FROM c WHERE customers < 3""")
+@register("""WITH c AS (SELECT s_suppkey, s_name, count(l_orderkey) AS found FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity >= 49 AND l_discount < 0.005 GROUP BY ALL)
+SELECT s_name, CASE WHEN found = 0 THEN 'absent' ELSE 'thin' END AS status, s_suppkey AS roster_place FROM c WHERE found < 3 ORDER BY found > 0, s_suppkey""")
 def hunt_order(spark, d):
-    from pyspark.sql import Window
-
-    n, c = table(spark, d, "nation"), table(spark, d, "customer").where("c_acctbal > 9000")
-    counts = c.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    x = n.join(counts, n["n_nationkey"] == counts["c_nationkey"], "left").na.fill(0, ["customers"]).where("customers < 3")
-    order = Window.orderBy(F.when(F.col("customers") == 0, 0).otherwise(1), "n_nationkey")  # a row a roster entry
-    return x.select("n_name", F.row_number().over(order).alias("place"))
+    """Expected names to look for: absent ones first, then thinly covered ones, each in the roster's order."""
+    roster, lines = table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_quantity >= 49 and l_discount < 0.005D")
+    counts = lines.groupBy("l_suppkey").agg(F.count("*").alias("found"))
+    x = roster.join(counts, F.col("s_suppkey") == F.col("l_suppkey"), "left").na.fill(0, ["found"]).where("found < 3")
+    status = F.when(F.col("found") == 0, "absent").otherwise("thin")
+    return x.orderBy(F.col("found") > 0, "s_suppkey").select("s_name", status.alias("status"), F.col("s_suppkey").alias("roster_place"))
 
 
 @register("""SELECT s_suppkey, n_name FROM supplier JOIN nation ON contains(lower(s_name || ' of ' || n_name), lower(n_name)) AND s_nationkey = n_nationkey

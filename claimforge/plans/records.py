@@ -429,7 +429,7 @@ def block_key(spark, d):
 
 
 # gates, sweeps and worklists
-@register("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN 'region' WHEN l_linenumber % 4 = 1 AND l_returnflag = 'A' THEN 'block:hall a' ELSE 'campus' END AS scope,
+@register("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN 'region' WHEN l_linenumber % 4 = 1 AND l_returnflag = 'A' THEN 'block:hall a' WHEN l_linenumber % 4 = 3 AND l_returnflag = 'R' THEN 'this_site' ELSE 'unnamed' END AS scope,
  CASE WHEN l_returnflag = 'N' THEN 'at_least' ELSE 'exact' END AS bound, CASE WHEN l_linestatus = 'F' AND l_tax > 0.035 THEN 'targeted' WHEN l_linestatus = 'F' THEN 'achieved' ELSE 'planned' END AS modality FROM lineitem""")
 def axis_gates(spark, d):
     """Qualifiers of claims that their quotes license, the rest at their defaults."""
@@ -437,7 +437,7 @@ def axis_gates(spark, d):
 
     four = F.col("l_linenumber") % 4
     quote = F.concat_ws("", F.lit("The site "), F.when(F.col("l_linestatus") == "F", "has  been built").otherwise("is there"), F.when(F.col("l_returnflag") == "N", " with more than 5 MW"), F.when(four == 0, " and jobs in the State"))
-    scope = F.when(four == 0, "region").when(four == 1, F.when(F.col("l_returnflag") == "A", "block:hall a").otherwise("block:hall z")).when(four == 2, "portfolio").otherwise("galaxy")
+    scope = F.when(four == 0, "region").when(four == 1, F.when(F.col("l_returnflag") == "A", "block:hall a").otherwise("block:hall z")).when(four == 2, "portfolio").when(F.col("l_returnflag") == "R", "this_site").otherwise("galaxy")
     found = axes(scope, F.when(F.col("l_returnflag") != "R", "at_least").otherwise("at_most"), F.lit("achieved"), F.when((F.col("l_tax") > 0.035) & (F.col("l_linestatus") == "F"), "2030-01-01").otherwise("someday"),
                  quote, F.lit("2025-01-01").cast("date"), F.array(F.lit("hall a"), F.lit("hall b")))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", found.alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x.scope", "x.bound", "x.modality")

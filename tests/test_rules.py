@@ -76,5 +76,5 @@ def test_axes_fall_back_to_their_defaults(spark):
     got = df.select(axes(c("scope"), c("bound"), c("modality"), c("as_of"), c("quote"), F.lit("2025-01-01").cast("date"), F.array(F.lit("hall a"))).alias("x"), records_the_past(c("quote")).alias("past"),
                     supports_risk(F.lit("labour"), c("quote"), {"labour": ["jobs"]}).alias("risk")).collect()
     assert [tuple(r.x) for r in got] == [
-        ("region", "at_least", "achieved", D(2020, 1, 1)), ("campus", "exact", "targeted", D(2030, 1, 1)), ("block:Hall A", "exact", "speculated", None), ("campus", "exact", "planned", None), ("campus", "at_most", "targeted", None)]
+        ("region", "at_least", "achieved", D(2020, 1, 1)), ("unnamed", "exact", "targeted", D(2030, 1, 1)), ("block:Hall A", "exact", "speculated", None), ("unnamed", "exact", "planned", None), ("unnamed", "at_most", "targeted", None)]
     assert [r.past for r in got] == [True, True, False, True, True] and [r.risk for r in got] == [True, False, False, False, False]
