@@ -18,7 +18,7 @@ STATES = {
     "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR",
     "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
     "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
-    "district of columbia": "DC", "washington dc": "DC", "washington d.c": "DC", "puerto rico": "PR", "guam": "GU", "american samoa": "AS",
+    "district of columbia": "DC", "washington dc": "DC", "washington d.c.": "DC", "puerto rico": "PR", "guam": "GU", "american samoa": "AS",
     "northern mariana islands": "MP", "u.s. virgin islands": "VI", "us virgin islands": "VI", "virgin islands": "VI",
 }
 COUNTRIES = {

@@ -67,8 +67,31 @@ def _number(digits: Column) -> Column:
     return F.regexp_replace(digits, ",", "").try_cast("double")
 
 
-RANGE = r"(?i)^([\d,.]+)\s*([a-z]*)\s*(?:-|to|through|thru)\s*([\d,.]+)\s*([a-z]*)\s*$"
-SINGLE = r"(?i)^([\d,]+(?:\.\d+)?)\s*([a-z]*)\.?$"
+#: Words between the ends of a range.
+BETWEEN = ("to", "through", "thru")
+
+
+def _figures(text: Column) -> Column:
+    """``struct<single, ranged, low, low_unit, unit>``: whether a text is a figure or a range, its (lower) number, and units as words.
+
+    Words are read one by one: a number, perhaps a unit, for a range a word between and the same again.  Nothing else may stand there.
+    """
+    apart = F.regexp_replace(F.lower(text), r"(?<=[\d.,])(?=[a-z])|(?<=[a-z])(?=\d)", " ")
+    words = F.filter(F.split(F.replace(apart, F.lit("-"), F.lit(" to ")), " "), lambda w: w != "")
+
+    def read(w: Column) -> Column:
+        n = F.size(w)
+        at = F.array_position(F.transform(w, lambda x: x.isin(*BETWEEN)), True).cast("int")
+        item = lambda k: F.coalesce(F.get(w, k), F.lit(""))
+        unit = lambda x: x.rlike("^[a-z]*$")
+        low_unit, high_unit = F.when(at == 3, item(F.lit(1))).otherwise(""), item(at + 1)
+        ranged = at.isin(2, 3) & (n - at).isin(1, 2) & item(F.lit(0)).rlike("^[0-9.,]+$") & item(at).rlike("^[0-9.,]+$") & unit(low_unit) & unit(high_unit)
+        number = F.when(n == 1, F.regexp_replace(item(F.lit(0)), r"\.$", "")).otherwise(item(F.lit(0)))
+        own_unit = F.regexp_replace(item(F.lit(1)), r"\.$", "")
+        single = (at == 0) & n.isin(1, 2) & number.rlike(r"^[0-9,]+(\.[0-9]+)?$") & unit(own_unit)
+        return F.struct(single.alias("single"), ranged.alias("ranged"), number.alias("low"), low_unit.alias("low_unit"), F.when(ranged, high_unit).otherwise(own_unit).alias("unit"))
+
+    return F.transform(F.array(words), read)[0]
 
 
 def norm_mw(raw: Column) -> Column:
@@ -78,31 +101,32 @@ def norm_mw(raw: Column) -> Column:
     """
     text = clean(raw)
     plain = _unhedged(text)
-    part = lambda pattern, k: F.lower(F.regexp_extract(plain, pattern, k))
-    ranged = plain.rlike(RANGE) & (part(RANGE, 2) == "")
-    low = _number(part(RANGE, 1)) * _factor(part(RANGE, 4), POWER_UNITS)
-    one = _number(part(SINGLE, 1)) * _factor(part(SINGLE, 2), POWER_UNITS)
-    value = F.when(is_blank(raw), F.lit(None)).when(ranged, low).otherwise(one)
-    note = F.when(value.isNull(), F.lit(None)).when(ranged, "range").when(plain != text, "approximate")
-    return F.struct(value.alias("value"), note.alias("note"))
+
+    def told(f: Column) -> Column:
+        ranged = f["ranged"] & (f["low_unit"] == "")
+        value = F.when(~is_blank(raw) & (ranged | f["single"]), _number(f["low"]) * _factor(f["unit"], POWER_UNITS))
+        note = F.when(value.isNull(), F.lit(None)).when(ranged, "range").when(plain != text, "approximate")
+        return F.struct(value.alias("value"), note.alias("note"))
+
+    return F.transform(F.array(_figures(plain)), told)[0]
 
 
 def norm_money(raw: Column) -> Column:
-    """``struct<value bigint, note string>``: whole dollars, by the rules of ``norm_mw``."""
+    """``struct<value bigint, note string>``: whole dollars, by the rules of ``norm_mw``; a scale at either end of a range is both ends'."""
     text = clean(raw)
     plain = _unhedged(text)
     marked = plain != text
     words = F.split(F.regexp_replace(plain, r"\$|(?<=[A-Za-z])(?=\d)", " "), " +")
     plain = F.trim(F.concat_ws(" ", F.filter(words, lambda w: ~F.lower(w).isin(*CURRENCY))))
-    part = lambda pattern, k: F.lower(F.regexp_extract(plain, pattern, k))
-    ranged = plain.rlike(RANGE)
-    high = part(RANGE, 4)
-    scale = F.when(part(RANGE, 2) != "", part(RANGE, 2)).otherwise(high)
-    low = F.when(_factor(high, MONEY_SCALES).isNotNull(), _number(part(RANGE, 1)) * _factor(scale, MONEY_SCALES))
-    one = _number(part(SINGLE, 1)) * _factor(part(SINGLE, 2), MONEY_SCALES)
-    value = F.when(is_blank(raw), F.lit(None)).when(ranged, low).otherwise(one).cast("long")
-    note = F.when(value.isNull(), F.lit(None)).when(ranged, "range").when(marked, "approximate")
-    return F.struct(value.alias("value"), note.alias("note"))
+
+    def told(f: Column) -> Column:
+        scale = F.when(f["ranged"] & (f["low_unit"] != ""), f["low_unit"]).otherwise(f["unit"])
+        known = f["single"] | f["ranged"] & _factor(f["unit"], MONEY_SCALES).isNotNull()
+        value = F.when(~is_blank(raw) & known, _number(f["low"]) * _factor(scale, MONEY_SCALES)).cast("long")
+        note = F.when(value.isNull(), F.lit(None)).when(f["ranged"], "range").when(marked, "approximate")
+        return F.struct(value.alias("value"), note.alias("note"))
+
+    return F.transform(F.array(_figures(plain)), told)[0]
 
 
 def norm_coord(raw: Column, most: float) -> Column:

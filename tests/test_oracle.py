@@ -17,6 +17,10 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that the smallest tables hold no rows for.
+EMPTY: set[str] = set()
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6)
@@ -42,6 +46,7 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    assert got or name in EMPTY, "a query without rows proves nothing"
     sql = registry.oracle_sql().get(name)
     if sql is None:
         return
