@@ -13,8 +13,8 @@ from claimforge.sources.adapters import CLAIM, PAGE, PROJECT, RISK, claims, page
 _NAMES = ["Texas", "new  york", "va", "Washington D.C.", "Atlantis", "TBD"]
 
 
-@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'TX' WHEN 1 THEN 'NY' WHEN 2 THEN 'VA' WHEN 3 THEN 'DC' END AS state,
- CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'state: can''t read ''Atlantis''' END AS warning FROM orders""")
+@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'TX' WHEN 1 THEN 'NY' WHEN 2 THEN 'VA' END AS state,
+ CASE o_orderkey % 6 WHEN 3 THEN 'state: can''t read ''Washington D.C.''' WHEN 4 THEN 'state: can''t read ''Atlantis''' END AS warning FROM orders""")
 def norm_states(spark, d):
     raw = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("o_orderkey") % 6).cast("int") + 1)
     p = codes.soft(raw, codes.norm_state(raw), "state")
