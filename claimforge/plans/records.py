@@ -187,7 +187,7 @@ _ROSTER = [("example org", 1), ("example net es", 2), ("en example com", 3), ("n
 @register(f"""WITH w AS (SELECT page_id, {_URL_WORDS} AS words FROM pages), r(name, rid) AS (VALUES ('example org', 1), ('example net es', 2), ('en example com', 3), ('nowhere', 4))
 SELECT page_id, rid FROM w JOIN r ON list_has_all(words, string_split(name, ' '))""")
 def archive_leads(spark, d):
-    """Pages whose address has every word of a roster name: names meet on their rarest word, then all words are checked."""
+    """Pages whose address has every word of a roster name: names meet on their first word, then all words are checked."""
     roster = spark.createDataFrame([(n.split(), r) for n, r in _ROSTER], "name array<string>, rid int")
     p = table(spark, d, "pages").select("page_id", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", " ")), " ")).alias("words"))
     word = p.select("page_id", "words", F.explode("words").alias("word"))
