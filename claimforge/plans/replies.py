@@ -59,3 +59,16 @@ def reply_obstacles(spark, d):
     """Obstacles of replies: kept without their quote where it isn't in the article or speaks of another kind."""
     found = X.obstacles(X.parsed(replies(spark, d)))
     return found.select("url", "category", "severity", *[F.coalesce(c, F.lit("")).alias(c) for c in ("quote", "unconfirmed")])
+
+
+@register("""SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'at_least' WHEN '2' THEN 'approximate' WHEN '3' THEN 'at_most' ELSE 'exact' END AS bound FROM orders WHERE o_totalprice >= 1000""")
+def value_bounds(spark, d):
+    """Bounds that sentences put on a capacity, each of their two figures having its own hedge."""
+    from claimforge.operators.positions import bound
+
+    mw = F.floor(F.col("o_totalprice") / 1000)
+    kind = F.substring("o_orderpriority", 1, 1)
+    hedge = F.when(kind == "1", "more than approximately ").when(kind == "2", "close to ").when(kind == "3", "as much as ").when(kind == "4", "").otherwise("more than a decade ago it was said that the site would have ")
+    number = F.when(F.col("o_orderstatus") == "O", F.format_number(mw * 1000, 0)).otherwise(mw.cast("string"))
+    quote = F.concat(F.lit("Over many homes and farms a very long way from there, "), hedge, number, F.when(F.col("o_orderstatus") == "O", " MW").otherwise(" GW"), F.lit(" will come, at most once"))
+    return table(spark, d, "orders").where("o_totalprice >= 1000").select("o_orderkey", bound(quote, (mw * 1000).cast("double")).alias("bound"))
