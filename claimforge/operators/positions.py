@@ -36,7 +36,7 @@ def places(text: Column, needles: Column) -> Column:
     """``array<struct<start, end>>`` of all places, overlapping ones too, where one of ``needles`` stands in a text; 1 is the first letter."""
     at = F.sequence(F.lit(1), F.length(text))
     here = lambda n: F.transform(F.filter(at, lambda i: F.substr(text, i, F.length(n)) == n), lambda i: F.struct(i.alias("start"), (i + F.length(n)).alias("end")))
-    return F.when(F.length(text) > 0, F.flatten(F.transform(needles, here))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(F.length(text) > 0, F.flatten(F.transform(F.filter(needles, lambda n: F.contains(text, n)), here))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def bound(quote: Column, value: Column, window: int = WINDOW) -> Column:
