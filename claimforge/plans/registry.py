@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["resolve_prefer_weight"](spark, sf_dir)
 
 
-from claimforge.plans import duplicates, entities, golden, operations, records, replies, reports, rules, store, texts  # noqa: E402,F401
+from claimforge.plans import duplicates, entities, golden, operations, records, replies, reports, rules, store, streams, texts  # noqa: E402,F401
