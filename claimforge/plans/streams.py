@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimforge.plans.registry import register
 from claimforge.session import table
+from claimforge.sources import sitemaps
 from claimforge.streaming import queue, timers
 
 
@@ -42,3 +43,20 @@ def queue_states(spark, d):
     first = queue.advance(spark.createDataFrame([], queue.STATE), rows.where(early))
     state = queue.applied(first, queue.advance(first, rows.where(~early)))
     return state.select("url", "status", "attempts", "title", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("last_tried_at").alias("last_tried_us"))
+
+
+@register("""WITH p AS (SELECT page_id, url, page_id // 50 AS child, page_id // 500 AS root FROM pages WHERE url IS NOT NULL), c AS (SELECT DISTINCT root, child, child % 3 <> 0 AS article FROM p),
+k AS (SELECT root, child FROM c WHERE article OR root NOT IN (SELECT root FROM c WHERE article) QUALIFY row_number() OVER (PARTITION BY root ORDER BY child DESC) <= 4)
+SELECT DISTINCT 'site ' || root AS name, CASE WHEN child % 3 <> 0 THEN 'https://s.example/news-' ELSE 'https://s.example/company-' END || child AS via, url FROM p JOIN k USING (root, child)""")
+def sitemap_walk(spark, d):
+    """Sitemaps of the pages, 50 a child and ten children an index, walked from their indices; the newest four children of each count."""
+    p = table(spark, d, "pages").where("url is not null").select("page_id", "url", F.expr("page_id div 50").alias("child"), F.expr("page_id div 500").alias("root"))
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    via = F.concat(F.when(F.col("child") % 3 != 0, "https://s.example/news-").otherwise("https://s.example/company-"), F.col("child").cast("string"))
+    listed = p.groupBy("root", "child").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>")))).alias("body")).withColumn("via", via)
+    children = listed.select(F.col("via").alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
+    root = F.concat(F.lit("https://s.example/index-"), F.col("root").cast("string"))
+    line = F.concat(F.lit("<sitemap><loc>"), "via", F.lit("</loc><lastmod>"), F.expr("date_add(date'2000-01-01', int(child))").cast("string"), F.lit("</lastmod></sitemap>"))
+    indices = listed.groupBy("root").agg(F.concat_ws("", F.collect_list(line)).alias("body")).select(root.alias("url"), F.concat(F.lit("<sitemapindex>"), "body", F.lit("</sitemapindex>")).alias("xml"))
+    roots = p.select(F.concat(F.lit("site "), F.col("root").cast("string")).alias("name"), root.alias("url")).distinct()
+    return sitemaps.walk(roots, children.unionByName(indices))[0].select("name", "via", "url").distinct()

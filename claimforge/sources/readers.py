@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions.numbers import is_blank
+from claimforge.session import ship
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
@@ -40,35 +41,40 @@ def split_rejects(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
 
 
+def feed_rows(xml: str | None) -> list[tuple[str | None, str | None, str | None, str]]:
+    """``title, url, published, kind`` of a feed's or sitemap's entries; a malformed document gives one row of kind ``error``."""
+    import xml.etree.ElementTree as ET
+
+    def local(tag) -> str:
+        return tag.rpartition("}")[2].lower() if isinstance(tag, str) else ""
+
+    try:
+        root = ET.fromstring((xml or "").strip())
+    except ET.ParseError as e:
+        return [(None, None, None, f"error: {e.msg if hasattr(e, 'msg') else e}"[:80])]
+    kind = {"rss": "rss", "rdf": "rss", "feed": "atom", "urlset": "sitemap", "sitemapindex": "index"}.get(local(root.tag), "error: unknown root")
+    out = []
+    for item in (x for x in root.iter() if local(x.tag) in ("item", "entry", "url", "sitemap")):
+        fields = {}
+        for child in item:
+            name = local(child.tag)
+            text = (child.get("href") or child.text or "") if name == "link" else (child.text or "")
+            if name not in fields and text.strip():
+                fields[name] = text.strip()
+        url = fields.get("link") or fields.get("loc")
+        if url:
+            when = fields.get("pubdate") or fields.get("published") or fields.get("updated") or fields.get("lastmod")
+            out.append((fields.get("title"), url, when, kind))
+    return out
+
+
 def parse_feeds(documents: DataFrame, xml_col: str = "xml") -> DataFrame:
     """RSS, Atom and sitemaps to ``source, title, url, published, kind``; a malformed document gives one row of kind ``error``."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xml.etree.ElementTree as ET
-
-        def local(tag) -> str:
-            return tag.rpartition("}")[2].lower() if isinstance(tag, str) else ""
-
         for batch in batches:
-            out = []
-            for source, xml in zip(batch["source"], batch["xml"]):
-                try:
-                    root = ET.fromstring(xml or "")
-                except ET.ParseError as e:
-                    out.append((source, None, None, None, f"error: {e.msg if hasattr(e, 'msg') else e}"[:80]))
-                    continue
-                kind = {"rss": "rss", "rdf": "rss", "feed": "atom", "urlset": "sitemap", "sitemapindex": "index"}.get(local(root.tag), "error: unknown root")
-                for item in (x for x in root.iter() if local(x.tag) in ("item", "entry", "url", "sitemap")):
-                    fields = {}
-                    for child in item:
-                        name = local(child.tag)
-                        text = (child.get("href") or child.text or "") if name == "link" else (child.text or "")
-                        if name not in fields and text.strip():
-                            fields[name] = text.strip()
-                    url = fields.get("link") or fields.get("loc")
-                    if url:
-                        when = fields.get("pubdate") or fields.get("published") or fields.get("updated") or fields.get("lastmod")
-                        out.append((source, fields.get("title"), url, when, kind))
+            out = [(source, *row) for source, xml in zip(batch["source"], batch["xml"]) for row in feed_rows(xml)]
             yield pd.DataFrame(out, columns=["source", "title", "url", "published", "kind"])
 
     return documents.select("source", F.col(xml_col).alias("xml")).mapInPandas(run, "source string, title string, url string, published string, kind string")
