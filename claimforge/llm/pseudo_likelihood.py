@@ -5,9 +5,9 @@ the number of counted words; each belongs to a class, and a word's probability i
 its own within the class, both given its neighbours on both sides.  The network is embeddings of two
 words on each side, a hidden layer, a softmax over classes and in each class a binary tree over its
 words, whose decisions start at the shares in the whole corpus.  It is trained in numpy, by partition,
-on a fixed share of the documents: each task starts a round from the same weights, and the rounds'
-results are averaged row by row.  A document's score is the sum of the conditional log probabilities
-of all its words.
+on every document: a hash deals the documents out to rounds, each task starts a round from the same
+weights, and a round's results are averaged row by row.  A document's score is the sum of the conditional
+log probabilities of all its words.
 """
 
 from __future__ import annotations
@@ -32,11 +32,14 @@ VOCABULARY, GROWTH = 8192, 4
 CLASSES = 63
 #: Words on each side, size of embeddings and of the hidden layer.
 SIDE, EMBEDDING, HIDDEN = 2, 16, 32
-#: Documents that the network is trained on at least, and their share of a larger corpus.
-SAMPLE_DOCS, SAMPLE_SHARE = 400, 1 / 16
+#: Documents of a round, about, below which every document is in several rounds.
+SAMPLE_DOCS = 400
 #: Bytes of text of a training task, and of the part that it shuffles words in.
-TRAIN_BYTES, PART_BYTES = 4 << 20, 1 << 20
+TRAIN_BYTES, PART_BYTES = 16 << 20, 1 << 20
+#: Rounds; words of a task's first batches; steps of dense weights.
 EPOCHS, BATCH, RATE = 3, 512, 0.003
+#: Steps of rows; a batch grows with the words that a task has seen, to so many times the first.
+ROW_RATE, LARGEST = 0.1, 16
 #: Bytes of text whose words are counted before they are sent.
 COUNT_BYTES = 32 << 20
 
@@ -111,6 +114,9 @@ class WindowModel:
         self.outer_bias = np.zeros(CLASSES + 1, np.float32)
         begins, self.path, self.branch, odds = class_trees(kind, share)
         self.begins = np.concatenate([[0], begins])  # other words have no decisions
+        self.depth = np.concatenate([[0], np.diff(begins)])
+        self.most = self.depth.max()
+        self.kinds = np.append(CLASSES, kind)
         self.nodes = np.zeros((len(odds), HIDDEN + 1), np.float32)  # the last is the bias
         self.nodes[:, HIDDEN] = odds
 
@@ -122,44 +128,61 @@ class WindowModel:
         return np.where(self.words[at] == hashes, at + 1, 0)
 
     def windows(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The neighbours of each word, within its text."""
+        """A row of neighbours for each word, within its text."""
         outside = len(self.words) + 1
         counts = np.diff(first)
         place = np.arange(len(ids)) - np.repeat(first[:-1], counts)
         left = np.repeat(counts, counts) - place - 1
-        out = np.full((2 * SIDE, len(ids)), outside, np.int64)
+        out = np.full((len(ids), 2 * SIDE), outside, np.int32)
         for k in range(1, SIDE + 1):
-            out[k - 1, k:] = np.where(place[k:] >= k, ids[:-k], outside)
-            out[SIDE + k - 1, :-k] = np.where(left[:-k] >= k, ids[k:], outside)
+            out[k:, k - 1] = np.where(place[k:] >= k, ids[:-k], outside)
+            out[:-k, SIDE + k - 1] = np.where(left[:-k] >= k, ids[k:], outside)
         return out
 
-    def decisions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``ids``, node and branch of each decision within the words' classes."""
-        counts = self.begins[ids + 1] - self.begins[ids]
-        owner = np.repeat(np.arange(len(ids)), counts)
-        at = np.arange(len(owner)) + np.repeat(self.begins[ids] - (np.cumsum(counts) - counts), counts)
-        return owner, self.path[at], self.branch[at]
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings of rows of neighbours, side by side, and the hidden layer."""
+        e = self.embedding.take(around.ravel(), 0).reshape(len(around), -1)
+        x = e @ self.inner.reshape(-1, HIDDEN)
+        x += self.inner_bias
+        return e, np.tanh(x, out=x)
+
+    def deepest_first(self, ids: np.ndarray) -> np.ndarray:
+        """The order of words by their number of decisions within the class, most first."""
+        return np.argsort((self.most - self.depth.take(ids)).astype(np.uint16), kind="stable")
+
+    def decisions(self, ids: np.ndarray, hidden: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Nodes, branches, weights and log odds of the first decisions of words in the above order, then of the second ones, and so on.
+
+        Words without further decisions are the last ones, and are left out.
+        """
+        depth, begins = self.depth.take(ids), self.begins.take(ids)
+        for d, n in enumerate(len(ids) - np.cumsum(np.bincount(depth, minlength=1))[:-1]):
+            at = begins[:n] + d
+            node = self.path.take(at)
+            weights = self.nodes.take(node, 0)
+            z = np.einsum("nh,nh->n", hidden[:n], weights[:, :HIDDEN])
+            z += weights[:, HIDDEN]
+            yield node, self.branch.take(at), weights, z
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The conditional log probability of each word."""
         out = np.where(ids == 0, np.log(self.rest), 0.0)
-        kind = np.append(CLASSES, self.kind)[ids]
-        around = self.windows(ids, first)
-        for a in range(0, len(ids), 8192):
-            part = slice(a, a + 8192)
-            x = self.inner_bias + self.embedding[around[0, part]] @ self.inner[0]
-            for k in range(1, 2 * SIDE):
-                x += self.embedding[around[k, part]] @ self.inner[k]
-            hidden = np.tanh(x, out=x)
-            logits = hidden @ self.outer + self.outer_bias
-            own = logits[np.arange(len(logits)), kind[part]]
+        around, order = self.windows(ids, first), self.deepest_first(ids)
+        for a in range(0, len(ids), 4096):
+            at = order[a:a + 4096]
+            own = ids[at]
+            _, hidden = self.hidden(around.take(at, 0))
+            logits = hidden @ self.outer
+            logits += self.outer_bias
+            found = logits[np.arange(len(at)), self.kinds.take(own)]
             top = logits.max(1)
             logits -= top[:, None]
-            out[part] += own - top - np.log(np.exp(logits, out=logits).sum(1))
-            owner, node, branch = self.decisions(ids[part])
-            weights = self.nodes[node]
-            z = np.einsum("nh,nh->n", hidden[owner], weights[:, :HIDDEN]) + weights[:, HIDDEN]
-            out[part] -= np.bincount(owner, np.logaddexp(0, np.where(branch == 1, -z, z)), len(hidden))
+            found -= top
+            found -= np.log(np.exp(logits, out=logits).sum(1))
+            for _, branch, _, z in self.decisions(own, hidden):
+                z *= 1 - 2 * branch
+                found[:len(z)] -= np.logaddexp(0, z)
+            out[at] += found
         return out
 
 
@@ -167,58 +190,75 @@ DENSE = ("inner", "inner_bias", "outer", "outer_bias")
 
 
 class Trainer:
-    """Adam on the cross-entropy of classes and of decisions within them; of embeddings and nodes only what a batch meets."""
+    """Gradient descent on the cross-entropy of classes and of decisions within them.
+
+    Dense weights take Adam's steps; embeddings and nodes that a batch meets take Adagrad's, by row.
+    """
 
     def __init__(self, model: WindowModel, seed: list[int]):
-        self.model, self.rng, self.step = model, np.random.default_rng(seed), 0
-        self.moments = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))] for k in (*DENSE, "embedding", "nodes")}
+        self.model, self.rng, self.step, self.seen = model, np.random.default_rng(seed), 0, 0
+        self.moments = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))] for k in DENSE}
+        self.squares = {k: np.zeros(len(getattr(model, k)), np.float32) for k in ("embedding", "nodes")}
         self.steps = {k: np.zeros(len(getattr(model, k)), np.int32) for k in ("embedding", "nodes")}
+        self.number = {k: np.zeros(len(getattr(model, k)), np.int32) for k in ("embedding", "nodes")}
 
     def _rows(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
+        """One step for each distinct row, by the sum of its gradients."""
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
-        rows, gradients = rows[order], gradients[order]
-        fresh = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        rows, g = rows[fresh], np.add.reduceat(gradients, fresh, axis=0)
-        self.steps[name][rows] += 1
-        t = self.steps[name][rows][:, None].astype(np.float32)
-        first, second = self.moments[name]
-        first[rows] = m = 0.9 * first[rows] + 0.1 * g
-        second[rows] = v = 0.999 * second[rows] + 0.001 * g * g
-        getattr(self.model, name)[rows] -= RATE * (m / (1 - np.float32(0.9)**t)) / (np.sqrt(v / (1 - np.float32(0.999)**t)) + 1e-8)
+        number, every = self.number[name], np.arange(len(rows), dtype=np.int32)
+        number[rows] = every
+        distinct = rows[number.take(rows) == every]
+        number[distinct] = every[:len(distinct)]
+        group, columns = number.take(rows).astype(np.intp), gradients.T.astype(float, order="C")
+        g = np.empty((len(columns), len(distinct)), np.float32)
+        for k, column in enumerate(columns):
+            g[k] = np.bincount(group, column, len(distinct))
+        g = g.T.copy()
+        self.steps[name][distinct] += 1
+        squares = self.squares[name].take(distinct)
+        squares += np.einsum("nk,nk->n", g, g) / g.shape[1]
+        self.squares[name][distinct] = squares
+        g *= (ROW_RATE / (np.sqrt(squares) + 1e-8))[:, None]
+        getattr(self.model, name)[distinct] -= g
 
     def train(self, ids: np.ndarray, first: np.ndarray) -> None:
-        own = self.model
-        kind, around = np.append(CLASSES, own.kind)[ids], own.windows(ids, first)
-        order = self.rng.permutation(len(ids))
-        for a in range(0, len(ids), BATCH):
-            at = order[a:a + BATCH]
-            near, self.step = around[:, at], self.step + 1
-            e = own.embedding[near]  # side, word, embedding
-            hidden = np.tanh((e @ own.inner).sum(0) + own.inner_bias)
-            p = hidden @ own.outer + own.outer_bias
-            p = np.exp(p - p.max(1, keepdims=True))
+        own, around = self.model, self.model.windows(ids, first)
+        order, a = self.rng.permutation(len(ids)), 0
+        while a < len(ids):
+            at = order[a:a + min(BATCH * LARGEST, max(BATCH, self.seen // 32))]
+            a, self.seen, self.step = a + len(at), self.seen + len(at), self.step + 1
+            at = at[own.deepest_first(ids.take(at))]
+            near, words = around.take(at, 0), ids.take(at)
+            e, hidden = own.hidden(near)
+            p = hidden @ own.outer
+            p += own.outer_bias
+            p -= p.max(1, keepdims=True)
+            p = np.exp(p, out=p)
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), kind[at]] -= 1
-            p /= len(at)
-            owner, node, branch = own.decisions(ids[at])
-            weights, inputs = own.nodes[node], np.concatenate([hidden, np.ones((len(at), 1), np.float32)], 1)[owner]
-            wrong = (0.5 + 0.5 * np.tanh(0.5 * np.einsum("nh,nh->n", inputs, weights)) - branch)[:, None].astype(np.float32) / len(at)
+            p[np.arange(len(at)), own.kinds.take(words)] -= 1
             back = p @ own.outer.T
-            if len(owner):
-                fresh = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                back[owner[fresh]] += np.add.reduceat(wrong * weights[:, :HIDDEN], fresh, axis=0)
+            nodes, gradients = [], []
+            for node, branch, weights, z in own.decisions(words, hidden):
+                wrong = 0.5 + 0.5 * np.tanh(0.5 * z) - branch
+                weights *= wrong[:, None]
+                back[:len(z)] += weights[:, :HIDDEN]
+                np.multiply(hidden[:len(z)], wrong[:, None], out=weights[:, :HIDDEN])
+                weights[:, HIDDEN] = wrong
+                nodes.append(node)
+                gradients.append(weights)
             back *= 1 - hidden * hidden
-            to_e = back @ own.inner.transpose(0, 2, 1)
-            gradients = (e.transpose(0, 2, 1) @ back, back.sum(0), hidden.T @ p, p.sum(0))
-            for k, g in zip(DENSE, gradients):
+            to_e = back @ own.inner.reshape(-1, HIDDEN).T
+            dense = (e.T @ back).reshape(own.inner.shape), back.sum(0), hidden.T @ p, p.sum(0)
+            for k, g in zip(DENSE, dense):
+                g /= len(at)
                 m, v = self.moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 getattr(own, k)[...] -= RATE * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
             self._rows("embedding", near.ravel(), to_e.reshape(-1, EMBEDDING))
-            self._rows("nodes", node, wrong * inputs)
+            if nodes:
+                self._rows("nodes", np.concatenate(nodes), np.concatenate(gradients))
 
 
 _WEIGHTS = pa.schema([("name", pa.string()), ("block", pa.int32()), ("task", pa.int32()), ("rows", pa.binary()), ("weight", pa.binary()), ("vals", pa.binary())])
@@ -266,11 +306,17 @@ def _averaged(table: pa.Table) -> pa.Table:
 
 
 def train(model: WindowModel, sample: DataFrame, tasks: int) -> None:
-    """EPOCHS rounds over ``id, text``; each partition trains from the same weights, averages are checkpointed and taken over."""
+    """EPOCHS rounds over ``key, begin, times, id, text``, each over the documents whose ``times`` rounds from ``begin`` on hold it.
+
+    A round has at most ``tasks`` tasks, however Spark deals the keys, as each sends its weights.  All start from the
+    same weights; averages are checkpointed and taken over.
+    """
     block = max(16, 65536 // tasks)
     for seed in range(EPOCHS):
         sent = sample.sparkSession.sparkContext.broadcast(model)
-        weights = sample.mapInArrow(_trained(sent, seed, block), "name string, block int, task int, rows binary, weight binary, vals binary")
+        own = sample.where(F.pmod(F.lit(seed) - F.col("begin"), F.lit(EPOCHS)) < F.col("times")).select("key", "id", "text")
+        own = own.repartition(tasks, "key").coalesce(tasks).sortWithinPartitions("key", "id", "text").select("id", "text")
+        weights = own.mapInArrow(_trained(sent, seed, block), "name string, block int, task int, rows binary, weight binary, vals binary")
         found = weights.groupBy("name", "block").applyInArrow(_averaged, "name string, rows binary, vals binary").checkpoint().collect()
         for r in found:
             rows, values = np.frombuffer(r.rows, np.int64), np.frombuffer(r.vals, np.float32)
@@ -303,7 +349,7 @@ def _most_frequent(counts: DataFrame, most: int = VOCABULARY) -> list:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> WindowModel:
-    """Shares from the counts of all words; the network from SAMPLE_SHARE of the documents, drawn by hash."""
+    """Shares from the counts of all words, and the network from all documents: each is in one round, in more if there are few."""
     ensure_checkpoint_dir(docs.sparkSession)
     counts = word_counts(docs, text_col).checkpoint()
     every = counts.agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
@@ -315,12 +361,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Wind
     model = WindowModel(words[order := np.argsort(words)], kind[order], share[order], 1 / max(1, every.words - len(top) + 1))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    drawn = max(SAMPLE_DOCS / max(1, size.rows), SAMPLE_SHARE)
-    tasks = max(1, ceil(min(1, drawn) * (size.bytes or 0) / TRAIN_BYTES))
-    key = F.xxhash64(F.lit(8), "id", "text")
-    sample = rows.withColumn("key", key).where(F.shiftrightunsigned("key", 33) / F.lit(float(2**31)) < drawn)
-    sample = sample.repartition(tasks, "key").sortWithinPartitions("key", "id", "text").select("id", "text").checkpoint()
-    train(model, sample, tasks)
+    times = min(EPOCHS, ceil(EPOCHS * SAMPLE_DOCS / max(1, size.rows)))
+    tasks = max(1, ceil((size.bytes or 0) * times / EPOCHS / TRAIN_BYTES))
+    begin = F.floor(F.shiftrightunsigned("key", 33) * EPOCHS / F.lit(float(2**31)))
+    keyed = rows.withColumn("key", F.xxhash64(F.lit(8), "id", "text"))
+    train(model, keyed.withColumn("begin", begin).withColumn("times", F.lit(times)), tasks)
     return model
 
 

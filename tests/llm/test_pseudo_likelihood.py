@@ -59,6 +59,17 @@ def test_whole_corpus_counts(spark, monkeypatch):
     assert sizes[0][2] > 1
 
 
+def test_every_document_trains_the_network(spark, monkeypatch):
+    monkeypatch.setattr(pl, "SAMPLE_DOCS", 20)
+    rows = [(k, f"the cat w{k} sat") for k in range(1600)]
+    model = pl.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    fresh = pl.WindowModel(model.words, model.kind, model.share, model.rest)
+    raw = "".join(f" w{k}" for k, _ in rows).encode()
+    own = model.ids(pl.hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+    assert (own > 0).all()
+    assert (model.embedding[own] != fresh.embedding[own]).any(1).all()  # each of these words is in one document
+
+
 def test_neighbours_tell_words_of_a_class_apart(monkeypatch):
     monkeypatch.setattr(pl, "CLASSES", 1)
     rng = np.random.default_rng(2)
