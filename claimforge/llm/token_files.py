@@ -30,9 +30,9 @@ from claimforge.llm import common
 
 MAGIC, VERSION = b"CMR1", 2
 #: Ids of a block, about; ids of a segment after which a new one begins at the next document.
-BLOCK_IDS, SEGMENT_IDS = 1024, 4 << 20
+BLOCK_IDS, SEGMENT_IDS = 1024, 6 << 20
 #: Lanes that are coded together.
-LANES = 2048
+LANES = 8192
 #: Bytes of text that are tokenised at once; words whose ids are remembered.
 SCAN_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
 
@@ -419,6 +419,9 @@ class Tokenizer:
         found: list[list[int] | None] = []
         other, tokenize = [], self.library.model.tokenize
         for word in words:
+            if word.isalpha():  # ASCII letters, which stand for themselves; A-Z are lower-cased before
+                found.append([x.id for x in tokenize(word.decode("ascii"))])
+                continue
             text = word.decode("utf-8", "replace")
             if text.isalpha() and max(text) < "\u0250" and text == text.lower():  # Latin letters: normal forms as they are
                 found.append([x.id for x in tokenize(word.decode("latin-1").translate(BYTE_LETTERS))])
