@@ -40,20 +40,23 @@ TRAIN_BYTES, PART_BYTES = 16 << 20, 1 << 20
 EPOCHS, BATCH, RATE = 3, 512, 0.003
 #: Steps of rows; a batch grows with the words that a task has seen, to so many times the first.
 ROW_RATE, LARGEST = 0.1, 16
+#: Entries of a tile in which gradients are summed up.
+TILE = 16
 #: Bytes of text whose words are counted before they are sent.
 COUNT_BYTES = 32 << 20
 
 
 def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the rows, A-Z as a-z, and each row's first."""
-    starts, _, first = common.words(raw, offsets)
-    return common.word_hashes(common.LOWER[raw], starts), first
+    starts, ends, first = common.words(raw, offsets)
+    return common.plain_hashes(common.LOWER[raw], starts, ends), first
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n``: how often each word (its hash) occurs in all texts; counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_freed_memory()
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -105,6 +108,10 @@ class WindowModel:
 
     def __init__(self, words: np.ndarray, kind: np.ndarray, share: np.ndarray, rest: float):
         self.words, self.kind, self.share, self.rest = words, kind, share, rest  # words sorted by hash; ``rest`` is a word's share beyond them
+        # where a word stands is looked up by its hash's first bits, and from there on
+        bits = max(1, len(words).bit_length() + 2)
+        self.shift, self.sorted = np.uint64(64 - bits), np.append(words, np.uint64(2**64 - 1))
+        self.slots = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift)
         rng = np.random.default_rng(8)
         ids = len(words) + 2  # 0: any other word; 1 to V: the vocabulary; V + 1: outside the text
         self.embedding = rng.normal(0, 0.1, (ids, EMBEDDING)).astype(np.float32)
@@ -123,9 +130,14 @@ class WindowModel:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at + 1, 0)
+        at = self.slots.take((hashes >> self.shift).astype(np.int64))
+        found = self.sorted.take(at)
+        behind = np.flatnonzero(found < hashes)
+        while len(behind):
+            at[behind] += 1
+            found[behind] = self.sorted.take(at[behind])
+            behind = behind[found[behind] < hashes[behind]]
+        return np.where((found == hashes) & (at < len(self.words)), at + 1, 0)
 
     def windows(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row of neighbours for each word, within its text."""
@@ -139,6 +151,17 @@ class WindowModel:
             out[:-k, SIDE + k - 1] = np.where(left[:-k] >= k, ids[k:], outside)
         return out
 
+    def exponents(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the classes' logits, but for a factor of each row that keeps it from overflowing, and its logarithm."""
+        p = hidden @ self.outer
+        p += self.outer_bias
+        # the hidden layer is within -1 and 1, so this bounds all logits
+        if (np.abs(self.outer).sum(0) + np.abs(self.outer_bias)).max() < 60:
+            return np.exp(p, out=p), np.zeros(len(p), np.float32)
+        top = p.max(1)
+        p -= top[:, None]
+        return np.exp(p, out=p), top
+
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The embeddings of rows of neighbours, side by side, and the hidden layer."""
         e = self.embedding.take(around.ravel(), 0).reshape(len(around), -1)
@@ -168,24 +191,59 @@ class WindowModel:
         """The conditional log probability of each word."""
         out = np.where(ids == 0, np.log(self.rest), 0.0)
         around, order = self.windows(ids, first), self.deepest_first(ids)
+        outer, ones = np.ascontiguousarray(self.outer.T), np.ones(CLASSES + 1, np.float32)
         for a in range(0, len(ids), 4096):
             at = order[a:a + 4096]
             own = ids[at]
             _, hidden = self.hidden(around.take(at, 0))
-            logits = hidden @ self.outer
-            logits += self.outer_bias
-            found = logits[np.arange(len(at)), self.kinds.take(own)]
-            top = logits.max(1)
-            logits -= top[:, None]
+            p, top = self.exponents(hidden)
+            kinds = self.kinds.take(own)
+            found = np.einsum("nh,nh->n", hidden, outer.take(kinds, 0))
+            found += self.outer_bias.take(kinds)
             found -= top
-            found -= np.log(np.exp(logits, out=logits).sum(1))
+            found -= np.log(p @ ones)
             for _, branch, _, z in self.decisions(own, hidden):
                 z *= 1 - 2 * branch
-                found[:len(z)] -= np.logaddexp(0, z)
+                found[:len(z)] -= np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
             out[at] += found
         return out
 
 
+def row_sums(rows: np.ndarray, factors: np.ndarray | None, values: np.ndarray, of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``rows`` in order, and the sums of ``factors * values[of]`` of each; None stands for ones, and for values in turn.
+
+    Entries are sorted by row and cut into tiles of TILE, in which sums are products of small matrices.  Only rows
+    that reach into further tiles are added up then.
+    """
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # by 16 bits at a time, which numpy sorts by their digits
+    if rows.max() > 65535:
+        order = order.take(np.argsort((rows >> 16).astype(np.uint16).take(order), kind="stable"))
+    n, tiles = len(order), -(-len(order) // TILE)
+    own = rows.take(order)
+    new = np.ones(n, bool)
+    new[1:] = own[1:] != own[:-1]
+    group = np.empty(tiles * TILE, np.int32)
+    np.cumsum(new, out=group[:n])
+    group[n:] = group[n - 1]
+    begins = group[::TILE]
+    place = (group.reshape(tiles, TILE) - begins[:, None]).ravel()  # within the tile, where sorted rows lie side by side
+    spread = np.zeros((tiles, TILE, TILE), np.float32)
+    at = np.arange(n)
+    column = at & (TILE - 1)
+    spread.reshape(-1)[((at - column + place[:n]) * TILE) + column] = 1 if factors is None else factors.take(order)
+    taken = np.zeros(tiles * TILE, np.int64)
+    taken[:n] = order if of is None else of.take(order)
+    sums = (spread @ values.take(taken, 0).reshape(tiles, TILE, -1)).reshape(tiles * TILE, -1)
+    at = np.flatnonzero(new)
+    out = sums.take((at & -TILE) + place.take(at), 0)
+    again = TILE + TILE * np.flatnonzero(~new[TILE::TILE])
+    if len(again):
+        more = group.take(again) - 1
+        runs = np.flatnonzero(np.diff(more, prepend=-1))
+        out[more.take(runs)] += np.add.reduceat(sums.take(again, 0), runs)
+    return own.take(at), out
+
+
 DENSE = ("inner", "inner_bias", "outer", "outer_bias")
 
 
@@ -200,21 +258,10 @@ class Trainer:
         self.moments = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))] for k in DENSE}
         self.squares = {k: np.zeros(len(getattr(model, k)), np.float32) for k in ("embedding", "nodes")}
         self.steps = {k: np.zeros(len(getattr(model, k)), np.int32) for k in ("embedding", "nodes")}
-        self.number = {k: np.zeros(len(getattr(model, k)), np.int32) for k in ("embedding", "nodes")}
 
-    def _rows(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
-        """One step for each distinct row, by the sum of its gradients."""
-        if not len(rows):
-            return
-        number, every = self.number[name], np.arange(len(rows), dtype=np.int32)
-        number[rows] = every
-        distinct = rows[number.take(rows) == every]
-        number[distinct] = every[:len(distinct)]
-        group, columns = number.take(rows).astype(np.intp), gradients.T.astype(float, order="C")
-        g = np.empty((len(columns), len(distinct)), np.float32)
-        for k, column in enumerate(columns):
-            g[k] = np.bincount(group, column, len(distinct))
-        g = g.T.copy()
+    def _rows(self, name: str, rows: np.ndarray, factors: np.ndarray | None, gradients: np.ndarray, of: np.ndarray | None) -> None:
+        """One step for each distinct row, by the sum of its gradients (see ``row_sums``)."""
+        distinct, g = row_sums(rows, factors, gradients, of)
         self.steps[name][distinct] += 1
         squares = self.squares[name].take(distinct)
         squares += np.einsum("nk,nk->n", g, g) / g.shape[1]
@@ -224,41 +271,37 @@ class Trainer:
 
     def train(self, ids: np.ndarray, first: np.ndarray) -> None:
         own, around = self.model, self.model.windows(ids, first)
-        order, a = self.rng.permutation(len(ids)), 0
+        order, a, ones = self.rng.permutation(len(ids)), 0, np.ones(CLASSES + 1, np.float32)
         while a < len(ids):
             at = order[a:a + min(BATCH * LARGEST, max(BATCH, self.seen // 32))]
             a, self.seen, self.step = a + len(at), self.seen + len(at), self.step + 1
             at = at[own.deepest_first(ids.take(at))]
             near, words = around.take(at, 0), ids.take(at)
             e, hidden = own.hidden(near)
-            p = hidden @ own.outer
-            p += own.outer_bias
-            p -= p.max(1, keepdims=True)
-            p = np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
+            p, _ = own.exponents(hidden)
+            p *= (1 / (p @ ones))[:, None]
             p[np.arange(len(at)), own.kinds.take(words)] -= 1
             back = p @ own.outer.T
-            nodes, gradients = [], []
+            nodes, errors = [], []
             for node, branch, weights, z in own.decisions(words, hidden):
                 wrong = 0.5 + 0.5 * np.tanh(0.5 * z) - branch
                 weights *= wrong[:, None]
                 back[:len(z)] += weights[:, :HIDDEN]
-                np.multiply(hidden[:len(z)], wrong[:, None], out=weights[:, :HIDDEN])
-                weights[:, HIDDEN] = wrong
                 nodes.append(node)
-                gradients.append(weights)
+                errors.append(wrong)
             back *= 1 - hidden * hidden
             to_e = back @ own.inner.reshape(-1, HIDDEN).T
-            dense = (e.T @ back).reshape(own.inner.shape), back.sum(0), hidden.T @ p, p.sum(0)
+            dense = (e.T @ back).reshape(own.inner.shape), back.sum(0), hidden.T @ p, np.ones(len(p), np.float32) @ p
             for k, g in zip(DENSE, dense):
                 g /= len(at)
                 m, v = self.moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 getattr(own, k)[...] -= RATE * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
-            self._rows("embedding", near.ravel(), to_e.reshape(-1, EMBEDDING))
+            self._rows("embedding", near.ravel(), None, to_e.reshape(-1, EMBEDDING), None)
             if nodes:
-                self._rows("nodes", np.concatenate(nodes), np.concatenate(gradients))
+                of = np.concatenate([np.arange(len(x)) for x in nodes])
+                self._rows("nodes", np.concatenate(nodes), np.concatenate(errors), np.concatenate([hidden, np.ones((len(at), 1), np.float32)], 1), of)
 
 
 _WEIGHTS = pa.schema([("name", pa.string()), ("block", pa.int32()), ("task", pa.int32()), ("rows", pa.binary()), ("weight", pa.binary()), ("vals", pa.binary())])
@@ -268,6 +311,7 @@ def _trained(sent, seed: int, block: int):
     """A task's documents to the weights that it trained, in blocks of rows, each row with the steps it took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_freed_memory()
         task, trainer = TaskContext.get().partitionId(), None
         for _, raw, offsets in common.scan_rows(batches, 1, PART_BYTES):
             hashes, first = hashed_words(raw, offsets)
@@ -377,6 +421,7 @@ def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # grows with the root of the number of words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_freed_memory()
         own = sent.value
         for rows, raw, offsets in common.scan_rows(batches, 1):
             hashes, first = hashed_words(raw, offsets)

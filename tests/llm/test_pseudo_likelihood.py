@@ -87,3 +87,45 @@ def test_trees_hold_the_shares():
     signed = np.where(branch == 1, -1, 1) * odds[path]
     got = [math.exp(-np.logaddexp(0, signed[a:b]).sum()) for a, b in zip(begins, begins[1:])]
     assert np.allclose(got, share, atol=1e-5) and begins[1] == begins[0]
+
+
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(4)
+    for n, most in ((1, 5), (16, 1), (1000, 3), (5000, 200_000), (9000, 900)):
+        rows = (most * rng.random(n) ** 3).astype(np.int32)
+        values, of, factors = rng.normal(size=(300, 5)).astype(np.float32), rng.integers(0, 300, n), rng.normal(size=n).astype(np.float32)
+        for f, v, o in ((factors, values, of), (None, values[of], None)):
+            distinct, sums = pl.row_sums(rows, f, v, o)
+            want = np.zeros((most, 5))
+            np.add.at(want, rows, values[of] * (1 if f is None else f[:, None]))
+            assert (distinct == np.unique(rows)).all() and np.allclose(sums, want[distinct], atol=1e-3)
+
+
+def test_large_weights_do_not_overflow():
+    model = pl.WindowModel(np.arange(4, dtype=np.uint64), np.array([0, 0, 1, 1]), np.full(4, 0.5), 1.0)
+    ids, first = np.array([1, 2, 3, 4]), np.array([0, 4])
+    model.outer_bias[:] = 10
+    small = model.log_probabilities(ids, first)
+    model.outer_bias[:] = 5000  # the same for all classes
+    large = model.log_probabilities(ids, first)
+    assert np.isfinite(large).all() and np.allclose(small, large, atol=1e-2)
+
+
+def test_ids_are_found_by_hash():
+    rng = np.random.default_rng(5)
+    for words in (np.arange(40, dtype=np.uint64), np.unique(rng.integers(0, 2**64, 3000, np.uint64)), np.array([7, 2**64 - 1], np.uint64)):
+        model = pl.WindowModel(words, np.zeros(len(words), int), np.full(len(words), 1 / len(words)), 1.0)
+        hashes = np.concatenate([words, words + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]])
+        number = {w: k + 1 for k, w in enumerate(words.tolist())}
+        assert model.ids(hashes).tolist() == [number.get(h, 0) for h in hashes.tolist()]
+
+
+def test_hashes_are_of_the_whole_word():
+    rng = np.random.default_rng(6)
+    words = [b"a", b"a\x00", b"\x00", b"x" * 5000, *(b"a" * k for k in range(2, 60)), *(bytes(rng.integers(97, 100, rng.integers(1, 50)).astype(np.uint8)) for _ in range(3000))]
+    words += words[::3]
+    raw, n = np.frombuffer(b" ".join(words), np.uint8), np.array([len(w) for w in words])
+    starts = np.cumsum(n + 1) - n - 1
+    hashes = pl.common.plain_hashes(raw, starts, starts + n).tolist()
+    assert len(set(words)) == len(set(hashes)) == len(set(zip(words, hashes)))
+    assert len(pl.common.plain_hashes(raw[:0], starts[:0], starts[:0])) == 0
