@@ -35,6 +35,8 @@ BLOCK_IDS, SEGMENT_IDS = 1024, 6 << 20
 LANES = 8192
 #: Bytes of text that are tokenised at once; words whose ids are remembered.
 SCAN_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
+#: Bits of the slots in which words are found without their bytes.
+SLOT_BITS = 20
 
 _ONE, _TWO = 512, 1024  # slots of each context table of a lane
 _BUCKETS, _TOTAL = 32, 4096  # of order 0, and their frequencies' sum
@@ -434,6 +436,8 @@ class Tokenizer:
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)  # the number of a word; no word has number 0
+        self.low, self.high, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8)  # 0 for words that are in no slot
         self.count = self.used = 0
         self._add([[self.end]])  # number 0 stands for the end of a text
 
@@ -443,7 +447,8 @@ class Tokenizer:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(found) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.low, self.high, self.size = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.low, self.high, self.size))
         self.ids[self.used:self.used + len(flat)] = flat
         at = slice(self.count, self.count + len(found))
         self.length[at] = lengths
@@ -458,14 +463,37 @@ class Tokenizer:
             self._clear()
         raw = common.LOWER[raw]  # as the file's normalizer does
         starts, ends, first = self._parts(raw, offsets)
-        # words are grouped by a 64-bit hash; each distinct one is looked up once, those that only share its hash on their own
-        _, one, back = np.unique(common.word_hashes(raw, starts), return_index=True, return_inverse=True)
+        numbers = np.insert(self._numbers(raw, starts, ends), first[1:], 0)
+        lengths = self.length[numbers]
+        after = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.begin[numbers] - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]
+        lasts = after[first[1:] + np.arange(len(offsets) - 1)]
+        return ids, np.diff(lasts, prepend=0)
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word.  A word of up to 16 bytes is compared, as two integers, with the last one met in its slot."""
+        hashes, lengths = common.plain_hashes(raw, starts, ends), ends - starts
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        low, high = common.word_integers(padded, starts, lengths), np.zeros(len(starts), np.uint64)
+        over = np.flatnonzero(lengths > 8)
+        high[over] = common.word_integers(padded, starts[over], lengths[over], 1)
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        numbers = self.slots.take(slots)
+        other = self.low.take(numbers) != low
+        other |= self.high.take(numbers) != high
+        other |= self.size.take(numbers) != lengths
+        other = np.flatnonzero(other)
+        if not len(other):
+            return numbers
+        # the rest are grouped by their hash; each distinct one is looked up once, those that only share its hash on their own
+        starts, ends = starts[other], ends[other]
+        _, one, back = np.unique(hashes[other], return_index=True, return_inverse=True)
         strange = _unlike(raw, starts, ends, one[back])
         if len(strange):
             back[strange] = len(one) + np.arange(len(strange))
             one = np.concatenate([one, strange])
         data, known, new, total = raw.tobytes(), self.known, [], self.count
-        of_distinct = np.empty(len(one), np.int64)
+        of_distinct = np.empty(len(one), np.int32)
         for k, (a, b) in enumerate(zip(starts[one].tolist(), ends[one].tolist())):
             word = data[a:b]
             number = known.get(word)
@@ -475,12 +503,12 @@ class Tokenizer:
             of_distinct[k] = number
         if new:
             self._add(self._ids(new))
-        numbers = np.insert(of_distinct[back], first[1:], 0)
-        lengths = self.length[numbers]
-        after = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.begin[numbers] - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]
-        lasts = after[first[1:] + np.arange(len(offsets) - 1)]
-        return ids, np.diff(lasts, prepend=0)
+        short = np.flatnonzero(lengths[other[one]] <= 16)
+        at, number = other[one[short]], of_distinct[short]
+        self.low[number], self.high[number], self.size[number] = low[at], high[at], lengths[at]
+        self.slots[slots[at]] = number
+        numbers[other] = of_distinct[back]
+        return numbers
 
     def _whole_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same by the library on whole texts, for files that cut texts in another way."""
@@ -528,6 +556,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2, id_col
     sent = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_freed_memory()
         own = _tokenizer(sent.value, end_id)
         names, counts, parts, held, number = [], [], [], 0, 0
 
@@ -566,6 +595,7 @@ def read(docs_spark, path: str) -> DataFrame:
     before = files.select("file", "segment", "tokens").withColumn("start", F.sum("tokens").over(Window.orderBy("file", "segment")) - F.col("tokens")).drop("tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_freed_memory()
         for batch in batches:
             for row in range(len(batch)):
                 names, counts, start, data = (batch.column(k)[row].as_py() for k in range(4))

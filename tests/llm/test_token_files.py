@@ -99,3 +99,28 @@ def test_files_that_cut_texts_in_another_way():
     raw = [t.encode() for t in texts]
     ids, lengths = own.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*library.encode(t).ids, 2] for t in texts]
+
+
+def test_words_of_one_slot_are_told_apart(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(7)
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "abcdefghj", "x" * 16, "x" * 17, "x" * 30, "x" * 29 + "y", "a\x00", "\x00", "\x00\x00", "été", "1", ",", ",,"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for hashes in (token_files.common.plain_hashes, lambda raw, starts, ends: np.zeros(len(starts), np.uint64)):
+        monkeypatch.setattr(token_files.common, "plain_hashes", hashes)
+        own = token_files.Tokenizer(open(PATH).read(), 2)
+        for most in (3, 10**6):  # the words known so far are forgotten in between
+            monkeypatch.setattr(token_files, "CACHE_WORDS", most)
+            for _ in range(2):
+                ids, lengths = own.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+
+
+def test_a_word_that_is_known_is_not_looked_up_by_its_bytes():
+    own = token_files.Tokenizer(open(PATH).read(), 2)
+    raw, offsets = np.frombuffer(b"one two, three one", np.uint8), np.array([0, 18])
+    ids, _ = own.encode_rows(raw, offsets)
+    own.known = None
+    assert (own.encode_rows(raw, offsets)[0] == ids).all()
