@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,11 @@ _STRETCH, _SQUASH = _stretch_table(), _squash_table()
 _SAYS = np.concatenate([[0], _STRETCH[np.linspace(512, 3840, 15).astype(int)]]).astype(np.int32)
 
 
+#: What a miss (first 16) or hit adds to the confidence of an order-1 guess, and whether the guess stays.
+_CHANGE = np.concatenate([-(np.arange(16) >> 1), np.arange(16) < _MOST]).astype(np.int32)
+_OUTLIVES = np.concatenate([np.arange(16) > 1, np.ones(16)]).astype(np.int32)
+
+
 class _Prior:
     """Order 0 at the start of every block of a segment: buckets of neighbouring ids, and frequencies within them."""
 
@@ -179,9 +185,26 @@ class _Model:
         fresh = ids << 4
         fresh |= 1
         # a frequent order-1 guess outlives a miss, by half its confidence; an order-2 guess doesn't
-        s, c = self.s1, self.c1
-        self.one[self.at1] = np.where(self.g1 == ids, s + (c < _MOST), np.where(c > 1, s - (c >> 1), fresh))
-        self.two[self.at2] = np.where(self.g2 == ids, self.s2 + (self.c2 < _MOST), fresh)
+        same = (self.g1 == ids).view(np.int8)
+        same <<= 4
+        change = self.c1 | same
+        s = self.s1
+        s += _CHANGE.take(change)
+        s ^= fresh
+        s *= _OUTLIVES.take(change)
+        s ^= fresh
+        self.one[self.at1] = s
+        s = self.s2
+        s += self.c2 < _MOST
+        self.two[self.at2] = _chosen(self.g2 == ids, s, fresh)
+
+
+def _chosen(here: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """What ``np.where`` gives, without a branch for each element; overwrites ``no``."""
+    no ^= yes
+    no *= ~here
+    no ^= yes
+    return no
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -191,11 +214,13 @@ def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
 
 def _shift(low: np.ndarray, span: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Take the first 16 bits off the live lanes, and return those that aren't done."""
-    l, s = low[live], span[live]
-    s = np.where((l ^ (l + s)) < _TOP, s, (~l + np.uint64(1)) & _MASK)  # a carry may not pass: the range is cut
-    l, s = l << _U16, s << _U16
+    l, s = low.take(live), span.take(live)
+    cut = np.flatnonzero((l ^ (l + s)) >= _TOP)
+    s[cut] = (~l[cut] + np.uint64(1)) & _MASK  # a carry may not pass: the range is cut
+    l <<= _U16
+    s <<= _U16
     low[live], span[live] = l, s
-    return live[_unsettled(l, s)]
+    return live.take(_unsettled(l, s))
 
 
 def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
@@ -203,18 +228,20 @@ def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
     lanes, steps = numbers.shape
     model, bits = _Model(lanes, prior), np.uint64(prior.bits)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    out, filled = np.zeros((lanes, steps // 2 + 4 * _REFRESH), np.uint16), np.zeros(lanes, np.int64)
+    width = steps // 2 + 4 * _REFRESH
+    out, base = np.zeros((lanes, width), np.uint16), np.arange(lanes) * width
+    filled = base.copy()
     rows = np.concatenate([np.zeros((2, lanes), np.int32), numbers.T])
     all_starts, all_freqs = prior.start.astype(np.uint64), prior.freq.astype(np.uint64)
     for a in range(0, steps, _REFRESH):
         part_of = rows[a + 2:a + 2 + _REFRESH]
         n = len(part_of)
         ones, twos = model.contexts(rows[a + 1:a + 1 + n], rows[a:a + n])
-        recent = prior.bucket[part_of]
+        recent = prior.bucket.take(part_of)
         at = recent + model.sums
         below = model.cumulative.take(at)
         wide, below = (model.cumulative.take(at + 1) - below).astype(np.uint64), below.astype(np.uint64)
-        start, freq = all_starts[part_of], all_freqs[part_of]
+        start, freq = all_starts.take(part_of), all_freqs.take(part_of)
         for k, now in enumerate(part_of):
             guess, p = model.predict(ones[k], twos[k])
             hit = now == guess
@@ -227,20 +254,28 @@ def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
             unit += each * start[k]
             unit *= ~hit
             low += unit
-            span = np.where(hit, part, each * freq[k])
+            each *= freq[k]
+            span = _chosen(hit, part, each)
             live = _unsettled(low, span)
             while len(live):
-                out[live, filled[live]] = (low[live] >> _U48).astype(np.uint16)
-                filled[live] += 1
+                to = filled.take(live)
+                out.reshape(-1)[to] = (low.take(live) >> _U48).astype(np.uint16)
+                to += 1
+                filled[live] = to
                 live = _shift(low, span, live)
             model.learn(now, hit, p)
         model.refresh(recent)
-        if filled.max() + 4 * _REFRESH > out.shape[1]:  # 3 units an id at most
+        filled -= base
+        if filled.max() + 4 * _REFRESH > width:  # 3 units an id at most
             out = np.concatenate([out, np.zeros((lanes, steps // 2 + 4 * _REFRESH), np.uint16)], 1)
+            width = out.shape[1]
+            base = np.arange(lanes) * width
+        filled += base
+    out = out.reshape(-1)
     for k in range(4):
-        out[np.arange(lanes), filled + k] = (low >> _U48).astype(np.uint16)
+        out[filled + k] = (low >> _U48).astype(np.uint16)
         low = low << _U16
-    return [out[k, :filled[k] + 4].astype("<u2").tobytes() for k in range(lanes)]
+    return [out[a:b].astype("<u2").tobytes() for a, b in zip(base.tolist(), (filled + 4).tolist())]
 
 
 def _decode_lanes(coded: list[bytes], steps: int, prior: _Prior, lookup: np.ndarray) -> np.ndarray:
@@ -282,12 +317,15 @@ def _decode_lanes(coded: list[bytes], steps: int, prior: _Prior, lookup: np.ndar
         unit += each * start.take(found)
         unit *= ~hit
         low += unit
-        span = np.where(hit, part, each * freq.take(found))
-        now = np.where(hit, guess, found)
+        each *= freq.take(found)
+        span = _chosen(hit, part, each)
+        now = _chosen(hit, guess, found)
         live = _unsettled(low, span)
         while len(live):
-            code[live] = code[live] << _U16 | words.take(np.minimum(read[live], end[live])).astype(np.uint64)
-            read[live] += 1
+            at = read.take(live)
+            code[live] = code.take(live) << _U16 | words.take(np.minimum(at, end.take(live))).astype(np.uint64)
+            at += 1
+            read[live] = at
             live = _shift(low, span, live)
         numbers[step] = now
         model.learn(now, hit, p)
@@ -329,35 +367,35 @@ def encode_ids(ids: np.ndarray) -> bytes:
         grid = np.zeros(count * steps, np.int32)
         grid[:len(ids)] = numbers
         grid = grid.reshape(count, steps)
+        own = prior.ids.astype("<u4")
         for k in range(0, count, LANES):
             blocks += _encode_lanes(grid[k:k + LANES], prior)
-            sums += [zlib.crc32(x.tobytes()) for x in prior.ids[grid[k:k + LANES]].astype("<u4")]
+            sums += [zlib.crc32(x) for x in own.take(grid[k:k + LANES])]
     head = struct.pack(_HEAD, MAGIC, VERSION, steps, len(packed), len(ids), zlib.crc32(packed))
     table = np.array([[len(x), c] for x, c in zip(blocks, sums)], "<u4").tobytes()
     return b"".join([head, packed, table, *blocks])
 
 
 def decode_ids(data: bytes) -> np.ndarray:
-    """What ``encode_ids`` was given; raises ValueError if a header or a block's checksum is wrong."""
+    """What ``encode_ids`` was given, as 4-byte little endian; raises ValueError if a header or a block's checksum is wrong."""
     magic, version, steps, size, total, check = struct.unpack_from(_HEAD, data)
     at = struct.calcsize(_HEAD)
     if magic != MAGIC or version != VERSION or (steps == 0) != (total == 0) or zlib.crc32(data[at:at + size]) != check:
         raise ValueError("not a token file of this version")
     if not total:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, "<u4")
     prior = _Prior.unpack(data[at:at + size])
     count = -(-total // BLOCK_IDS)
     table = np.frombuffer(data, "<u4", 2 * count, at + size).reshape(count, 2)
     cuts = np.cumsum(np.append(at + size + 8 * count, table[:, 0].astype(np.int64)))
     blocks = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    lookup, parts = prior.lookup(), []
+    lookup, own, out = prior.lookup(), prior.ids.astype("<u4"), np.empty((count, steps), "<u4")
     for k in range(0, count, LANES):
-        ids = prior.ids[_decode_lanes(blocks[k:k + LANES], steps, prior, lookup)]
-        for j, block in enumerate(ids.astype("<u4")):
-            if zlib.crc32(block.tobytes()) != table[k + j, 1]:
-                raise ValueError(f"block {k + j}: wrong checksum")
-        parts.append(ids.ravel())
-    return np.concatenate(parts)[:total]
+        np.take(own, _decode_lanes(blocks[k:k + LANES], steps, prior, lookup), out=out[k:k + LANES], mode="clip")
+    for k, (block, check) in enumerate(zip(out, table[:, 1].tolist())):
+        if zlib.crc32(block) != check:
+            raise ValueError(f"block {k}: wrong checksum")
+    return out.reshape(-1)[:total]
 
 
 #: Kinds of bytes: 0 white space, 1 ASCII letters, 2 ASCII digits, 3 ASCII marks, 4 all that may stick to its neighbours.
@@ -443,7 +481,7 @@ class Tokenizer:
 
     def _add(self, found: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(found) > len(self.begin):
@@ -601,7 +639,7 @@ def read(docs_spark, path: str) -> DataFrame:
                 names, counts, start, data = (batch.column(k)[row].as_py() for k in range(4))
                 names, counts, ids = np.frombuffer(names, "<i8"), np.frombuffer(counts, "<i8"), decode_ids(data)
                 after = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids).cast("B") if len(ids) else b""
                 sums = [zlib.crc32(raw[4 * (b - c):4 * b]) for b, c in zip(after.tolist(), counts.tolist())]
                 least = names == -(2**63)
                 yield pa.RecordBatch.from_arrays(
