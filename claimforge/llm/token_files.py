@@ -223,6 +223,13 @@ def _shift(low: np.ndarray, span: np.ndarray, live: np.ndarray) -> np.ndarray:
     return live.take(_unsettled(l, s))
 
 
+def _transpose(rows: np.ndarray, out: np.ndarray) -> None:
+    """Columns of ``rows`` to rows of ``out``, in parts whose lines stay in the cache."""
+    for a in range(0, rows.shape[0], 64):
+        for b in range(0, rows.shape[1], 1024):
+            out[b:b + 1024, a:a + 64] = rows[a:a + 64, b:b + 1024].T
+
+
 def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
     """Rows of ids of one length, by their numbers in the prior, each coded on its own."""
     lanes, steps = numbers.shape
@@ -231,7 +238,8 @@ def _encode_lanes(numbers: np.ndarray, prior: _Prior) -> list[bytes]:
     width = steps // 2 + 4 * _REFRESH
     out, base = np.zeros((lanes, width), np.uint16), np.arange(lanes) * width
     filled = base.copy()
-    rows = np.concatenate([np.zeros((2, lanes), np.int32), numbers.T])
+    rows = np.zeros((steps + 2, lanes), np.int32)
+    _transpose(numbers, rows[2:])
     all_starts, all_freqs = prior.start.astype(np.uint64), prior.freq.astype(np.uint64)
     for a in range(0, steps, _REFRESH):
         part_of = rows[a + 2:a + 2 + _REFRESH]
@@ -330,7 +338,9 @@ def _decode_lanes(coded: list[bytes], steps: int, prior: _Prior, lookup: np.ndar
         numbers[step] = now
         model.learn(now, hit, p)
         before, last = last, now
-    return numbers.T
+    out = np.empty((lanes, steps), np.int32)
+    _transpose(numbers, out)
+    return out
 
 
 _HEAD = "<4sIIIQI"
