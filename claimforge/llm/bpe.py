@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import common
 
-#: Bytes of text that are cut into pieces at once.
-SCAN_BYTES = 2 << 20
+#: Bytes of text that are cut into pieces at once; what that takes, a worker keeps for later stages.
+SCAN_BYTES = 512 << 10
 #: Pieces whose ids are remembered, and the longest such piece in bytes.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+CACHE_PIECES, CACHE_BYTES = 170_000, 64
 
 # Classes of codepoints.
 SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, ONE, R_OR_V, ELL, E = range(10)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimforge.session import ensure_checkpoint_dir
@@ -147,6 +148,18 @@ def size_in_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 2**60)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Actions within hand Python batches of ``most`` bytes or a row."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def shared_path(df: DataFrame, name: str) -> str:
     """A new folder under the checkpoint folder, which the driver and all executors share."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,17 +69,6 @@ class Index:
     terms: int
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every document of ``docs`` in the folder ``to``; a null text has no terms.
 
@@ -95,7 +83,7 @@ def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
             documents, terms = documents + int((n > 0).sum()), terms + int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], ["documents", "terms"])
 
-    with _small_batches(docs.sparkSession):
+    with common.small_batches(docs.sparkSession, BATCH):
         size = rows.mapInArrow(count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     documents, terms = size[0] or 0, size[1] or 0
 
@@ -105,7 +93,7 @@ def build_index(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
                 at = offsets[a:a + SEGMENT_DOCS + 1]
                 yield _segment(batch.column(0).slice(a, len(at) - 1), raw[at[0]:at[-1]], at - at[0], documents, terms)
 
-    with _small_batches(docs.sparkSession):
+    with common.small_batches(docs.sparkSession, BATCH):
         rows.mapInArrow(segments, INDEX_SCHEMA).write.option("parquet.block.size", ROW_GROUP).parquet(to)
     return Index(to, documents, terms)
 
@@ -295,7 +283,7 @@ def search(spark: SparkSession, index: Index, items: DataFrame, id_col: str = "i
     Equal scores go by ascending doc_id, a null one last.  Repeated items and documents are rows of their own.  Items without
     terms, null ones too, have no result.  Items are taken in blocks of ``ITEMS``, whose distinct terms the driver holds.
     """
-    with _small_batches(spark):
+    with common.small_batches(spark, BATCH):
         blocks, waiting = [], []
         for row in items.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
             raw = common.LOWER[np.frombuffer((row[1] or "").encode("utf-8"), np.uint8)]

@@ -45,7 +45,9 @@ from claimforge.session import ensure_checkpoint_dir
 #: Bytes of text whose shingles are sent together.
 RUN_BYTES = 8 << 20
 #: Bytes of text that are hashed at once.
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = 4 << 20
 #: Bytes of input for each key range.
 RANGE_BYTES = 8 << 20
 #: Documents of a block of the search.
@@ -416,7 +418,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     buckets = min(1 << 24, max(common.shuffle_partitions(docs), ceil(common.size_in_bytes(docs) / RANGE_BYTES)))  # the hash has 24 bits for them
     sent = rows.mapInArrow(_send(width, buckets), "run long, bucket int, ids binary, counts binary, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "run long, ids binary, counts binary, hashes binary, seen binary")
-    kept = answers.groupBy("run").applyInArrow(_gather(threshold), "doc_id long, n long, shared long, digest binary, body binary").checkpoint()
+    with common.small_batches(docs.sparkSession, BATCH_BYTES):
+        kept = answers.groupBy("run").applyInArrow(_gather(threshold), "doc_id long, n long, shared long, digest binary, body binary").checkpoint()
 
     # one node a class; a document without equals in its set is a class of its own
     keyed = kept.where("body is not null").withColumn("key", F.coalesce("digest", F.col("doc_id").cast("string").cast("binary")))

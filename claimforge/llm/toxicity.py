@@ -34,6 +34,8 @@ MIN_DOCS, MIN_RATIO, CHANCE = 4, 20.0, 0.1
 CLEAN = 2
 #: Words of a training sequence; rounds of gradient ascent; pull of weights to zero.
 SEQUENCE, ROUNDS, PULL = 64, 60, 1e-3
+#: Bytes of text that ``annotate`` scores at once; its batches hold all columns.
+ANNOTATE_BYTES = 1 << 20
 #: A token is in a span from this marginal on.
 SPAN = 0.5
 
@@ -338,7 +340,7 @@ def annotate(docs: DataFrame, model: ToxicityModel, name: str = "toxic", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         table = own.words()
-        for rows, raw, offsets in common.scan_rows(batches, text):
+        for rows, raw, offsets in common.scan_rows(batches, text, ANNOTATE_BYTES):
             marginal, first = _known_marginals(own, table, raw, offsets)[:2]
             found = pa.array((own.score(marginal, first) >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*rows.columns, found], names)

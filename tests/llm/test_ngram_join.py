@@ -119,3 +119,28 @@ def test_owners_are_packed_either_way():
         owner = np.sort(np.random.default_rng(docs).integers(0, docs, 40))
         assert (_owners(_packed(owner, docs)) == owner).all()
     assert len(_owners(_packed(np.zeros(0, np.int64), 9))) == 0
+
+
+def test_little_memory_is_held_besides_a_run(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from claimforge.llm import ngram_join
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(ngram_join, "TaskContext", Context)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(7000)) for _ in range(100)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sent = sum(x.num_rows for x in ngram_join._send(5, 16)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == 17
+    assert peak < 80 << 20

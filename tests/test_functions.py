@@ -82,6 +82,30 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_scan_their_edges_once_and_write_few_files(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    most = 2 * spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(5 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1000).selectExpr("id as src", "id + 1000 as dst").mapInArrow(found, "src long, dst long")
+        got = connected_components(edges)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows.value == 1000
+    assert got.rdd.getNumPartitions() <= most
+    assert sorted(map(tuple, got.collect())) == sorted((n, k) for k in range(1000) for n in (k, k + 1000))
+
+
 def test_workbooks(spark, tmp_path):
     import zipfile
 
