@@ -151,10 +151,13 @@ class WindowModel:
             out[:-k, SIDE + k - 1] = np.where(left[:-k] >= k, ids[k:], outside)
         return out
 
+    def outer_rows(self) -> np.ndarray:
+        """The classes' weights, the last row being their biases."""
+        return np.concatenate([self.outer, self.outer_bias[None]])
+
     def exponents(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the classes' logits, but for a factor of each row that keeps it from overflowing, and its logarithm."""
-        p = hidden @ self.outer
-        p += self.outer_bias
+        p = hidden @ self.outer_rows()
         # the hidden layer is within -1 and 1, so this bounds all logits
         if (np.abs(self.outer).sum(0) + np.abs(self.outer_bias)).max() < 60:
             return np.exp(p, out=p), np.zeros(len(p), np.float32)
@@ -163,11 +166,14 @@ class WindowModel:
         return np.exp(p, out=p), top
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embeddings of rows of neighbours, side by side, and the hidden layer."""
+        """The embeddings of rows of neighbours, side by side, and the hidden layer with a last unit of 1, whose weights are biases."""
         e = self.embedding.take(around.ravel(), 0).reshape(len(around), -1)
         x = e @ self.inner.reshape(-1, HIDDEN)
         x += self.inner_bias
-        return e, np.tanh(x, out=x)
+        hidden = np.empty((len(x), HIDDEN + 1), np.float32)
+        np.tanh(x, out=hidden[:, :HIDDEN])
+        hidden[:, HIDDEN] = 1
+        return e, hidden
 
     def deepest_first(self, ids: np.ndarray) -> np.ndarray:
         """The order of words by their number of decisions within the class, most first."""
@@ -183,15 +189,13 @@ class WindowModel:
             at = begins[:n] + d
             node = self.path.take(at)
             weights = self.nodes.take(node, 0)
-            z = np.einsum("nh,nh->n", hidden[:n], weights[:, :HIDDEN])
-            z += weights[:, HIDDEN]
-            yield node, self.branch.take(at), weights, z
+            yield node, self.branch.take(at), weights, np.einsum("nh,nh->n", hidden[:n], weights)
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The conditional log probability of each word."""
         out = np.where(ids == 0, np.log(self.rest), 0.0)
         around, order = self.windows(ids, first), self.deepest_first(ids)
-        outer, ones = np.ascontiguousarray(self.outer.T), np.ones(CLASSES + 1, np.float32)
+        outer, ones = np.ascontiguousarray(self.outer_rows().T), np.ones(CLASSES + 1, np.float32)
         for a in range(0, len(ids), 4096):
             at = order[a:a + 4096]
             own = ids[at]
@@ -199,7 +203,6 @@ class WindowModel:
             p, top = self.exponents(hidden)
             kinds = self.kinds.take(own)
             found = np.einsum("nh,nh->n", hidden, outer.take(kinds, 0))
-            found += self.outer_bias.take(kinds)
             found -= top
             found -= np.log(p @ ones)
             for _, branch, _, z in self.decisions(own, hidden):
@@ -238,12 +241,17 @@ def row_sums(rows: np.ndarray, factors: np.ndarray | None, values: np.ndarray, o
     out = sums.take((at & -TILE) + place.take(at), 0)
     again = TILE + TILE * np.flatnonzero(~new[TILE::TILE])
     if len(again):
-        more = group.take(again) - 1
-        runs = np.flatnonzero(np.diff(more, prepend=-1))
-        out[more.take(runs)] += np.add.reduceat(sums.take(again, 0), runs)
+        more, g = row_sums(group.take(again) - 1, None, sums.take(again, 0), None)
+        out[more] += g
     return own.take(at), out
 
 
+def put_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``into[rows] = values``, each row copied as one block of bytes instead of number by number."""
+    block = np.dtype((np.void, into.itemsize * into.shape[1]))
+    into.view(block)[:, 0][rows] = np.ascontiguousarray(values, into.dtype).view(block)[:, 0]
+
+
 DENSE = ("inner", "inner_bias", "outer", "outer_bias")
 
 
@@ -267,7 +275,8 @@ class Trainer:
         squares += np.einsum("nk,nk->n", g, g) / g.shape[1]
         self.squares[name][distinct] = squares
         g *= (ROW_RATE / (np.sqrt(squares) + 1e-8))[:, None]
-        getattr(self.model, name)[distinct] -= g
+        weights = getattr(self.model, name)
+        put_rows(weights, distinct, np.subtract(weights.take(distinct, 0), g, out=g))
 
     def train(self, ids: np.ndarray, first: np.ndarray) -> None:
         own, around = self.model, self.model.windows(ids, first)
@@ -281,17 +290,18 @@ class Trainer:
             p, _ = own.exponents(hidden)
             p *= (1 / (p @ ones))[:, None]
             p[np.arange(len(at)), own.kinds.take(words)] -= 1
-            back = p @ own.outer.T
+            back = p @ own.outer_rows().T
             nodes, errors = [], []
             for node, branch, weights, z in own.decisions(words, hidden):
                 wrong = 0.5 + 0.5 * np.tanh(0.5 * z) - branch
                 weights *= wrong[:, None]
-                back[:len(z)] += weights[:, :HIDDEN]
+                back[:len(z)] += weights
                 nodes.append(node)
                 errors.append(wrong)
-            back *= 1 - hidden * hidden
-            to_e = back @ own.inner.reshape(-1, HIDDEN).T
-            dense = (e.T @ back).reshape(own.inner.shape), back.sum(0), hidden.T @ p, np.ones(len(p), np.float32) @ p
+            back *= 1 - hidden * hidden  # 0 for the last unit
+            back = back[:, :HIDDEN]
+            to_e, to_outer = back @ own.inner.reshape(-1, HIDDEN).T, hidden.T @ p
+            dense = (e.T @ back).reshape(own.inner.shape), np.ones(len(at), np.float32) @ back, to_outer[:HIDDEN], to_outer[HIDDEN]
             for k, g in zip(DENSE, dense):
                 g /= len(at)
                 m, v = self.moments[k]
@@ -301,7 +311,7 @@ class Trainer:
             self._rows("embedding", near.ravel(), None, to_e.reshape(-1, EMBEDDING), None)
             if nodes:
                 of = np.concatenate([np.arange(len(x)) for x in nodes])
-                self._rows("nodes", np.concatenate(nodes), np.concatenate(errors), np.concatenate([hidden, np.ones((len(at), 1), np.float32)], 1), of)
+                self._rows("nodes", np.concatenate(nodes), np.concatenate(errors), hidden, of)
 
 
 _WEIGHTS = pa.schema([("name", pa.string()), ("block", pa.int32()), ("task", pa.int32()), ("rows", pa.binary()), ("weight", pa.binary()), ("vals", pa.binary())])

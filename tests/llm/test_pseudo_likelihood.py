@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,38 @@ def test_gradients_are_summed_by_row():
             assert (distinct == np.unique(rows)).all() and np.allclose(sums, want[distinct], atol=1e-3)
 
 
+def test_a_frequent_row_is_summed_as_exactly_as_a_rare_one():
+    n = 400_000
+    values = np.full((1, 5), 0.1, np.float32)
+    distinct, sums = pl.row_sums(np.append(np.full(n, 3), 7).astype(np.int32), None, values, np.zeros(n + 1, np.int64))
+    assert distinct.tolist() == [3, 7]
+    assert np.allclose(sums, [[0.1 * n], [0.1]], rtol=1e-5, atol=0)
+
+
+def test_rows_are_put_whole():
+    rng = np.random.default_rng(7)
+    for columns in (1, 16, 33):
+        got = rng.normal(size=(500, columns)).astype(np.float32)
+        want, rows, values = got.copy(), rng.permutation(500)[:200], rng.normal(size=(columns, 200))
+        want[rows] = values.T
+        pl.put_rows(got, rows, values.T)  # neither of its type nor side by side in memory
+        assert (got == want).all()
+
+
+def test_putting_rows_is_faster_than_by_numbers():
+    into, values, rows = np.zeros((40000, 16), np.float32), np.ones((6000, 16), np.float32), np.arange(6000) * 6
+
+    def seconds(put):
+        def once():
+            began = time.perf_counter()
+            put()
+            return time.perf_counter() - began
+
+        return min(once() for _ in range(50))
+
+    assert seconds(lambda: pl.put_rows(into, rows, values)) < 0.8 * seconds(lambda: into.__setitem__(rows, values))
+
+
 def test_large_weights_do_not_overflow():
     model = pl.WindowModel(np.arange(4, dtype=np.uint64), np.array([0, 0, 1, 1]), np.full(4, 0.5), 1.0)
     ids, first = np.array([1, 2, 3, 4]), np.array([0, 4])
