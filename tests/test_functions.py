@@ -39,6 +39,12 @@ def test_dates(spark):
     assert [(r.value, r.precision) for r in values(spark, dates.norm_date, cases)] == list(cases.values())
 
 
+def test_dates_are_read_step_by_step(spark):
+    """A text is named once in the expression: copies of it within one another made a million rows take hours."""
+    plan = spark.createDataFrame([], "raw string").select(dates.norm_date(F.col("raw")))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("raw#") == 1 and len(plan) < 50_000
+
+
 def test_phases(spark):
     cases = {"Under Construction": "construction", "plans on hold": "paused", "withdrawn by applicant": "cancelled", "in-service": "operational", "permit review": "permitting", "gibberish": None, None: None}
     assert values(spark, text.norm_phase, cases) == list(cases.values())
