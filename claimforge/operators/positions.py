@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from claimforge.functions.numbers import bind
 from claimforge.operators.evidence import sentences
 from claimforge.operators.gates import BOUNDS, DEFAULTS
 from claimforge.operators.tranches import ORDINALS, segments
@@ -32,29 +33,35 @@ def spellings(value: Column) -> Column:
     return F.when(value > 0, found).otherwise(F.array().cast("array<string>"))
 
 
-def places(text: Column, needles: Column) -> Column:
-    """``array<struct<start, end>>`` of all places, overlapping ones too, where one of ``needles`` stands in a text; 1 is the first letter."""
-    at = F.sequence(F.lit(1), F.length(text))
-    here = lambda n: F.transform(F.filter(at, lambda i: F.substr(text, i, F.length(n)) == n), lambda i: F.struct(i.alias("start"), (i + F.length(n)).alias("end")))
-    return F.when(F.length(text) > 0, F.flatten(F.transform(F.filter(needles, lambda n: F.contains(text, n)), here))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def _starts(text: Column, needles: Column) -> Column:
+    """``array<int>`` of the letters before each place, but the first letter, where one of ``needles`` begins; overlapping ones too.
+
+    A text is cut ahead of every such place by one pattern, so the places are sums of the pieces' lengths.
+    """
+    ahead = F.concat(F.lit("(?="), F.array_join(F.transform(needles, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|"), F.lit(")"))
+    lengths = F.transform(F.split(text, ahead, -1), lambda piece: F.length(piece))
+    step = lambda at, n: F.concat(at, F.array(n + F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0))))
+    return F.when(F.size(needles) > 0, bind(F.aggregate(lengths, F.array().cast("array<int>"), step), lambda at: F.slice(at, 1, F.size(at) - 1)))
 
 
 def bound(quote: Column, value: Column, window: int = WINDOW) -> Column:
     """The bound that a quote puts on a figure: of the hedges that end shortly before it the one that tells most, then the nearest.
 
-    A quote without the figure, and one that hedges it not, says ``exact``: each figure of a sentence has its own hedge.
+    A quote without the figure, and one that hedges it not, says ``exact``: each figure of a sentence has its own hedge.  Only the
+    letters before a figure are searched, for the last of each hedge in them.
     """
-    text = F.lower(F.coalesce(quote, F.lit("")))
-    figures = places(text, spellings(value))
+    reach = window + max(len(mark) for marks in BOUNDS.values() for mark in marks)
+
+    def told(lead: Column) -> Column:
+        gap = lambda mark: F.when(F.contains(lead, F.lit(mark)), F.length(F.substring_index(lead, mark, -1)))
+        return F.array(*[F.struct(F.lit(-PRECEDENCE[name]).alias("rank"), F.least(*map(gap, marks)).alias("gap"), F.lit(name).alias("bound")) for name, marks in BOUNDS.items()])
 
-    def nearest(marks: list[str]) -> Column:
-        hedges = places(text, F.array(*map(F.lit, marks)))
-        gaps = F.flatten(F.transform(figures, lambda f: F.transform(hedges, lambda h: f["start"] - h["end"])))
-        return F.array_min(F.filter(gaps, lambda g: g.between(0, window)))
+    def found(x: Column) -> Column:
+        leads = F.transform(_starts(x["text"], x["needles"]), lambda f: F.substr(x["text"], F.greatest(f - reach, F.lit(0)) + 1, F.least(f, F.lit(reach))))
+        return F.array_min(F.filter(F.flatten(F.transform(leads, told)), lambda t: t["gap"] <= window))["bound"]
 
-    told = [F.struct((-F.lit(PRECEDENCE[name])).alias("rank"), nearest(marks).alias("gap"), F.lit(name).alias("bound")) for name, marks in BOUNDS.items()]
-    best = F.array_min(F.filter(F.array(*told), lambda t: t["gap"].isNotNull()))
-    return F.coalesce(best["bound"], F.lit(DEFAULTS["bound"]))
+    best = bind(F.struct(F.lower(F.coalesce(quote, F.lit(""))).alias("text"), bind(value, spellings).alias("needles")), found)
+    return F.coalesce(best, F.lit(DEFAULTS["bound"]))
 
 
 def sentence_of(quote: str | None, article: str | None) -> str | None:

@@ -16,6 +16,18 @@ def test_bounds(spark):
     assert [(r.quote, r.value, r.got) for r in df.collect()] == [(q, v, w) for q, v, w in HEDGES]
 
 
+def test_hedges_overlap_themselves_and_end_at_most_a_window_before(spark):
+    cases = [("maximaximum 9 MW", 9.0, "at_most"), ("over 111", 11.0, "at_least"), ("over " + "x" * 32 + "9", 9.0, "at_least"), ("over " + "x" * 33 + "9", 9.0, "exact"), ("\U0001d7d9 over é 9", 9.0, "at_least")]
+    df = spark.createDataFrame(cases, "quote string, value double, want string").select("want", P.bound(F.col("quote"), F.col("value")).alias("got"))
+    assert [r.got for r in df.collect()] == [w for *_, w in cases]
+
+
+def test_a_quote_is_read_once(spark):
+    """It used to be worked out again for every letter, hedge and figure."""
+    plan = spark.createDataFrame([], "quote string, value double").select(P.bound(F.col("quote"), F.col("value")))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("quote#") == plan.split("\n")[0].count("value#") == 1
+
+
 def test_sentences_around_quotes(spark):
     article = "Iron Co is building AZP-2 in\nPhoenix, up to 48  megawatts of “IT” capacity. Next year it ends.\n\nA third one, no stop"
     for quote, want in [("UP TO 48 megawatts of \"it\"", "Iron Co is building AZP-2 in\nPhoenix, up to 48  megawatts of “IT” capacity."), ("next year", "Next year it ends."), ("one, no", "A third one, no stop"),
