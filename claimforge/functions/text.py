@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from claimforge.functions.numbers import bind
+
 #: Phases in order, the terminal ones, and words for them.
 PHASES = ("announced", "permitting", "construction", "operational")
 TERMINAL = ("paused", "cancelled")
@@ -29,15 +31,18 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 def norm_phase(raw: Column) -> Column:
     """The phase a text names: exactly, else by the words in it, terminal ones and long ones first; else null."""
-    text = F.lower(F.trim(F.regexp_replace(raw, r"\s+", " ")))
-    exact = F.lit(None).cast("string")
-    for phase, words in PHASE_WORDS.items():
-        exact = F.when(text.isin(*words), phase).otherwise(exact)
     words = sorted(((w, p) for p, ws in PHASE_WORDS.items() for w in ws), key=lambda x: (x[1] not in TERMINAL, -len(x[0]), x[0]))
-    inside = F.lit(None).cast("string")
-    for word, phase in reversed(words):
-        inside = F.when(text.rlike(r"\b" + word.replace("-", r"\-") + r"\b"), phase).otherwise(inside)
-    return F.coalesce(exact, inside)
+
+    def read(text: Column) -> Column:
+        exact = F.lit(None).cast("string")
+        for phase, names in PHASE_WORDS.items():
+            exact = F.when(text.isin(*names), phase).otherwise(exact)
+        inside = F.lit(None).cast("string")
+        for word, phase in reversed(words):
+            inside = F.when(text.rlike(r"\b" + word.replace("-", r"\-") + r"\b"), phase).otherwise(inside)
+        return F.coalesce(exact, inside)
+
+    return bind(F.lower(F.trim(F.regexp_replace(raw, r"\s+", " "))), read)
 
 
 def haystack(text: Column) -> Column:

@@ -57,7 +57,7 @@ def settle(quotes: pd.Series, article: pd.Series, folded: pd.Series) -> pd.Serie
 
 def _text(value: Column) -> Column:
     """Cleaned text, null if blank."""
-    return F.when(~numbers.is_blank(value), F.nullif(numbers.clean(value), F.lit("")))
+    return numbers.bind(numbers.clean(value), lambda text: F.when(~numbers.blank_text(F.lower(text)), text))
 
 
 def _at(variant: Column | str, path: str, kind: str = "string") -> Column:

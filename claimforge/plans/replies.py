@@ -31,6 +31,8 @@ def replies(spark, d):
         F.lit("under construction").alias("phase"), F.lit("Q3 2027").alias("expected_online"), evidence.alias("evidence"), risks.alias("risks"))
     body = F.to_json(F.struct(F.array(project).alias("projects")))
     reply = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).when(F.col("o_orderstatus") == "F", body).otherwise("I found no project.")
+    # a row is small and dear: tasks by number, as tasks by size would be few
+    o = o.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "o_orderkey")
     return o.select(F.concat(F.lit("https://news.example/"), "o_orderkey").alias("url"), reply.alias("reply"), article.alias("article"))
 
 

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from claimforge.functions import dates, identity, numbers, text
+from claimforge.functions import codes, dates, identity, numbers, text
+from claimforge.operators import extraction
 from claimforge.operators.components import connected_components
 from claimforge.sources import readers
 
@@ -45,6 +46,19 @@ def test_dates_are_read_step_by_step(spark):
     assert plan.split("\n")[0].count("raw#") == 1 and len(plan) < 50_000
 
 
+def test_texts_are_named_once(spark):
+    """In each reader's expression, and so each of a reply's values is cleaned once."""
+    raw, df = F.col("raw"), spark.createDataFrame([], "raw string")
+    for value in (numbers.norm_mw(raw), numbers.norm_money(raw), text.norm_phase(raw), codes.norm_state(raw), extraction._text(raw)):
+        plan = df.select(value.alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.split("\n")[0].count("raw#") == 1
+
+
+def test_placeholders(spark):
+    cases = {"..": True, ".": False, "xx": True, "x": False, "x.": False, "__": True, "??": True, "?": True, " XX\n": True, "xx y": False, "$ tba soon": True, "placeholder 2": True, "": True, None: True, "5": False}
+    assert values(spark, numbers.is_blank, cases) == list(cases.values())
+
+
 def test_phases(spark):
     cases = {"Under Construction": "construction", "plans on hold": "paused", "withdrawn by applicant": "cancelled", "in-service": "operational", "permit review": "permitting", "gibberish": None, None: None}
     assert values(spark, text.norm_phase, cases) == list(cases.values())
