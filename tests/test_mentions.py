@@ -24,3 +24,19 @@ def test_addresses(spark):
     found = M.address_matches(spark.createDataFrame(urls, "url string, title string"), spark.createDataFrame(projects, "id long, name string, company string, city string, county string"))
     assert sorted((r.url.rsplit("/", 1)[1], r.id, r.evidence) for r in found.collect()) == [("nimbus", 2, "locality"), ("nimbus-plans-abilene-campus.html", 1, "locality"), ("x", 3, "name")]
     assert M.mentions(spark.createDataFrame([], "text_id long, text string"), spark.createDataFrame([], "name_id long, name string")).count() == 0
+
+
+def test_watched_pairs_come_once_by_their_least_way(spark):
+    from claimforge.operators.mentions import watched
+
+    watch = spark.createDataFrame([("a", "x", 1), ("a", "s", 2), ("a", "x", 2), ("b", "s", 2), (None, "s", 2), ("c", None, 1), ("d", "s", 2), ("d", "s", 1)], "entry string, key string, prio int")
+    records = spark.createDataFrame([(1, ["x", "s"]), (2, ["y", "s"]), (3, ["x", "y"]), (3, ["y", None]), (4, [None, "x"]), (5, ["z", None])], "id long, keys array<string>")
+    found = watched(watch, records)
+    assert sorted([(r.entry or "", r.id, r.prio) for r in found.collect()]) == [("", 1, 2), ("", 2, 2), ("a", 1, 1), ("a", 2, 2), ("a", 3, 1), ("a", 4, 1), ("b", 1, 2), ("b", 2, 2), ("d", 1, 1), ("d", 2, 1)]
+
+
+def test_no_pair_of_watch_match_is_shuffled(spark):
+    from claimforge.plans import registry
+
+    plan = registry.queries()["watch_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate" in line or "Exchange" in line or "Repartition" in line for line in plan[:next(k for k, line in enumerate(plan) if "Join" in line)])
